@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -216,9 +217,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a fixed size
 
     @F.pandas_udf("double")
-    def score(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shipped.value
         count = m.distances() if m.constant is None else lambda _: None
         for texts in batches:
