@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.llm import cube, packing, shards, toxicity
+from tessera.llm import cross_polytope, cube, nra, packing, shards, toxicity, warc
 
-_MODULES = (shards, toxicity, packing, cube)
+_MODULES = (cross_polytope, nra, warc, shards, toxicity, packing, cube)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
