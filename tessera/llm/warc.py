@@ -36,7 +36,7 @@ MIN_REVISIT = 1000
 #: Bytes of a range that one task reads.
 RANGE_BYTES = 8 << 20
 MAGIC = b"\x1f\x8b\x08"
-_PROBE = 512
+_PROBE, _STEP = 512, 1 << 14
 
 _RECORDS = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary, file string, position long"
 
@@ -101,16 +101,16 @@ def _decoded(file, start: int, window: bytes, at: int) -> tuple[bytes, int] | No
     """Content of the member at ``at`` of a window that begins at ``start``, and where it ends; None if it is none."""
     if not zlib_head(window[at : at + _PROBE] if len(window) - at >= _PROBE else _read(file, start + at, _PROBE)):
         return None
-    unpack, out, place, data = zlib.decompressobj(31), [], start + at, window[at:]
+    unpack, out, place = zlib.decompressobj(31), [], at
     try:
         while True:
+            data = window[place : place + _STEP] or _read(file, start + place, _STEP)
+            if not data:
+                return None
             out.append(unpack.decompress(data))
             place += len(data) - len(unpack.unused_data)
             if unpack.eof:
-                return b"".join(out), place
-            data = _read(file, place, 1 << 20)
-            if not data:
-                return None
+                return b"".join(out), start + place
     except zlib.error:
         return None
 
