@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: White space of the word rule [^\x20\x09-\x0D]+.
@@ -157,7 +158,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = np.cumsum(np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), np.int64))
+        size = np.cumsum(np.asarray(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), np.int64))
         i = 0
         while i < batch.num_rows:
             base = int(size[i - 1]) if i else 0
