@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.llm import cross_polytope, cube, licenses, nra, packing, shards, toxicity, warc
+from tessera.llm import cross_polytope, cube, katz, licenses, ngram_join, nra, packing, shards, toxicity, warc
 
-_MODULES = (cross_polytope, nra, warc, licenses, shards, toxicity, packing, cube)
+_MODULES = (katz, ngram_join, cross_polytope, nra, warc, licenses, shards, toxicity, packing, cube)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
