@@ -3,6 +3,9 @@
 Alternating large-star and small-star steps (Kiveris et al.), each an aggregate of minima and a join that adaptive
 execution can split where one vertex has very many neighbours. Before each round a union-find over every partition
 replaces its edges by stars, so dense groups shrink to a tree at once and rounds stay few. Each round is a written table.
+
+Edges that are left and are counted to be at most ``FEW`` go through one more union-find in a single task, whose memory that
+number bounds, instead of further rounds.
 """
 
 from __future__ import annotations
@@ -17,6 +20,10 @@ from pyspark.sql import functions as F
 from tessera.llm.blocks import forget, keep
 
 
+#: Edges that one task may finish by itself: at most about 100 MB of its memory.
+FEW = 500_000
+
+
 class Forest:
     """Union-find over 64-bit numbers; the root of a set is its smallest member."""
 
@@ -52,9 +59,20 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges``: a, b (long). Returns (id, root) for every vertex with an edge to another; root is the smallest id."""
-    spark = edges.sparkSession
     local = edges.select("a", "b").where("a <> b").mapInArrow(_stars, "a long, b long")
     now = keep(local)
+    if now.limit(FEW + 1).count() <= FEW:
+        now = keep(now.coalesce(1).mapInArrow(_stars, "a long, b long"))
+        return _with_roots(now)
+    return _rounds(now)
+
+
+def _with_roots(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+
+
+def _rounds(now: DataFrame) -> DataFrame:
+    spark = now.sparkSession
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -68,4 +86,4 @@ def components(edges: DataFrame) -> DataFrame:
         forget(spark, now.tessera_path)
         now = after
         if done:
-            return now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+            return _with_roots(now)
