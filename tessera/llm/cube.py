@@ -3,12 +3,12 @@
 Each source gets a target number of words; a document of the source is expected target / source size times. The
 whole part of that ratio is taken for certain, the fractional part is a balanced sample: the flight phase moves
 the vector of inclusion probabilities through the null space of the balancing constraints (number of documents and
-number of words), so both totals stay exact until at most two fractional documents are left; the landing phase drops
-the constraint on documents, then that on words, for those two only.
+number of words), so both totals stay exact. When ``LANDING`` documents of a source are left that may still be fractional, the landing
+phase takes the subset of those whose words come closest to what they should add, and then whose number does.
 
-The flight runs in chunks of about ``chunk`` documents of one source. What a chunk leaves fractional, two
-documents at most, meets in the next round, so a source of any size needs log(n) rounds and no task sees more than a
-chunk. Chunks are dealt by a hash of the row and random numbers are seeded by source, round and chunk: reruns agree.
+The flight runs in chunks of about ``chunk`` documents of one source, the largest first. What a chunk leaves
+fractional, two documents at most, meets in the next round, so a source of any size needs log(n) rounds and no task sees
+more than a chunk. Chunks are dealt by a hash of the row and random numbers are seeded by source, round and chunk: reruns agree.
 
 Edge cases. Null or empty text: size 0, never sampled (0 words whatever is taken), taken 0. Null source: a source of its own,
 ordered last. Repeated rows and ids: each row is a document of its own. A source whose size is 0 has target 0. No
@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ from tessera.llm.blocks import keep
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of one chunk of the flight phase.
 CHUNK = 1024
+#: Documents of a source that the landing phase decides on at once.
+LANDING = 12
 SEED = 20
 
 
@@ -55,7 +59,8 @@ def water_levels(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: f
 
 
 def flight(p: list[float], size: list[float], draw: random.Random, land: bool) -> list[float]:
-    """Moves probabilities until at most two are fractional (none, if ``land``), with sums of p and of p * size kept."""
+    """Moves probabilities until at most two are fractional, with sums of p and of p * size kept; with ``land``, until ``LANDING``
+    are, for which the best subset follows."""
     eps = 1e-9
 
     def move(ids: list[int], u: list[float]) -> None:
@@ -67,23 +72,37 @@ def flight(p: list[float], size: list[float], draw: random.Random, land: bool) -
             p[i] = 0.0 if p[i] < eps else 1.0 if p[i] > 1 - eps else p[i]
 
     open_ids: list[int] = []
+    movable = [i for i in range(len(p)) if eps <= p[i] <= 1 - eps]
+    rest = deque(movable)
     for i in range(len(p)):
         if not eps <= p[i] <= 1 - eps:
             p[i] = round(p[i])
-            continue
+    while rest and not (land and len(open_ids) + len(rest) <= LANDING):
+        i = rest.popleft()
         open_ids.append(i)
         while len(open_ids) == 3:
             a, b, c = open_ids
             u = [size[b] - size[c], size[c] - size[a], size[a] - size[b]]
             move(open_ids, u if any(u) else [1.0, -1.0, 0.0])
             open_ids = [j for j in open_ids if 0 < p[j] < 1]
-    if land:
-        if len(open_ids) == 2:  # the number of documents is given up first, then that of words
-            a, b = open_ids
-            move(open_ids, [1.0, -1.0] if size[a] == size[b] else [size[b], -size[a]])
-        for j in open_ids:
-            if 0 < p[j] < 1:
-                p[j] = float(draw.random() < p[j])
+    if land and (last := [*open_ids, *rest]):
+        chosen = (np.arange(1 << len(last))[:, None] >> np.arange(len(last))) & 1
+        share, words = np.asarray([p[j] for j in last]), np.asarray([size[j] for j in last])
+        off = np.abs(chosen @ words - share @ words)
+        best = np.lexsort((np.abs(chosen.sum(axis=1) - share.sum()), np.round(off, 6)))[0]
+        for j, x in zip(last, chosen[best], strict=True):
+            p[j] = float(x)
+        # where one document outweighs what is left, others of the group make up for it, the one closest to the gap first
+        gap = float(share @ words - chosen[best] @ words)
+        free = set(movable)
+        while free:
+            wanted = 0.0 if gap > 0 else 1.0
+            j = min((j for j in free if p[j] == wanted), key=lambda j: (abs(abs(gap) - size[j]), j), default=None)
+            if j is None or abs(abs(gap) - size[j]) >= abs(gap):
+                break
+            p[j] = 1.0 - wanted
+            gap -= size[j] if wanted == 0.0 else -size[j]
+            free.discard(j)
     return p
 
 

@@ -186,7 +186,9 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     count = model.distances()
     found = [np.asarray([count(t) for t, y in rows if y == label and t]) for label in (1, 0)]
     rates = [(f.sum(axis=0) + [1.0, *[0.1] * MOST]) / (f.sum() + 1 + 0.1 * MOST) for f in found]
-    model.weights = tuple(np.log(rates[0] / rates[1]).tolist())
+    ratio = np.log(rates[0] / rates[1])
+    ratio[1:] = np.maximum.accumulate(ratio[1:])  # a distance that the sample lacks tells no less than a smaller one
+    model.weights = tuple(ratio.tolist())
     value = [f @ np.asarray(model.weights) for f in found]
     edges = np.unique(np.concatenate(value))
     cuts = (edges[1:] + edges[:-1]) / 2 if len(edges) > 1 else edges + 1
