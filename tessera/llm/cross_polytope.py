@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tessera.llm.blocks import keep
 from tessera.llm.nra import usable
 
-TABLES, PROBES, FUNCTIONS = 16, 5, 1
+TABLES, PROBES, FUNCTIONS = 16, 8, 1
 SEED = 3
 
 
@@ -190,6 +190,8 @@ def nearest(vectors: DataFrame, queries: str, k: int, tables: int = TABLES, prob
 
     ends = classes.select("v").mapInArrow(norms, "least double, most double").agg(F.min("least"), F.max("most")).first()
     level = ends[0] > 0.999 * ends[1]
+    if not level and dims & (dims - 1) == 0:
+        probes *= 2  # one more dimension doubles the width, and with it the number of buckets
     dealt = classes.select("class", "v", "is_query").mapInArrow(_dealt(dims, ends[1], level, tables, probes, functions), "tab int, bucket long, visit boolean, class long, v binary")
     found = dealt.groupBy("tab", "bucket").applyInArrow(_ranked(dims, k + 1), "query_class long, class long, score double")
     place = F.dense_rank().over(Window.partitionBy("query_class").orderBy(F.desc("score"), "class"))

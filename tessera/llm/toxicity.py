@@ -82,10 +82,10 @@ def _telling(toxic: list[list[str]], ordinary: list[list[str]]) -> dict[str, int
 
     A text counts a word ``REPEATS`` times at most. Beginnings are taken in the order of their count in toxic texts less
     ten times what the ordinary rate would give, the longer of equals first, and without words already covered, as long
-    as that comes to a fiftieth of the toxic texts (three at least)."""
+    as that comes to a fiftieth of the toxic texts (five at least)."""
     words = [Counter(w for t in texts for w, n in Counter(t).items() for _ in range(min(n, 3))) for texts in (toxic, ordinary)]
     weight = 10 * words[0].total() / max(1, words[1].total())
-    least = max(3.0, 0.02 * len(toxic))
+    least = max(5.0, 0.02 * len(toxic))
     counts: list[Counter] = [Counter(), Counter()]
     for c, w in zip(counts, words, strict=True):
         for word, n in w.items():
