@@ -441,3 +441,25 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
     last = c.STAGES[-1][1](spark, kept, sf_dir).collect()
     assert {r.doc_id for r in last} == seen
     assert sum(r.piece == 0 for r in last) == kept.count()
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, sf_dir, tmp_path):
+    import corpus_pipeline as c
+
+    extra = [f.strip() for f in "row, size, copies, copy, toxicity, lead, component_id, wanted, class, chunk, p".split(",")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{x}` string" for x in extra)
+    long = noise(3, 4000)
+    rows = [(10**6 + 1, None, None, None, None), (10**6 + 2, "", "en", "s", 0), (None, "one two three four five six", None, "s", 9), (None, None, None, None, None), (10**6 + 3, long, "en", "s", 9), (10**6 + 4, long + " x", "en", None, 9), (10**6 + 5, "same text here", "en", "s", 1), (10**6 + 5, "same text here", "en", "s", 1), (10**6 + 6, "same text here", "en", "t", 1)]
+    for name, data in (("odd", rows), ("none", [])):
+        kept = spark.createDataFrame([(*r, *["x"] * len(extra)) for r in data], schema)
+        counts = []
+        for step, stage in c.STAGES:
+            stage(spark, kept, sf_dir).write.parquet(str(tmp_path / name / step))
+            kept = spark.read.parquet(str(tmp_path / name / step))
+            counts.append(kept.count())
+            if step != c.STAGES[-1][0]:
+                assert kept.columns == c.COLUMNS
+            if name == "odd" and step == "jaccard":
+                got = Counter(r.doc_id for r in kept.collect())
+                assert got == Counter([10**6 + 1, 10**6 + 2, None, None, 10**6 + 3, 10**6 + 5])
+        assert (counts == [0, 0, 0, 0]) if name == "none" else (counts[0] == len(rows) and counts[3] >= 1)
