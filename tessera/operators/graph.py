@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -40,15 +41,19 @@ def simple_paths(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool =
     path's), path (node ids), edge_ids, potential (whether any edge is not definite). The plan is one query of ``depth`` joins."""
     e = edges.where(impact_edge() if keep is None else keep)
     step = _oriented(e, reverse, [F.col("confidence").alias("_c"), F.col("id").alias("_e"), (~definite()).alias("_p")])
-    level = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("distance"), F.lit(1.0).alias("confidence"), F.array("id").alias("path"), F.array().cast("array<string>").alias("edge_ids"), F.lit(False).alias("potential"))
+    # a column for each step: the arrays are built last, and not at all where nobody reads them
+    level = seeds.select(F.col("id").alias("_n0"), F.lit(1.0).alias("confidence"), F.lit(False).alias("potential"))
     out: DataFrame | None = None
-    for _ in range(depth):
+    for d in range(1, depth + 1):
+        nodes, ids = [f"_n{i}" for i in range(d + 1)], [f"_e{i}" for i in range(1, d + 1)]
+        fresh = reduce(lambda x, y: x & y, [F.col("_to") != F.col(n) for n in nodes[:-1]])
         level = (
-            level.join(step, level["node"] == step["_from"])
-            .where(~F.array_contains("path", F.col("_to")))
-            .select("seed", F.col("_to").alias("node"), (F.col("distance") + 1).alias("distance"), F.least("confidence", "_c").alias("confidence"), F.concat("path", F.array("_to")).alias("path"), F.concat("edge_ids", F.array("_e")).alias("edge_ids"), (F.col("potential") | F.col("_p")).alias("potential"))
+            level.join(step, level[nodes[-2]] == step["_from"])
+            .where(fresh)
+            .select(*nodes[:-1], *ids[:-1], F.col("_to").alias(nodes[-1]), F.col("_e").alias(ids[-1]), F.least("confidence", "_c").alias("confidence"), (F.col("potential") | F.col("_p")).alias("potential"))
         )
-        out = level if out is None else out.unionByName(level)
+        paths = level.select(F.col("_n0").alias("seed"), F.col(nodes[-1]).alias("node"), F.lit(d).alias("distance"), "confidence", F.array(*nodes).alias("path"), F.array(*ids).alias("edge_ids"), "potential")
+        out = paths if out is None else out.unionByName(paths)
     return out
 
 
@@ -111,17 +116,15 @@ def shortest_path(edges: DataFrame, source: str, target: str, depth: int) -> Dat
         reached = reached.unionByName(frontier)
         if not frontier.where(F.col("node") == target).isEmpty():
             break
-    back, at, step = [], target, {}
-    rows = reached
+    back, at = [], target
     for _ in range(depth + 1):  # at most depth + 1 point lookups
-        row = rows.where(F.col("node") == at).first()
+        row = reached.where(F.col("node") == at).first()
         if row is None:
             return spark.createDataFrame([], "step int, node string, edge_id string")
         back.append((row["distance"], row["node"], row["edge_id"]))
         if row["via"] is None:
             break
         at = row["via"]
-    del step
     return spark.createDataFrame(back, "step int, node string, edge_id string")
 
 
