@@ -3,17 +3,20 @@
 Vectors are cut into blocks; a block keeps a list for each dimension, sorted by value. A query reads the lists of a
 block sequentially, from the end that serves the sign of its weight, in steps of equal depth. What it has read of a
 vector gives its lower bound (unread dimensions at the worst value of their list) and its upper bound (unread
-dimensions at the value that the list has come to). Vectors whose upper bound is below the k-th lower bound are dropped; reading ends when
-no vector outside the best k can qualify, and goes on only as far as the scores of the best k need it to be resolved: lists
-are read, never probed for one vector. Each block yields its k best; the k best of those are the answer, since a vector
-beaten k times in its block is beaten k times overall.
+dimensions at the value that the list has come to). Vectors whose upper bound is below the k-th lower bound are
+dropped; a query ends when the bounds of all that remain have met, so that no outsider can qualify and the best k are
+resolved. Lists are read, never probed for one vector. Each block yields its k best; the k best of those are the answer, since
+a vector beaten k times in its block is beaten k times overall.
+
+All queries of a block read at once: the entries of rank below some depth are a mask over the block, so sums of what is read, and
+bounds of what is not, are products of the queries with masked matrices. Integers stay exact in doubles.
 
 Queries and blocks meet block by block (a stated query set against all rows); a task holds one block of vectors and
-one of queries, so memory does not grow with the input. Integer scores are exact.
+one of queries, so memory does not grow with the input.
 
 Edge cases. Vectors that are null or hold null or non-finite components take no part, nor do those with another
-number of dimensions than the query's block has in most vectors. Ties go to the smaller id. Repeated vectors are
-candidates each; repeated ids are too, and a query excludes every row with its own id. Fewer candidates than k: all of them. No rows: no
+number of dimensions than most vectors of the block. Ties go to the smaller id. Repeated vectors are candidates each;
+repeated ids are too, and a query excludes every row with its own id. Fewer candidates than k: all of them. No rows: no
 rows. Extra columns are ignored, so their names cannot clash.
 """
 
@@ -28,71 +31,82 @@ from pyspark.sql import functions as F
 VECTORS, QUERIES_A_BLOCK = 4096, 256
 
 
+#: Shares of a list that a query has read after each step.
+DEPTHS = (1 / 8, 1 / 2)
+
+
 class Lists:
-    """The sorted lists of a block: for each dimension the ids by falling value."""
+    """The sorted lists of a block: for each dimension the rank of every vector, from the upper and from the lower end."""
 
     def __init__(self, vectors: np.ndarray) -> None:
-        self.vectors = vectors
-        self.order = np.argsort(-vectors, axis=0, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(vectors, self.order, axis=0)
-
-    def top(self, query: np.ndarray, k: int, banned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and exact scores of all that can be among the k best by score (ties included)."""
-        n, dims = self.vectors.shape
-        use = np.flatnonzero(query)
-        if not len(use):
-            return np.flatnonzero(~banned), np.zeros(int((~banned).sum()), np.int64)
-        weight = query[use]
-        # a list is read from its upper end for a positive weight and from its lower end for a negative one
-        order = np.where(weight > 0, self.order[:, use], self.order[::-1][:, use])
-        gain = np.where(weight > 0, self.sorted[:, use], self.sorted[::-1][:, use]) * weight
-        worst = gain[-1]
-        seen_sum, seen = np.zeros(n, np.int64), np.zeros((n, len(use)))
-        alive = ~banned
-        depth, step, columns = 0, max(64, n // 16), np.arange(len(use))
-        while depth < n:
-            to = min(n, depth + step)
-            ids = order[depth:to]
-            for j in range(len(use)):
-                seen_sum[ids[:, j]] += gain[depth:to, j]
-            seen[ids, columns] = 1.0
-            depth, step = to, step * 2
-            if depth == n:
-                break
-            front = gain[depth - 1]
-            lower = seen_sum + int(worst.sum()) - np.rint(seen @ worst).astype(np.int64)
-            upper = seen_sum + int(front.sum()) - np.rint(seen @ front).astype(np.int64)
-            alive_ids = np.flatnonzero(alive)
-            if len(alive_ids) > k:
-                bar = np.partition(lower[alive_ids], len(alive_ids) - k)[len(alive_ids) - k]
-                alive &= upper >= bar
-            # ended when the bounds of all that remain have met
-            if not np.any(lower[alive] != upper[alive]):
+        self.vectors = vectors.astype(np.float64)
+        order = np.argsort(-vectors, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(self.vectors, order, axis=0)
+        self.rank = np.empty_like(order)
+        np.put_along_axis(self.rank, order, np.broadcast_to(np.arange(len(vectors))[:, None], order.shape), axis=0)
+
+    def _read(self, up: np.ndarray, down: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of all vectors when every list is read to a depth; ``up`` and ``down`` are the positive and the
+        negative weights, whose lists are read from the upper and from the lower end."""
+        n = len(self.vectors)
+        top, bottom = self.rank < depth, self.rank >= n - depth
+        read = up @ np.where(top, self.vectors, 0.0).T + down @ np.where(bottom, self.vectors, 0.0).T
+        rest_up, rest_down = (~top).astype(np.float64).T, (~bottom).astype(np.float64).T
+        lower = read + (up * self.sorted[-1]) @ rest_up + (down * self.sorted[0]) @ rest_down
+        upper = read + (up * self.sorted[depth - 1]) @ rest_up + (down * self.sorted[n - depth]) @ rest_down
+        return lower, upper
+
+    def top(self, queries: np.ndarray, k: int, banned: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the rows, with exact scores, of all that can be among its k best (ties included)."""
+        queries = queries.astype(np.float64)
+        n = len(self.vectors)
+        alive, out = ~banned, [None] * len(queries)
+        open_ = np.arange(len(queries))
+        for depth in [*[d for d in (int(n * x) for x in DEPTHS) if d], n]:
+            q = queries[open_]
+            if depth < n:
+                lower, upper = self._read(np.maximum(q, 0), np.minimum(q, 0), depth)
+            else:
+                lower = upper = q @ self.vectors.T
+            still = []
+            for i, query in enumerate(open_.tolist()):
+                rows = np.flatnonzero(alive[query])
+                if len(rows) > k:
+                    bar = np.partition(lower[i, rows], len(rows) - k)[len(rows) - k]
+                    rows = rows[upper[i, rows] >= bar]
+                    alive[query] = False
+                    alive[query, rows] = True
+                if np.array_equal(lower[i, rows], upper[i, rows]):
+                    out[query] = (rows, lower[i, rows].astype(np.int64))
+                else:
+                    still.append(query)
+            open_ = np.asarray(still, np.int64)
+            if not len(open_):
                 break
-        rows = np.flatnonzero(alive)
-        return rows, seen_sum[rows] if depth == n else lower[rows]
+        return out
 
 
 def _search(k: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         is_query = table.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
         ids = table.column("id").to_numpy()
-        vectors = table.column("v").to_pylist()
-        width = [len(v) for v in vectors]
-        common = int(np.bincount([w for w, q in zip(width, is_query, strict=True) if not q] or [0]).argmax())
-        fit = np.asarray([w == common for w in width])
-        rows, queries = np.flatnonzero(fit & ~is_query), np.flatnonzero(fit & is_query)
-        out: list[tuple[int, int, int]] = []
-        if len(rows) and len(queries):
+        column = table.column("v").combine_chunks()
+        width = column.value_lengths().to_numpy()
+        flat, start = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(width)])
+        common = int(np.bincount(width[~is_query]).argmax()) if (~is_query).any() else 0
+        rows, queries = (np.flatnonzero((width == common) & side) for side in (~is_query, is_query))
+        take = lambda which: flat[start[which][:, None] + np.arange(common)]
+        found_q, found_v, found_s = [], [], []
+        if len(rows) and len(queries) and common:
             rows = rows[np.argsort(ids[rows], kind="stable")]
-            block, own = np.asarray([vectors[i] for i in rows], np.int64), ids[rows]
-            lists = Lists(block)
-            for i in queries:
-                found, score = lists.top(np.asarray(vectors[i], np.int64), k, own == ids[i])
+            own = ids[rows]
+            lists = Lists(take(rows))
+            for i, (found, score) in zip(queries.tolist(), lists.top(take(queries), k, own[None, :] == ids[queries][:, None]), strict=True):
                 best = np.lexsort((own[found], -score))[:k]
-                out += [(int(ids[i]), int(own[found[b]]), int(score[b])) for b in best]
-        columns = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.int64())})
+                found_q += [int(ids[i])] * len(best)
+                found_v += own[found[best]].tolist()
+                found_s += score[best].tolist()
+        return pa.table({"query_id": pa.array(found_q, pa.int64()), "vec_id": pa.array(found_v, pa.int64()), "score": pa.array(found_s, pa.int64())})
 
     return run
 
