@@ -107,7 +107,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", BLOCK_BYTES):
         ids, ends = hash_words(batch.column("text"))
         sequence = np.insert(ids, ends[1:], END)  # an end behind each text
-        words, tokens = np.unique(sequence, return_inverse=True)
+        words, tokens, counts = np.unique(sequence, return_inverse=True, return_counts=True)
+        # frequent words get small numbers, whose upper bytes are zero and cost nothing when packed
+        order = np.argsort(-counts, kind="stable")
+        number = np.empty_like(order)
+        number[order] = np.arange(len(order))
+        words, tokens = words[order], number[tokens]
         yield pa.RecordBatch.from_pydict({
             "block": pa.array([(task << 32) + k], pa.int64()),
             "doc_ids": pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
@@ -124,7 +129,11 @@ class Block:
 
     def __init__(self, row: dict) -> None:
         self.doc_ids, self.held = row["doc_ids"], np.asarray(row["held"], bool)
-        (self.lengths,), (self.words,), (self.token,) = unpacked(row["lengths"], _I4), unpacked(row["words"], _U8), unpacked(row["tokens"], _I4)
+        (self.lengths,), (words,), (token,) = unpacked(row["lengths"], _I4), unpacked(row["words"], _U8), unpacked(row["tokens"], _I4)
+        order = np.argsort(words)
+        place = np.empty(len(order), _I4)
+        place[order] = np.arange(len(order))
+        self.words, self.token = words[order], place[token]
         self.train = ~np.repeat(self.held, self.lengths)
         self.first = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
 
