@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 #: Labelled rows of each class that ``fit`` may read.
 MAX_TRAIN = 2000
 ORDINARY_BYTES, TOXIC_BYTES = 32768, 2048
-LEVEL = 3
+#: The lowest level whose match finder indexes every position of a dictionary; faster ones skip some, and with them words.
+LEVEL = 6
 #: What stands before the word in a window and behind it; the latter is long enough for zstandard never to store a
 #: window uncompressed, and ends both dictionaries.
 MARK, TAIL = b"\x1e\x1f", b" " + bytes(range(128, 152))
@@ -164,7 +165,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     toxic_words, usual_words = ([windows(t) for t in texts] for texts in (toxic, usual))
     # the most frequent words come last, where matches are cheapest; none counts often, so that each language has its part
     spread = Counter(w for words in usual_words for w in set(words))
-    usual = [w for w, _ in spread.most_common(60000)]
+    usual = sorted(spread, key=lambda w: (-spread[w], w))[:60000]
     ordinary = _trained([MARK + w.encode() + b" " for w in reversed(usual)], ORDINARY_BYTES, 32, 6)
     telling = _telling(_apart(toxic_words), usual_words)
     if not telling:
