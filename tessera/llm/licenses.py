@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
-#: A text with none of these holds no license text that a rule could find.
-GATE = ("licen", "copyright", "spdx", "public domain", "warrant", "redistribut", "permission", "free software")
+#: A text with none of these holds nothing that a rule could find: each rule's expression implies one of them.
+GATE = ("licen", "copyright", "domain", "attribution", "commons", "reserved", "proprietary", "unencumbered", "freebsd", "mozilla", "eclipse", "mariadb", "vimdoc", "joinup", "affero")
+GATE_WORDS = r"\b(?:[al]?gpl|cc0|0?bsd|wtfpl|ofl|(?:1|2|3|4|one|two|three|four)[^a-z0-9]+clause)"
 CONFIDENCE = (1.0, 0.95, 0.9, 0.6)
 
 # label, SPDX identifier in words, address in words, title (a regular expression over words), keyword of the title
@@ -75,7 +76,7 @@ RULES: list[tuple[str, str, str, str, str]] = [
     ("cc-by-nd-4.0", "cc by nd 4 0", "creativecommons org licenses by nd 4 0", r"creative commons attribution no ?derivatives 4 0( international)?( licen[cs]e)?", "creative commons"),
     ("cc-by-nc-sa-4.0", "cc by nc sa 4 0", "creativecommons org licenses by nc sa 4 0", r"creative commons attribution non ?commercial share ?alike 4 0( international)?( licen[cs]e)?", "creative commons"),
     ("cc-by-nc-nd-4.0", "cc by nc nd 4 0", "creativecommons org licenses by nc nd 4 0", r"creative commons attribution non ?commercial no ?derivatives 4 0( international)?( licen[cs]e)?", "creative commons"),
-    ("unlicense", "unlicense", "unlicense org", r"the unlicense|free and unencumbered software released into the public domain", "unencumbered"),
+    ("unlicense", "unlicense", "unlicense org", r"the unlicense|free and unencumbered software released into the public domain", "un"),
     ("wtfpl", "wtfpl", "wtfpl net", r"do what the fuck you want to public licen[cs]e|wtfpl", "w"),
     ("zlib", "zlib", "zlib net zlib license", r"zlib licen[cs]e", "zlib"),
     ("libpng", "libpng( 2 0)?", "libpng org pub png src libpng license", r"libpng licen[cs]e", "libpng"),
@@ -144,6 +145,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     for word in GATE:
         hit = F.contains(lower, F.lit(word))
         gate = hit if gate is None else gate | hit
+    gate = gate | lower.rlike(GATE_WORDS)
     base_row = docs.select(row.alias("row"), F.col(key).alias("doc_id"), F.regexp_count(raw, F.lit(WORD)).cast("long").alias("n_words"), F.when(gate, raw).alias("raw"))
     joined = base_row.withColumn("joined", F.when(F.col("raw").isNotNull(), words_joined(F.col("raw"))))
 

@@ -239,6 +239,34 @@ def test_license_base(spark):
     assert licenses.scan(table(spark, [])).collect() == []
 
 
+def test_no_rule_hides_behind_the_gate(spark):
+    """Every rule finds an example of itself, made from its expression."""
+    import itertools
+
+    def example(x):
+        x = re.sub(r"\(\?<= \)|\(\?= \)|\\b", "", x).replace("[cs]", "s").replace(" ?", " ")
+        while (y := re.sub(r"\(\?:", "(", x)) != x:
+            x = y
+
+        def grow(t):
+            m = re.search(r"\(([^()]*)\)(\?)?", t)
+            if not m:
+                return t.split("|") if "|" in t else [t]
+            options = m[1].split("|") + ([""] if m[2] else [])
+            return list(itertools.chain.from_iterable(grow(t[: m.start()] + o + t[m.end() :]) for o in options[:2] + options[-1:]))
+
+        return [" ".join(t.replace("v?", "v").replace("?", "").split()) for t in grow(x)][:12]
+
+    rows = [(n, t.upper().replace(" ", "-")) for n, _, _, _, e in licenses.rules() for t in example(e) if re.search(e, f" {t} ")]
+    assert len({n for n, _ in rows}) == len(licenses.rules())
+    label = {n: lab for n, _, lab, _, _ in licenses.rules()}
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    # an example may be found by a stronger or longer rule too, but something must be found where the rule stands
+    missed = [(label[n], t) for i, (n, t) in enumerate(rows) if not got[i].detections]
+    assert missed == []
+
+
 def test_license_rules_compile():
     rules = licenses.rules()
     assert len(rules) >= 200
