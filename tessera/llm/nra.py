@@ -1,11 +1,11 @@
 """Exact top-k search by the no-random-access algorithm (Fagin, Lotem and Naor) over sorted lists.
 
 Vectors are cut into blocks; a block keeps a list for each dimension, sorted by value. A query reads the lists of a
-block sequentially, from the end that serves the sign of its weight, in steps of equal depth. What it has read of a
+block sequentially, from the end that serves the sign of its weight, in steps that each halve what is unread. What it has read of a
 vector gives its lower bound (unread dimensions at the worst value of their list) and its upper bound (unread
 dimensions at the value that the list has come to). Vectors whose upper bound is below the k-th lower bound are
-dropped; a query ends when the bounds of all that remain have met, so that no outsider can qualify and the best k are
-resolved. Lists are read, never probed for one vector. Each block yields its k best; the k best of those are the answer, since
+dropped, and later steps are made for the others only; a query ends when the bounds of all that remain have met, or reads on to the
+end for the few that remain, so that no outsider can qualify and the best k are resolved. Lists are read, never probed for one vector. Each block yields its k best; the k best of those are the answer, since
 a vector beaten k times in its block is beaten k times overall.
 
 All queries of a block read at once: the entries of rank below some depth are a mask over the block, so sums of what is read, and
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 VECTORS, QUERIES_A_BLOCK = 4096, 256
 
 
-#: Shares of a list that a query has read after each step.
-DEPTHS = (1 / 8, 1 / 2)
+#: Shares of a block: with fewer vectors in question a query reads on for those alone, to the end; with more, a step is made for all queries at once.
+FEW, MOST = 1 / 8, 1 / 2
 
 
 class Lists:
@@ -43,6 +43,7 @@ class Lists:
         order = np.argsort(-vectors, axis=0, kind="stable")
         self.sorted = np.take_along_axis(self.vectors, order, axis=0)
         self.rank = np.empty_like(order)
+        self.resolved = 0  # pairs of query and vector that were scored in full
         np.put_along_axis(self.rank, order, np.broadcast_to(np.arange(len(vectors))[:, None], order.shape), axis=0)
 
     def _read(self, up: np.ndarray, down: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,33 +57,45 @@ class Lists:
         upper = read + (up * self.sorted[depth - 1]) @ rest_up + (down * self.sorted[n - depth]) @ rest_down
         return lower, upper
 
+    def _read_few(self, query: np.ndarray, rows: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same bounds for one query, of some rows only."""
+        n = len(self.vectors)
+        rank, vectors = self.rank[rows], self.vectors[rows]
+        seen = np.where(query > 0, rank < depth, rank >= n - depth)
+        worst = np.where(query > 0, self.sorted[-1], self.sorted[0])
+        come_to = np.where(query > 0, self.sorted[depth - 1], self.sorted[n - depth])
+        return np.where(seen, vectors, worst) @ query, np.where(seen, vectors, come_to) @ query
+
     def top(self, queries: np.ndarray, k: int, banned: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the rows, with exact scores, of all that can be among its k best (ties included)."""
         queries = queries.astype(np.float64)
         n = len(self.vectors)
-        alive, out = ~banned, [None] * len(queries)
+        left, out = [np.flatnonzero(~b) for b in banned], [None] * len(queries)
         open_ = np.arange(len(queries))
-        for depth in [*[d for d in (int(n * x) for x in DEPTHS) if d], n]:
-            q = queries[open_]
-            if depth < n:
-                lower, upper = self._read(np.maximum(q, 0), np.minimum(q, 0), depth)
-            else:
-                lower = upper = q @ self.vectors.T
-            still = []
-            for i, query in enumerate(open_.tolist()):
-                rows = np.flatnonzero(alive[query])
-                if len(rows) > k:
-                    bar = np.partition(lower[i, rows], len(rows) - k)[len(rows) - k]
-                    rows = rows[upper[i, rows] >= bar]
-                    alive[query] = False
-                    alive[query, rows] = True
-                if np.array_equal(lower[i, rows], upper[i, rows]):
-                    out[query] = (rows, lower[i, rows].astype(np.int64))
+        rest = n // 2
+        while len(open_):
+            depth, still = n - rest, []
+            # bounds of the whole block as products, as long as most of it is in question
+            whole = rest > 0 and sum(len(left[i]) for i in open_.tolist()) > n * len(open_) * MOST
+            if whole:
+                lower, upper = self._read(np.maximum(queries[open_], 0), np.minimum(queries[open_], 0), depth)
+            for at, i in enumerate(open_.tolist()):
+                rows = left[i]
+                if rest == 0 or len(rows) <= max(k, n * FEW):
+                    # the rest of the lists, of which only the entries of these rows matter
+                    self.resolved += len(rows)
+                    out[i] = (rows, (self.vectors[rows] @ queries[i]).astype(np.int64))
+                    continue
+                low, high = (lower[at, rows], upper[at, rows]) if whole else self._read_few(queries[i], rows, depth)
+                bar = np.partition(low, len(rows) - k)[len(rows) - k]
+                keep = high >= bar
+                if np.array_equal(low[keep], high[keep]):
+                    out[i] = (rows[keep], low[keep].astype(np.int64))
                 else:
-                    still.append(query)
+                    left[i] = rows[keep]
+                    still.append(i)
             open_ = np.asarray(still, np.int64)
-            if not len(open_):
-                break
+            rest //= 2
         return out
 
 

@@ -321,6 +321,19 @@ def test_nra_against_brute_force(spark, monkeypatch):
             assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in scores]
 
 
+def test_nra_scores_few_vectors_in_full():
+    x = np.floor(np.random.default_rng(5).normal(size=(2000, 64)) / 8 * 256)
+    lists, banned = nra.Lists(x), np.zeros((40, 2000), bool)
+    banned[np.arange(40), np.arange(40)] = True
+    for i, (rows, score) in enumerate(lists.top(x[:40], 5, banned)):
+        exact = x @ x[i]
+        exact[i] = -np.inf
+        best = np.sort(exact)[-5:]
+        assert np.array_equal(np.sort(score)[-5:], best)
+        assert np.array_equal(score, exact[rows])
+    assert lists.resolved < 40 * 2000 / 8
+
+
 def test_nra_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (50, None), (100, [float("nan"), 1.0]), (150, [float("inf"), 1.0]), (200, [None, 1.0]), (7, [0.5, 0.5])]
     t = vectors(spark, rows).where(nra.usable("v"))
