@@ -4,7 +4,6 @@ import math
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.plans.registry import QUERIES
 
@@ -20,3 +19,32 @@ def test_markdown_of_whole_texts(spark, tmp_path):
     path = table(spark, tmp_path, "documents", rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_sections, r.n_fields) for r in QUERIES["markdown_sections"](spark, path).collect()}
     assert got == {1: (3, 1), 2: (5, 2), 3: (3, 2), 4: (3, 1)}
+
+
+DOCS = [(1, "red apple pie"), (2, "green apple apple tree"), (3, "blue sky over red barn"), (4, "quiet pond")]
+
+
+def corpus(spark, folder):
+    table(spark, folder, "documents", [(i, x, "en", "web") for i, x in DOCS], "doc_id long, text string, lang string, source string")
+    return table(spark, folder, "benchmark", [(1, "red apple"), (13, "the sky"), (27, "zebra"), (40, "pond")], "item_id long, text string")
+
+
+def test_every_question_and_every_term(spark, tmp_path):
+    path = corpus(spark, tmp_path)
+    words = {i: x.split() for i, x in DOCS}
+    mean = sum(map(len, words.values())) / len(words)
+    want = {}
+    for q, terms in {1: ["red", "apple"], 13: ["sky"], 27: ["zebra"], 40: ["pond"]}.items():
+        for i, w in words.items():
+            score = 0.0
+            for x in set(terms) & set(w):
+                df, tf = sum(x in v for v in words.values()), w.count(x)
+                score -= math.log(1 + (len(words) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+            if score:
+                want[q, i] = round(score, 4)
+    got = QUERIES["bm25_all_questions"](spark, path).collect()
+    assert {(r.query, r.doc): r.score for r in got} == pytest.approx(want, abs=2e-4)
+    terms = Counter(x for w in words.values() for x in w)
+    assert {r.term: r.cf for r in QUERIES["all_postings"](spark, path).collect()} == terms
+    claims = {(r.query, r.evidence) for r in QUERIES["answer_with_claims"](spark, path).collect()}
+    assert claims == {*want, (27, None)}
