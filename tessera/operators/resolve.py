@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import graph
+
 # The edge that a resolved reference becomes.
 EDGE_FOR = {"call": "CALLS", "import": "IMPORTS", "extends": "EXTENDS", "implements": "IMPLEMENTS", "query": "QUERIES", "update": "UPDATES", "reference": "REFERENCES"}
 
@@ -65,3 +67,18 @@ def edges_and_issues(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
     reason = F.when(F.col("candidate").isNull(), "unresolved").when(many, "multi_candidate")
     issues = resolved.groupBy("ref", "kind", reason.alias("reason")).agg(F.sort_array(F.collect_list("candidate")).alias("candidates")).where("reason IS NOT NULL")
     return edges, issues
+
+
+def by_import_distance(links: DataFrame, candidates: DataFrame, depth: int = 12, unreachable: int = 20) -> DataFrame:
+    """``links``: source_file, target_file; ``candidates``: (ref, cand) files. All candidates of a reference, ranked by the imports
+    between them (up to ``depth``, else ``unreachable``), shared folders and name; confidence falls with distance and number."""
+    e = links.select(F.col("source_file").alias("source"), F.col("target_file").alias("target"), F.lit(1.0).alias("confidence"))
+    near = graph.bfs(e, candidates.select(F.col("ref").alias("id")).distinct(), depth).select(F.col("seed").alias("ref"), F.col("node").alias("cand"), "distance")
+    both = candidates.distinct().join(near, ["ref", "cand"], "left").withColumn("distance", F.coalesce("distance", F.lit(unreachable)))
+    folders = lambda c: F.split(F.when(F.contains(F.col(c), F.lit("/")), F.regexp_replace(c, "/[^/]*$", "")).otherwise("."), "/")
+    both = both.withColumn("_a", folders("ref")).withColumn("_b", folders("cand"))
+    shared = F.expr("aggregate(sequence(1, least(size(_a), size(_b))), 0, (n, i) -> if(n = i - 1 AND _a[i - 1] = _b[i - 1], i, n))")
+    w = Window.partitionBy("ref").orderBy("distance", F.desc("_shared"), "cand")
+    n = F.count("*").over(Window.partitionBy("ref"))
+    score = F.greatest(F.lit(0.2), F.round(0.75 - 0.04 * F.least("distance", F.lit(10)) - 0.05 * (n - 1), 2))
+    return both.withColumn("_shared", shared).select("ref", "cand", "distance", score.alias("confidence"), F.row_number().over(w).alias("rank"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera import fixtures as fx
 from tessera.fixtures import DEFINITE_SQL, EDGES_SQL, FILE_GRAPH_SQL, GRAPH_SQL, HANDOFFS_SQL, IMPACT_SQL, Tables
 from tessera.model import FLOW_TYPES
-from tessera.operators import graph
+from tessera.operators import graph, resolve
 from tessera.plans.base import query
 
 
@@ -207,7 +207,7 @@ def route_closure(t: Tables) -> DataFrame:
     return out
 
 
-@query("import_distance_ranking", "N19 R4", f"""WITH {FILE_GRAPH_SQL}, c AS (SELECT source_file AS ref, target_file AS cand, 1 AS d FROM file_graph UNION SELECT a.source_file, b.target_file, 2 FROM file_graph a JOIN file_graph b ON a.target_file = b.source_file),
+@query("import_distance_ranking", "R4", f"""WITH {FILE_GRAPH_SQL}, c AS (SELECT source_file AS ref, target_file AS cand, 1 AS d FROM file_graph UNION SELECT a.source_file, b.target_file, 2 FROM file_graph a JOIN file_graph b ON a.target_file = b.source_file),
  m AS (SELECT ref, cand, min(d) AS d FROM c WHERE ref <> cand GROUP BY ref, cand)
  SELECT ref, cand, CAST(d AS INTEGER) AS distance, round(greatest(0.2, 0.75 - 0.04 * least(d, 10) - 0.05 * (n - 1)), 2) AS confidence, CAST(rk AS INTEGER) AS rank FROM
  (SELECT *, least(count(*) OVER (PARTITION BY ref), 20) AS n, row_number() OVER (PARTITION BY ref ORDER BY d, CASE WHEN split_part(ref, '/', 1) = split_part(cand, '/', 1) THEN 0 ELSE 1 END, cand) AS rk FROM m) x WHERE rk <= 20""")
@@ -223,6 +223,15 @@ def import_distance_ranking(t: Tables) -> DataFrame:
     return both.select("ref", "cand", "distance", score.alias("confidence"), F.row_number().over(w).alias("rank")).where("rank <= 20")
 
 
+@query("import_distance_candidates", "N19")
+def import_distance_candidates(t: Tables) -> DataFrame:
+    """Files of other brands with the type of a file, ranked as what the file can mean by that type; ``import_distance_ranking`` knows
+    the files at one or two imports only."""
+    file = t.part.select("p_type", F.concat("p_brand", F.lit("/"), "p_type").alias("f")).distinct()
+    pairs = file.select("p_type", F.col("f").alias("ref")).join(file.select("p_type", F.col("f").alias("cand")), "p_type").where("ref <> cand").select("ref", "cand")
+    return resolve.by_import_distance(fx.file_links(t), pairs)
+
+
 _PATH_RULE = f"""WITH {GRAPH_SQL}, d AS (SELECT * FROM edges WHERE {DEFINITE_SQL})"""
 
 

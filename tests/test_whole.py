@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from tessera.operators import resolve
 from tessera.plans.registry import QUERIES
 
 
@@ -48,3 +49,13 @@ def test_every_question_and_every_term(spark, tmp_path):
     assert {r.term: r.cf for r in QUERIES["all_postings"](spark, path).collect()} == terms
     claims = {(r.query, r.evidence) for r in QUERIES["answer_with_claims"](spark, path).collect()}
     assert claims == {*want, (27, None)}
+
+
+def test_import_distance_up_to_twelve(spark):
+    chain = [(f"a/f{i:02d}", f"a/f{i + 1:02d}") for i in range(14)]
+    links = spark.createDataFrame([*chain, ("a/f00", "b/x")], "source_file string, target_file string")
+    cands = ["a/f03", "a/f12", "a/f13", "b/none", "b/x", "a/none"]
+    pairs = spark.createDataFrame([("a/f00", c) for c in cands] + [("c/alone", "b/x")], "ref string, cand string")
+    got = sorted((r.ref, r["rank"], r.cand, r.distance, r.confidence) for r in resolve.by_import_distance(links, pairs).collect())
+    assert [x[2:4] for x in got[:6]] == [("b/x", 1), ("a/f03", 3), ("a/f12", 12), ("a/f13", 20), ("a/none", 20), ("b/none", 20)]
+    assert [x[4] for x in got[:6]] == [0.46, 0.38, 0.2, 0.2, 0.2, 0.2] and got[6:] == [("c/alone", 1, "b/x", 20, 0.35)]
