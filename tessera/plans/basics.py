@@ -247,7 +247,7 @@ def diversified_top_k(t: Tables) -> DataFrame:
 
 @query("page_by_bytes", "W8", "WITH r AS (SELECT doc_id, octet_length(encode(text)) AS bytes, row_number() OVER (ORDER BY doc_id) AS n, sum(octet_length(encode(text))) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS running FROM documents WHERE doc_id < 5000) SELECT doc_id, CAST(bytes AS BIGINT) AS bytes, CAST(running AS BIGINT) AS running FROM r WHERE n <= 200 AND running <= 100000")
 def page_by_bytes(t: Tables) -> DataFrame:
-    docs = t.documents.where("doc_id < 5000").select("doc_id", F.octet_length("text").cast("long").alias("bytes"))
+    docs = t.documents.select("doc_id", F.octet_length("text").cast("long").alias("bytes"))
     return pages.byte_page(docs, [F.asc("doc_id")], "bytes", rows=200, limit=100_000).select("doc_id", "bytes", "running")
 
 

@@ -5,6 +5,8 @@ from collections import Counter
 
 import pytest
 
+from tessera import fixtures as fx
+from tessera.fixtures import Tables
 from tessera.operators import resolve
 from tessera.plans.registry import QUERIES
 
@@ -51,6 +53,16 @@ def test_every_question_and_every_term(spark, tmp_path):
     assert claims == {*want, (27, None)}
 
 
+def test_page_of_large_ids(spark, tmp_path):
+    path = table(spark, tmp_path, "documents", [(9000 + i, "x" * 60_000) for i in range(4)], "doc_id long, text string")
+    assert [r.doc_id for r in QUERIES["page_by_bytes"](spark, path).collect()] == [9000]
+
+
+def test_every_supplier_is_a_seed(spark, sf_dir):
+    got = QUERIES["bounded_bfs"](spark, sf_dir).where("distance = 0").count()
+    assert got == spark.read.parquet(f"{sf_dir}/supplier.parquet").count() > 5
+
+
 def test_import_distance_up_to_twelve(spark):
     chain = [(f"a/f{i:02d}", f"a/f{i + 1:02d}") for i in range(14)]
     links = spark.createDataFrame([*chain, ("a/f00", "b/x")], "source_file string, target_file string")
@@ -59,3 +71,14 @@ def test_import_distance_up_to_twelve(spark):
     got = sorted((r.ref, r["rank"], r.cand, r.distance, r.confidence) for r in resolve.by_import_distance(links, pairs).collect())
     assert [x[2:4] for x in got[:6]] == [("b/x", 1), ("a/f03", 3), ("a/f12", 12), ("a/f13", 20), ("a/none", 20), ("b/none", 20)]
     assert [x[4] for x in got[:6]] == [0.46, 0.38, 0.2, 0.2, 0.2, 0.2] and got[6:] == [("c/alone", 1, "b/x", 20, 0.35)]
+
+
+def test_task_subgraph_goes_two_hops(spark, sf_dir):
+    rows = lambda name: {r.type: r.n_edges for r in QUERIES[name](spark, sf_dir).collect()}
+    t = Tables(spark, sf_dir)
+    edges = [(r.source, r.target, r.type) for r in fx.edges(t).collect()]
+    near = {f"part:{r.p_partkey}" for r in t.part.where("p_size = 7").collect()}
+    for _ in range(2):
+        near = near | {b for a, b, _ in edges if a in near} | {a for a, b, _ in edges if b in near}
+    want = Counter(kind for a, b, kind in edges if a in near and b in near)
+    assert rows("task_subgraph_two_hops") == want and sum(want.values()) > sum(rows("task_subgraph").values())
