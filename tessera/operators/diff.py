@@ -58,19 +58,22 @@ def renamed_ids(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return new.join(o, key, "left").withColumn("id", F.coalesce("_old", "id")).drop("_old")
 
 
-def rename_chains(renames: DataFrame, least: float = 0.5, hops: int = 10) -> DataFrame:
+def rename_chains(renames: DataFrame, least: float = 0.5) -> DataFrame:
     """(previous, path): where each file ends up after chains of accepted renames. A rename counts if similar enough and if its target has
-    no other source; cycles end where they close."""
+    no other source; cycles end where they close. Chains of any length are followed, a round for each link of the longest."""
     one = renames.where(F.col("similarity") >= least)
     unique = one.groupBy("path").agg(F.count("*").alias("_n"), F.first("previous").alias("previous")).where("_n = 1").select("previous", "path")
     step = cut(unique.select(F.col("previous").alias("_from"), F.col("path").alias("_to")))
-    now = step.select(F.col("_from").alias("previous"), F.col("_to").alias("path"), F.array("_from", "_to").alias("seen"))
-    for _ in range(hops):
-        grown = cut(now.join(step, now["path"] == step["_from"], "left").select("previous", "path", "seen", F.when(F.array_contains("seen", F.col("_to")), F.lit(None).cast("string")).otherwise(F.col("_to")).alias("next")))
-        if grown.where("next IS NOT NULL").isEmpty():
-            break
-        now = grown.select("previous", F.coalesce("next", "path").alias("path"), F.when(F.col("next").isNull(), F.col("seen")).otherwise(F.concat("seen", F.array("next"))).alias("seen"))
-    return now.select("previous", "path")
+    # a target has one source, so a chain can only close at its own start
+    now = step.select(F.col("_from").alias("previous"), F.col("_to").alias("path"))
+    ended = []
+    while not now.isEmpty():
+        grown = cut(now.join(step, now["path"] == step["_from"], "left").select("previous", "path", F.when(F.col("_to") != F.col("previous"), F.col("_to")).alias("next")))
+        ended.append(grown.where("next IS NULL").select("previous", "path"))
+        now = grown.where("next IS NOT NULL").select("previous", F.col("next").alias("path"))
+        if len(ended) > 20:  # a short plan, however many rounds there are
+            ended = [cut(reduce(DataFrame.unionByName, ended))]
+    return reduce(DataFrame.unionByName, ended, now)
 
 
 def delta_class(prints: dict[str, tuple[Column, Column]]) -> Column:

@@ -62,7 +62,7 @@ def renamed_ids(t: Tables) -> DataFrame:
  SELECT CAST(previous AS VARCHAR) AS previous, CAST(max(path) AS VARCHAR) AS path FROM r WHERE path - previous <= 77 GROUP BY previous""")
 def rename_chains(t: Tables) -> DataFrame:
     e = t.events.where("value >= 50 AND event_id % 3 <> 0").select(F.col("event_id").cast("string").alias("previous"), (F.col("event_id") + 7).cast("string").alias("path"), F.lit(0.9).alias("similarity"))
-    return diff.rename_chains(e, hops=10)
+    return diff.rename_chains(e)
 
 
 @query("semantic_delta", "I5", "WITH o AS (SELECT p_partkey, md5(p_name) AS e, md5(p_brand) AS i, md5(CAST(p_size AS VARCHAR)) AS b FROM part), n AS (SELECT p_partkey, md5(CASE WHEN p_partkey % 17 = 0 THEN 'x' ELSE p_name END) AS e, md5(CASE WHEN p_partkey % 5 = 0 THEN 'y' ELSE p_brand END) AS i, md5(CAST(p_size + p_partkey % 2 AS VARCHAR)) AS b FROM part) SELECT CASE WHEN o.e <> n.e THEN 'exports' WHEN o.i <> n.i THEN 'imports' WHEN o.b <> n.b THEN 'body' ELSE 'unchanged' END AS delta, CAST(count(*) AS BIGINT) AS n FROM o JOIN n USING (p_partkey) GROUP BY ALL")

@@ -7,7 +7,7 @@ import pytest
 
 from tessera import fixtures as fx
 from tessera.fixtures import Tables
-from tessera.operators import resolve
+from tessera.operators import diff, resolve
 from tessera.plans.registry import QUERIES
 
 
@@ -82,3 +82,9 @@ def test_task_subgraph_goes_two_hops(spark, sf_dir):
         near = near | {b for a, b, _ in edges if a in near} | {a for a, b, _ in edges if b in near}
     want = Counter(kind for a, b, kind in edges if a in near and b in near)
     assert rows("task_subgraph_two_hops") == want and sum(want.values()) > sum(rows("task_subgraph").values())
+
+
+def test_long_rename_chains(spark):
+    rows = [(f"p{i:02d}", f"p{i + 1:02d}", 0.9) for i in range(15)] + [("x", "y", 0.9), ("y", "x", 0.9), ("y", "z", 0.9)]
+    got = sorted((r.previous, r.path) for r in diff.rename_chains(spark.createDataFrame(rows, "previous string, path string, similarity double")).collect())
+    assert got == [(f"p{i:02d}", "p15") for i in range(15)] + [("x", "y"), ("x", "z"), ("y", "x"), ("y", "z")]
