@@ -142,7 +142,7 @@ def target_resolution(t: Tables) -> DataFrame:
     return asked.join(c, F.col("wanted") == F.col("name")).groupBy(F.when(F.col("n_found") == 1, "resolved").otherwise("ambiguous").alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("answer_with_claims", "T15 N21 Q26")
+@query("answer_with_claims", "T15 Q26")
 def answer_with_claims(t: Tables) -> DataFrame:
     """Claims about the best matches of a question, each with the document that carries it; a question without matches abstains."""
     found = search.bm25(search.postings(t.documents, "doc_id", "text"), _questions(t))
