@@ -16,7 +16,7 @@ buckets smaller, at the price of more tables or probes.
 
 Edge cases. Vectors that are null, zero, or hold null or non-finite components take no part, nor do those with another
 number of dimensions than most. Ties go to the smaller id. Repeated ids: candidates each, and a query excludes all rows with its own id. Fewer
-candidates than k: what the tables find. No rows: no rows. Extra columns are ignored, so their names cannot clash.
+candidates than k: all of them; a query that the tables leave with fewer rows than that is ranked against all vectors, block by block. No rows: no rows. Extra columns are ignored, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from tessera.llm.blocks import keep
 from tessera.llm.nra import usable
 
 TABLES, PROBES, FUNCTIONS = 16, 8, 1
+#: Classes of a block, where queries are ranked against all of them.
+BLOCK = 4096
 SEED = 3
 
 
@@ -194,6 +196,27 @@ def nearest(vectors: DataFrame, queries: str, k: int, tables: int = TABLES, prob
         probes *= 2  # one more dimension doubles the width, and with it the number of buckets
     dealt = classes.select("class", "v", "is_query").mapInArrow(_dealt(dims, ends[1], level, tables, probes, functions), "tab int, bucket long, visit boolean, class long, v binary")
     found = dealt.groupBy("tab", "bucket").applyInArrow(_ranked(dims, k + 1), "query_class long, class long, score double")
+    out = _merged(found, classes, asked, k)
+    # exact ranks for the queries that the tables leave with too few rows
+    out = keep(out)
+    total, own = packed.count(), packed.join(asked.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.count("*").alias("own"))
+    rows = out.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("rows"))
+    short = own.join(rows, "id", "left").where(F.coalesce("rows", F.lit(0)) < F.least(F.lit(k), F.lit(total) - F.col("own"))).select("id")
+    short = keep(short)
+    if short.isEmpty():
+        return out
+    lacking = asked.join(short, "id", "left_semi")
+    of_short = lacking.select("v").distinct().join(classes, "v").select("class", "v")
+    blocks = max(1, -(-classes.count() // BLOCK))
+    stored = classes.select("class", "v", F.pmod(F.xxhash64("class"), F.lit(blocks)).alias("bucket"), F.lit(False).alias("visit"))
+    visits = of_short.select("class", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("bucket"), F.lit(True).alias("visit"))
+    dealt = stored.unionByName(visits).select(F.lit(0).alias("tab"), "bucket", "visit", "class", "v")
+    found = dealt.groupBy("tab", "bucket").applyInArrow(_ranked(dims, k + 1), "query_class long, class long, score double")
+    return out.join(short, out["query_id"] == short["id"], "left_anti").unionByName(_merged(found, classes, lacking, k))
+
+
+def _merged(found: DataFrame, classes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The best rows of each query from what was found in buckets."""
     place = F.dense_rank().over(Window.partitionBy("query_class").orderBy(F.desc("score"), "class"))
     best = found.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("query_class", "class").agg(F.max("score").alias("score"))
     members = best.join(classes.select("class", F.explode("ids").alias("vec_id")), "class")

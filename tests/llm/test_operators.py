@@ -385,6 +385,20 @@ def test_cross_polytope_copies_and_odd_vectors(spark):
     assert cross_polytope.nearest(t.limit(0), "id % 10 = 0", 20).collect() == []
 
 
+def test_cross_polytope_ranks_all_of_a_small_table(spark, monkeypatch):
+    monkeypatch.setattr(cross_polytope, "BLOCK", 5)
+    r = np.random.default_rng(8)
+    x = r.normal(size=(12, 64))
+    x = np.concatenate([x, -x[:3]])
+    ids = list(range(15))
+    got = defaultdict(list)
+    for row in sorted(cross_polytope.nearest(vectors(spark, list(zip(ids, x.tolist(), strict=True))), "id % 2 = 0", 20).collect(), key=lambda z: (z.query_id, z["rank"])):
+        got[row.query_id].append(row.vec_id)
+    for q in range(0, 15, 2):
+        score = x @ x[q]
+        assert got[q] == [ids[j] for j in np.lexsort((ids, -score)) if ids[j] != q]
+
+
 # -------------------------------------------------------------------------------------------------------- n-gram join
 
 
