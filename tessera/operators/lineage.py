@@ -1,17 +1,27 @@
-"""Cutting lineage between the rounds of a loop."""
+"""The cluster's shared folder, and cutting lineage there between the rounds of a loop."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir`` (any Hadoop file system). A local session that names none gets a
+    temporary one; on a cluster the executors would write to disks of their own, so there the setting must be made."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a checkpoint in the shared folder that the session names; a lost executor loses nothing. Only
-    where the session names none, as in tests, a temporary folder serves."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-"))
+    """The same rows from a checkpoint in the shared folder; a lost executor loses nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

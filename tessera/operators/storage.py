@@ -33,25 +33,47 @@ def delete_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[D
     return left, ends.select(*edges.columns)
 
 
+def _folder(spark: SparkSession, path: str):
+    """(file system, Hadoop path) by the driver's JVM."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions of a table, the oldest first."""
+    fs, folder = _folder(spark, path)
+    if not fs.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    return sorted(int(n[2:]) for n in names if n.startswith("v-") and n[2:].isdigit())
+
+
 def replace_all(df: DataFrame, path: str) -> None:
-    """Replaces a table as a whole: readers see the old rows until the new ones are complete. The rows go to a folder of their own, then
-    a pointer file is renamed into place."""
+    """Replaces a table as a whole. The rows are staged in a folder of their own, which one rename makes the next version; readers take the newest
+    version, so at any moment they see all of the old rows or all of the new ones, and a failed write leaves the old version the newest.
+    Of two writers at once the rename of the later one fails. Older versions stay for readers that have begun; ``drop_old`` removes them."""
     spark = df.sparkSession
-    name = uuid.uuid4().hex
-    df.write.parquet(f"{path}/v-{name}")
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    pointer, fresh = (jvm.org.apache.hadoop.fs.Path(f"{path}/{x}") for x in ("current", f"next-{name}"))
-    fs = pointer.getFileSystem(conf)
-    out = fs.create(fresh, True)
-    out.writeBytes(name)
-    out.close()
-    fs.delete(pointer, False)
-    fs.rename(fresh, pointer)
+    number = (_versions(spark, path) or [0])[-1] + 1
+    fs, staged = _folder(spark, f"{path}/stage-{uuid.uuid4().hex}")
+    df.write.parquet(staged.toString())
+    _, final = _folder(spark, f"{path}/v-{number}")
+    if fs.exists(final) or not fs.rename(staged, final):
+        raise RuntimeError(f"version {number} of {path} was written by someone else")
+
+
+def has_table(spark: SparkSession, path: str) -> bool:
+    return bool(_versions(spark, path))
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:
-    row = spark.read.text(f"{path}/current").first()
-    return spark.read.parquet(f"{path}/v-{row['value']}")
+    return spark.read.parquet(f"{path}/v-{_versions(spark, path)[-1]}")
+
+
+def drop_old(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Deletes all versions but the newest ``keep``."""
+    for number in _versions(spark, path)[:-keep]:
+        fs, old = _folder(spark, f"{path}/v-{number}")
+        fs.delete(old, True)
 
 
 def prune(snapshots: DataFrame, keep: int, pinned: tuple[str, ...] = ()) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.fixtures import Tables
+from tessera.operators.lineage import shared_folder
 from tessera.plans.base import query
 from tessera.sources import adapters, gitlog
 
@@ -115,13 +118,10 @@ def runtime_observations(t: Tables) -> DataFrame:
 @query("watched_equals_batch", "I1 I2 I9", "SELECT event_type AS id, max(event_id) AS version FROM events GROUP BY event_type")
 def watched_equals_batch(t: Tables) -> DataFrame:
     """A watched folder of event files, upserted batch by batch, comes to the same as one aggregate."""
-    import tempfile
-
     from tessera.operators.storage import read_current
     from tessera.streaming.watch import watch
 
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    base = f"{base}/watched-{t.spark.sparkContext.startTime}-{abs(hash(t.path)) % 10**6}"
+    base = f"{shared_folder(t.spark)}/watched-{uuid.uuid4().hex}"
     rows = t.events.select(F.col("event_type").alias("id"), F.col("event_id").alias("version"))
     for part in range(3):
         rows.where(F.col("version") % 3 == part).groupBy("id").agg(F.max("version").alias("version")).write.mode("append").parquet(f"{base}/source")

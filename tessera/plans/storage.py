@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import fixtures as fx
 from tessera.fixtures import GRAPH_SQL, Tables
 from tessera.operators import storage
+from tessera.operators.lineage import shared_folder
 from tessera.plans.base import query
 
 
@@ -48,10 +51,7 @@ def location_refresh(t: Tables) -> DataFrame:
 
 @query("replace_all", "A12 A17", "SELECT r_regionkey, r_name FROM region")
 def replace_all(t: Tables) -> DataFrame:
-    import tempfile
-
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    path = f"{base}/replaced-{t.spark.sparkContext.startTime}"
+    path = f"{shared_folder(t.spark)}/replaced-{uuid.uuid4().hex}"
     storage.replace_all(t.region.limit(1), path)
     storage.replace_all(t.region, path)
     return storage.read_current(t.spark, path).select("r_regionkey", "r_name")

@@ -12,17 +12,15 @@ from tessera.operators import storage
 
 
 def watch(spark: SparkSession, schema: str, source: str, target: str, key: list[str], checkpoint: str, interval: str = "250 milliseconds", once: bool = False, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Upserts every new file of ``source`` into the table at ``target`` (a staged folder with a pointer, so a batch that fails leaves the
-    old rows in place and is repeated). ``once`` handles what is there and ends."""
+    """Upserts every new file of ``source`` into the table at ``target`` (staged and renamed into place, so a batch that fails leaves the
+    old rows in place and is repeated; a failed read fails the batch). ``once`` handles what is there and ends."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        try:
-            old = storage.read_current(spark, target)
-        except Exception:  # noqa: BLE001  no table yet
-            old = spark.createDataFrame([], rows.schema)
+        old = storage.read_current(spark, target) if storage.has_table(spark, target) else spark.createDataFrame([], rows.schema)
         w = Window.partitionBy(*key).orderBy(F.desc("version"))
         newest = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
         storage.replace_all(storage.upsert(old, newest, key, keep=()), target)
+        storage.drop_old(spark, target)
         if after:
             after(newest, number)
 
