@@ -1,13 +1,12 @@
 """What the operators of this subpackage share: scratch tables in the cluster's shared folder, and word hashing.
 
 Scratch tables go to the folder that the session names in ``spark.checkpoint.dir`` (any Hadoop file system), so
-that they outlive a lost executor. Only where that setting is absent, as in tests, a temporary folder is used.
+that they outlive a lost executor. Only a local session that lacks that setting, as in tests, gets a temporary folder.
 """
 
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.operators.lineage import shared_folder
+
 #: White space of the word rule [^\x20\x09-\x0D]+.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of text that are hashed at once; bounds the memory of a Python worker.
@@ -26,12 +27,7 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def scratch(spark: SparkSession) -> str:
     """A new folder name below the shared folder of the session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/tessera/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tessera/{uuid.uuid4().hex}"
     atexit.register(_forget_quietly, spark, path)
     return path
 
