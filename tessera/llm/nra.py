@@ -1,125 +1,119 @@
 """Exact top-k search by the no-random-access algorithm (Fagin, Lotem and Naor) over sorted lists.
 
-Vectors are cut into blocks; a block keeps a list for each dimension, sorted by value. A query reads the lists of a
-block sequentially, from the end that serves the sign of its weight, in steps that each halve what is unread. What it has read of a
-vector gives its lower bound (unread dimensions at the worst value of their list) and its upper bound (unread
-dimensions at the value that the list has come to). Vectors whose upper bound is below the k-th lower bound are
-dropped, and later steps are made for the others only; a query ends when the bounds of all that remain have met, or reads on to the
-end for the few that remain, so that no outsider can qualify and the best k are resolved. Lists are read, never probed for one vector. Each block yields its k best; the k best of those are the answer, since
-a vector beaten k times in its block is beaten k times overall.
+Vectors are dealt to blocks once; a task holds the lists of one block: for each dimension its entries (value, vector), sorted by value.
+A query reads the lists sequentially, all to the same depth, each from the end that serves the sign of its
+weight, a batch at a time; lists of weight zero are never opened. For each vector seen it keeps
 
-All queries of a block read at once: the entries of rank below some depth are a mask over the block, so sums of what is read, and
-bounds of what is not, are products of the queries with masked matrices. Integers stay exact in doubles.
+* a lower bound: what was read of it, with unread dimensions at the last value of their lists,
+* an upper bound: what was read of it, with unread dimensions at the value that their lists have come to.
 
-Queries and blocks meet block by block (a stated query set against all rows); a task holds one block of vectors and
-one of queries, so memory does not grow with the input.
+A vector not seen at all has the sum of the latter as its upper bound. After each batch the k-th best lower bound is the bar; vectors whose upper bound is
+below it are dropped. Reading stops once at most ``FINAL`` vectors are left: no outsider can qualify.
+Their scores are then resolved from the dimensions still unread. Ties with the bar are never dropped, so the smaller id wins as it should.
+Each block yields its k best of a query; the k best of those are the answer, since a vector beaten k times in its block is beaten k times overall.
+
+Scale. Each vector is shuffled once and each query once a block (a stated query set against all rows); a task's block is bounded by ``VECTORS``,
+and queries stream through it, so memory does not grow with the input.
 
 Edge cases. Vectors that are null or hold null or non-finite components take no part, nor do those with another
-number of dimensions than most vectors of the block. Ties go to the smaller id. Repeated vectors are candidates each;
-repeated ids are too, and a query excludes every row with its own id. Fewer candidates than k: all of them. No rows: no
-rows. Extra columns are ignored, so their names cannot clash.
+number of dimensions than most vectors have (the smaller of equally frequent numbers). Ties go to the smaller id. Repeated vectors are candidates each;
+repeated ids are too, and a query excludes every row with its own id. Of queries that repeat an id, ``op4`` asks one. A query of
+zeros reads nothing: all scores are 0, the smallest ids win. Fewer candidates than k: all of them. No rows: no
+rows. Extra columns are ignored, so their names cannot clash. Scores are exact while their sums stay below 2**53.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Vectors and queries of one block.
-VECTORS, QUERIES_A_BLOCK = 4096, 256
-
+from tessera.llm.blocks import partitions
 
-#: Shares of a block: with fewer vectors in question a query reads on for those alone, to the end; with more, a step is made for all queries at once.
-FEW, MOST = 1 / 8, 1 / 2
+#: Vectors of a block: about ``SMALL`` where the session's partitions allow as many blocks, never more than ``VECTORS`` on average.
+SMALL, VECTORS = 2048, 16384
+#: Vectors that may be left when reading stops.
+FINAL = 16
+#: Batches in which a list is read to its end.
+BATCHES = 16
 
 
 class Lists:
-    """The sorted lists of a block: for each dimension the rank of every vector, from the upper and from the lower end."""
+    """The sorted lists of a block, the largest values first. ``read`` counts the entries that queries have read, ``resolved`` the vectors
+    whose unread dimensions were looked up at the end."""
 
     def __init__(self, vectors: np.ndarray) -> None:
-        self.vectors = vectors.astype(np.float64)
-        order = np.argsort(-vectors, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.vectors, order, axis=0)
-        self.rank = np.empty_like(order)
-        self.resolved = 0  # pairs of query and vector that were scored in full
-        np.put_along_axis(self.rank, order, np.broadcast_to(np.arange(len(vectors))[:, None], order.shape), axis=0)
-
-    def _read(self, up: np.ndarray, down: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of all vectors when every list is read to a depth; ``up`` and ``down`` are the positive and the
-        negative weights, whose lists are read from the upper and from the lower end."""
-        n = len(self.vectors)
-        top, bottom = self.rank < depth, self.rank >= n - depth
-        read = up @ np.where(top, self.vectors, 0.0).T + down @ np.where(bottom, self.vectors, 0.0).T
-        rest_up, rest_down = (~top).astype(np.float64).T, (~bottom).astype(np.float64).T
-        lower = read + (up * self.sorted[-1]) @ rest_up + (down * self.sorted[0]) @ rest_down
-        upper = read + (up * self.sorted[depth - 1]) @ rest_up + (down * self.sorted[n - depth]) @ rest_down
-        return lower, upper
-
-    def _read_few(self, query: np.ndarray, rows: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """The same bounds for one query, of some rows only."""
-        n = len(self.vectors)
-        rank, vectors = self.rank[rows], self.vectors[rows]
-        seen = np.where(query > 0, rank < depth, rank >= n - depth)
-        worst = np.where(query > 0, self.sorted[-1], self.sorted[0])
-        come_to = np.where(query > 0, self.sorted[depth - 1], self.sorted[n - depth])
-        return np.where(seen, vectors, worst) @ query, np.where(seen, vectors, come_to) @ query
-
-    def top(self, queries: np.ndarray, k: int, banned: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query the rows, with exact scores, of all that can be among its k best (ties included)."""
-        queries = queries.astype(np.float64)
+        self.vectors = np.asarray(vectors, np.float64)
+        order = np.argsort(-self.vectors, axis=0, kind="stable")
+        self.values = np.ascontiguousarray(np.take_along_axis(self.vectors, order, axis=0).T)  # a row for each dimension
+        self.rows = np.ascontiguousarray(order.T.astype(np.int32))
+        self.read = self.resolved = 0
+
+    def top(self, query: np.ndarray, k: int, banned: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The rows that can be among the k best (ties included), with exact scores; ``banned`` rows are no candidates."""
         n = len(self.vectors)
-        left, out = [np.flatnonzero(~b) for b in banned], [None] * len(queries)
-        open_ = np.arange(len(queries))
-        rest = n // 2
-        while len(open_):
-            depth, still = n - rest, []
-            # bounds of the whole block as products, as long as most of it is in question
-            whole = rest > 0 and sum(len(left[i]) for i in open_.tolist()) > n * len(open_) * MOST
-            if whole:
-                lower, upper = self._read(np.maximum(queries[open_], 0), np.minimum(queries[open_], 0), depth)
-            for at, i in enumerate(open_.tolist()):
-                rows = left[i]
-                if rest == 0 or len(rows) <= max(k, n * FEW):
-                    # the rest of the lists, of which only the entries of these rows matter
-                    self.resolved += len(rows)
-                    out[i] = (rows, (self.vectors[rows] @ queries[i]).astype(np.int64))
-                    continue
-                low, high = (lower[at, rows], upper[at, rows]) if whole else self._read_few(queries[i], rows, depth)
-                bar = np.partition(low, len(rows) - k)[len(rows) - k]
-                keep = high >= bar
-                if np.array_equal(low[keep], high[keep]):
-                    out[i] = (rows[keep], low[keep].astype(np.int64))
-                else:
-                    left[i] = rows[keep]
-                    still.append(i)
-            open_ = np.asarray(still, np.int64)
-            rest //= 2
-        return out
-
-
-def _search(k: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        is_query = table.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
-        ids = table.column("id").to_numpy()
-        column = table.column("v").combine_chunks()
-        width = column.value_lengths().to_numpy()
-        flat, start = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(width)])
-        common = int(np.bincount(width[~is_query]).argmax()) if (~is_query).any() else 0
-        rows, queries = (np.flatnonzero((width == common) & side) for side in (~is_query, is_query))
-        take = lambda which: flat[start[which][:, None] + np.arange(common)]
-        found_q, found_v, found_s = [], [], []
-        if len(rows) and len(queries) and common:
-            rows = rows[np.argsort(ids[rows], kind="stable")]
-            own = ids[rows]
-            lists = Lists(take(rows))
-            for i, (found, score) in zip(queries.tolist(), lists.top(take(queries), k, own[None, :] == ids[queries][:, None]), strict=True):
-                best = np.lexsort((own[found], -score))[:k]
-                found_q += [int(ids[i])] * len(best)
-                found_v += own[found[best]].tolist()
-                found_s += score[best].tolist()
-        return pa.table({"query_id": pa.array(found_q, pa.int64()), "vec_id": pa.array(found_v, pa.int64()), "score": pa.array(found_s, pa.int64())})
+        sides = [np.flatnonzero(query > 0), np.flatnonzero(query < 0)]
+        weight = query[np.concatenate(sides)].astype(np.float64)
+        end = weight * np.concatenate([self.values[sides[0], -1], self.values[sides[1], 0]])  # the least a dimension can add
+        step, depth = max(1, -(-n // BATCHES)), 0
+        score, seen = np.zeros(n), np.zeros((n, len(weight)), np.float32)
+        column = np.arange(len(weight))[:, None]
+        alive = np.ones(n, bool)
+        if banned is not None:
+            alive[banned] = False
+        left = np.flatnonzero(alive)
+        while len(left) > max(k, FINAL) and len(weight) and depth < n:
+            past = min(n, depth + step)
+            rows = np.concatenate([self.rows[sides[0], depth:past], self.rows[sides[1], n - past : n - depth]])
+            adds = weight[:, None] * np.concatenate([self.values[sides[0], depth:past], self.values[sides[1], n - past : n - depth]])
+            come_to = weight * np.concatenate([self.values[sides[0], past - 1], self.values[sides[1], n - past]])
+            self.read += rows.size
+            depth = past
+            score += np.bincount(rows.ravel(), adds.ravel(), minlength=n)
+            seen[rows, column] = 1
+            unread = seen[left] @ np.stack([end, come_to], axis=1)
+            low = score[left] + (end.sum() - unread[:, 0])
+            high = score[left] + (come_to.sum() - unread[:, 1])
+            bar = np.partition(low, len(low) - k)[len(low) - k]
+            left = left[high >= bar - 1e-6 * (1 + abs(bar))]  # sums of floats; scores are whole numbers
+        self.resolved += len(left)
+        return left, self.vectors[left] @ query.astype(np.float64)
+
+
+def _search(k: int, dims: int):
+    """Over partitions that hold a block's vectors first and then its queries, by batches."""
+
+    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column("v").flatten().to_numpy().reshape(-1, dims)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors, lists = [], [], None
+        own = np.zeros(0, np.int64)
+        for batch in batches:
+            is_query = batch.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
+            split = int((~is_query).sum())  # vectors stand first
+            if split:
+                ids.append(batch.column("id").slice(0, split).to_numpy())
+                vectors.append(matrix(batch.slice(0, split)))
+            if split == batch.num_rows or not ids:
+                continue
+            if lists is None:
+                own = np.concatenate(ids)
+                by_id = np.argsort(own, kind="stable")
+                own = own[by_id]
+                lists = Lists(np.concatenate(vectors)[by_id])
+            found_q, found_v, found_s = [], [], []
+            asked = batch.slice(split)
+            for i, query in zip(asked.column("id").to_pylist(), matrix(asked), strict=True):
+                rows, score = lists.top(query, k, np.arange(*np.searchsorted(own, [i, i + 1])))
+                best = rows[order := np.lexsort((own[rows], -score))[:k]]
+                found_q.append(np.full(len(best), i, np.int64))
+                found_v.append(own[best])
+                found_s.append(score[order].astype(np.int64))
+            yield pa.RecordBatch.from_pydict({"query_id": np.concatenate(found_q), "vec_id": np.concatenate(found_v), "score": np.concatenate(found_s)})
 
     return run
 
@@ -129,17 +123,20 @@ def usable(vector: str):
     return F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, n_rows: int | None = None) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``vectors`` and ``queries``: id long, v array of long. Returns query_id, rank, vec_id, score."""
-    n = vectors.count() if n_rows is None else n_rows
-    blocks = max(1, -(-n // VECTORS))
-    query_blocks = max(1, -(-queries.count() // QUERIES_A_BLOCK))
-    # each block of vectors meets each block of queries: either side is copied as often as the other has blocks
-    left = vectors.select("id", "v", F.lit(False).alias("is_query"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"))
-    right = queries.select("id", "v", F.lit(True).alias("is_query"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).alias("q"))
-    both = left.select("id", "v", "is_query", F.col("b").cast("int"), F.col("q").cast("int")).unionByName(right.select("id", "v", "is_query", F.col("b").cast("int"), F.col("q").cast("int")))
-    dealt = both.withColumn("at", F.col("b") * query_blocks + F.col("q")).repartitionById(blocks * query_blocks, "at")
-    found = dealt.groupBy("at").applyInArrow(_search(k), "query_id long, vec_id long, score long")
+    spark: SparkSession = vectors.sparkSession
+    widths = vectors.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").collect()  # a row for each number of dimensions
+    widths = [r for r in widths if r["w"] > 0]
+    if not widths:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    dims, n = widths[0]["w"], widths[0]["n"]
+    blocks = max(-(-n // VECTORS), min(partitions(spark), -(-n // SMALL)))
+    fits = F.size("v") == dims
+    left = vectors.where(fits).select("id", "v", F.lit(False).alias("is_query"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"))
+    right = queries.where(fits).select("id", "v", F.lit(True).alias("is_query"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    dealt = left.unionByName(right).repartitionById(blocks, "block").sortWithinPartitions("is_query", "id")
+    found = dealt.select("id", "v", "is_query").mapInArrow(_search(k, dims), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
