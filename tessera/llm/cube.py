@@ -4,14 +4,16 @@ Each source gets a target number of words; a document of the source is expected
 whole part of that ratio is taken for certain, the fractional part is a balanced sample: the flight phase moves
 the vector of inclusion probabilities through the null space of the balancing constraints (number of documents and
 number of words), so both totals stay exact. When ``LANDING`` documents of a source are left that may still be fractional, the landing
-phase takes the subset of those whose words come closest to what they should add, and then whose number does.
+phase draws from a design over the subsets of those: the linear programme that keeps every inclusion probability and makes the expected
+distance from the total of words (and, far behind, of documents) as small as can be. So each document is taken as often as its source's ratio says on average,
+and the totals are off by what the landing of at most ``LANDING`` documents leaves.
 
 The flight runs in chunks of about ``chunk`` documents of one source, the largest first. What a chunk leaves
 fractional, two documents at most, meets in the next round, so a source of any size needs log(n) rounds and no task sees
 more than a chunk. Chunks are dealt by a hash of the row and random numbers are seeded by source, round and chunk: reruns agree.
 
-Edge cases. Null or empty text: size 0, never sampled (0 words whatever is taken), taken 0. Null source: a source of its own,
-ordered last. Repeated rows and ids: each row is a document of its own. A source whose size is 0 has target 0. No
+Edge cases. Null or empty text: size 0, never sampled (0 words whatever is taken), taken 0. Null id: a document like any other. Null source: a source of its own,
+ordered last. Ties in size are ordered by id, then by row. Repeated rows and ids: each row is a document of its own. A source whose size is 0 has target 0. No
 rows: no rows. Other columns of the input are not touched; their names cannot clash, as the operator reads
 expressions and returns a table with columns of its own.
 """
@@ -60,7 +62,7 @@ def water_levels(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: f
 
 def flight(p: list[float], size: list[float], draw: random.Random, land: bool) -> list[float]:
     """Moves probabilities until at most two are fractional, with sums of p and of p * size kept; with ``land``, until ``LANDING``
-    are, for which the best subset follows."""
+    are, which then land."""
     eps = 1e-9
 
     def move(ids: list[int], u: list[float]) -> None:
@@ -86,26 +88,40 @@ def flight(p: list[float], size: list[float], draw: random.Random, land: bool) -
             move(open_ids, u if any(u) else [1.0, -1.0, 0.0])
             open_ids = [j for j in open_ids if 0 < p[j] < 1]
     if land and (last := [*open_ids, *rest]):
-        chosen = (np.arange(1 << len(last))[:, None] >> np.arange(len(last))) & 1
-        share, words = np.asarray([p[j] for j in last]), np.asarray([size[j] for j in last])
-        off = np.abs(chosen @ words - share @ words)
-        best = np.lexsort((np.abs(chosen.sum(axis=1) - share.sum()), np.round(off, 6)))[0]
-        for j, x in zip(last, chosen[best], strict=True):
+        for j, x in zip(last, landing([p[j] for j in last], [size[j] for j in last], draw), strict=True):
             p[j] = float(x)
-        # where one document outweighs what is left, others of the group make up for it, the one closest to the gap first
-        gap = float(share @ words - chosen[best] @ words)
-        free = set(movable)
-        while free:
-            wanted = 0.0 if gap > 0 else 1.0
-            j = min((j for j in free if p[j] == wanted), key=lambda j: (abs(abs(gap) - size[j]), j), default=None)
-            if j is None or abs(abs(gap) - size[j]) >= abs(gap):
-                break
-            p[j] = 1.0 - wanted
-            gap -= size[j] if wanted == 0.0 else -size[j]
-            free.discard(j)
     return p
 
 
+def landing(p: list[float], size: list[float], draw: random.Random) -> np.ndarray:
+    """A subset (0 or 1 for each document), drawn with inclusion probabilities exactly ``p``, from the design with the least expected
+    distance from the totals: a simplex over all subsets, from the design of nested subsets onwards."""
+    n = len(p)
+    share, words = np.asarray(p, float), np.asarray(size, float)
+    subsets = ((np.arange(1 << n)[:, None] >> np.arange(n)) & 1).astype(float)
+    cost = np.abs(subsets @ words - share @ words) / max(1.0, words.max()) + 1e-3 * np.abs(subsets.sum(axis=1) - share.sum())
+    table = np.vstack([subsets.T, np.ones(1 << n)])  # what subsets hold, and that their probabilities come to one
+    falling = np.argsort(-share, kind="stable")
+    basis = np.asarray([0, *np.cumsum(1 << falling)])  # the empty subset, then one more document at a time
+    weight = -np.diff(np.asarray([1.0, *share[falling], 0.0]))
+    for turn in range(50 * (n + 1)):
+        inverse = np.linalg.inv(table[:, basis])
+        gain = cost - (cost[basis] @ inverse) @ table
+        # the best column; the first one after many turns, which cannot run in circles
+        enters = int(np.argmin(gain)) if turn < 20 * (n + 1) else int(np.argmax(gain < -1e-9))
+        if gain[enters] >= -1e-9:
+            break
+        falls = inverse @ table[:, enters]
+        ratio = np.where(falls > 1e-9, np.maximum(weight, 0) / np.where(falls > 1e-9, falls, 1), np.inf)
+        least = ratio.min()
+        leaves = min(np.flatnonzero(ratio <= least + 1e-12).tolist(), key=lambda i: basis[i])
+        weight = weight - least * falls
+        basis[leaves], weight[leaves] = enters, least
+    weight = np.maximum(weight, 0)
+    at = int(np.searchsorted(np.cumsum(weight), draw.random() * weight.sum(), "right"))
+    return subsets[basis[min(at, n)]]
+
+
 def _fly(seed: int, turn: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["size", "doc_id", "row"], ascending=[False, True, True], kind="stable")
@@ -132,7 +148,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0,
     turn = 0
     while True:
         counts = left.groupBy("source").agg(F.ceil(F.count("*") / chunk).cast("long").alias("chunks"))
-        of_chunk = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + turn)), F.col("chunks"))
+        of_chunk = F.pmod(F.xxhash64("row", "doc_id", "size", F.lit(seed + turn)), F.col("chunks"))
         dealt = left.alias("d").join(counts.alias("t"), same).select("d.*", "chunks", of_chunk.alias("chunk"))
         done = keep(dealt.groupBy("source", "chunk").applyInPandas(_fly(seed, turn), "row long, doc_id long, source string, size long, p double"))
         fixed = done.where("p = 0 OR p = 1")
