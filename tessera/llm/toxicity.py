@@ -1,27 +1,36 @@
-"""Toxicity by compression distance: two zstandard dictionaries, window by window.
+"""Toxicity by compression distance: separate zstandard dictionaries of toxic and of ordinary text, window by window.
+
+A window is three words in a row; every place of a text begins one. Its distance is its compressed length under the
+dictionary of ordinary text less that under the dictionary of toxic text. The latter is the former followed by what was
+trained on toxic windows, so that ordinary words cost the same under both and only toxic wording tells them apart.
 
 ``fit`` learns on the driver from a bounded sample of labelled rows (``MAX_TRAIN`` rows a class, chosen by a hash of
-the id; that bound is the operator's documented parameter and the only limit). A window is a word behind a mark. One
-dictionary is trained on windows of ordinary texts, one on the windows that make toxic texts toxic: words with
-beginnings that are far more frequent there. A window's distance is its compressed length under the ordinary
-dictionary less that under both: what the toxic dictionary saves. Both serve as raw content, so the lengths differ by
-matches only. Each distance has a calibrated weight, its log-likelihood ratio between the classes, and a calibrated
-threshold decides on their sum over all windows of the text.
+the id: the operator's documented parameter). A third of the sample is set aside for calibration.
+
+1. The ordinary dictionary is trained on windows of one half of the ordinary texts; the other half says what distances
+   ordinary windows have by chance.
+2. Labels name texts, not windows, and most windows of a toxic text are ordinary. So toxic texts are cut in two halves and in
+   each round the dictionary trained on windows of one half picks windows of the other: those whose distance is so large
+   that toxic texts have it ``ENRICHED`` times as often as ordinary ones. What only one text says is of no use to the other
+   half, so rounds come to what toxic texts have in common. The toxic dictionary is trained on the windows that are left.
+3. Ordinary windows that the toxic dictionary serves well all the same are trained into the ordinary one.
+4. On the third set aside, each distance gets its log-likelihood ratio between the classes as weight (never falling with
+   distance), and a threshold on a text's sum of weights: a lost ordinary text weighs as much as eight kept toxic ones.
+   Evidence saturates: a distance adds nothing after ``SATURATED`` windows of a text.
 
 Edge cases. Null or empty text: no window, score from the bias alone (below 0.5 unless every labelled text is
-toxic). No labelled rows, or one class only: every score is the share of toxic rows among those read (0.0 without rows).
-Repeated rows: scored each for itself. Very long texts: window by window, in full. Labels without a document, null
-labels: not learned from; of several labels for one id the largest counts. No rows: no rows. Extra columns are
-ignored, so their names cannot clash.
+toxic). Texts of fewer than three words: one window. No labelled rows, or one class only: every score is the share of toxic
+rows among those read (0.0 without rows). Too few toxic texts to train on, or nothing in common among them: 0.0. Repeated rows:
+scored each for itself; rows that repeat an id are learned from once, by the least of their texts. Null id: scored, never learned from, not held
+out. Very long texts: all windows. Labels without a document, null labels: not learned from; of several labels for one id the
+largest counts. Ties in the hash that chooses the sample go to the smaller id. No rows: no rows. Extra columns are ignored, so their names cannot clash.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import struct
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -33,168 +42,152 @@ from pyspark.sql import functions as F
 
 #: Labelled rows of each class that ``fit`` may read.
 MAX_TRAIN = 2000
-ORDINARY_BYTES, TOXIC_BYTES = 32768, 2048
+#: Words of a window.
+WIDTH = 3
+#: Bytes of the ordinary dictionary, of what counters false alarms, of the toxic part, and of the toxic part while it is sought.
+ORDINARY_BYTES, COUNTER_BYTES, TOXIC_BYTES, SEARCH_BYTES = 32768, 16384, 2048, 4096
+#: Segment lengths of the trainer for those parts, and the length of what it counts.
+ORDINARY_SEGMENT, TOXIC_SEGMENT, SEARCH_SEGMENT, COUNTED = 32, 12, 24, 6
+#: Rounds of the search, by how many times as frequent a distance must be in toxic texts.
+ENRICHED = (3, 3, 5)
+#: Distance of ordinary windows that step 3 trains on, and the largest distance that is told apart.
+ALARM, MOST = 3, 8
+SATURATED = 9
 #: The lowest level whose match finder indexes every position of a dictionary; faster ones skip some, and with them words.
 LEVEL = 6
-#: What stands before the word in a window and behind it; the latter is long enough for zstandard never to store a
-#: window uncompressed, and ends both dictionaries.
-MARK, TAIL = b"\x1e\x1f", b" " + bytes(range(128, 152))
-#: Distances count as 0 below the first and as the last above that.
-LEAST, MOST = 2, 6
-#: How often one word of a text counts at most as a toxic window.
-REPEATS = 3
-#: Letters of a word's beginning that is looked at.
-BEGINNING = range(3, 13)
-#: Distinct words whose distance a worker remembers.
-CACHE_WORDS = 300_000
+#: Behind each window and dictionary: long enough for zstandard never to store a window uncompressed.
+TAIL = b" " + bytes(range(128, 152))
+#: Bytes of windows that are compressed in one call.
+CALL_BYTES = 1 << 22
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def windows(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+def windows(text: str | None) -> list[bytes]:
+    words = _WORD.findall((text or "").lower())
+    return [f" {' '.join(words[i : i + WIDTH])} ".encode() for i in range(max(1, len(words) - WIDTH + 1))] if words else []
 
 
-def _trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
+def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
     """The content of a trained dictionary; the samples themselves where they are too few to train one."""
     try:
-        whole = zstd.train_dictionary(size, samples, k=k, d=d, level=LEVEL).as_bytes()
+        whole = zstd.train_dictionary(size, samples, k=segment, d=COUNTED, level=LEVEL).as_bytes()
     except (zstd.ZstdError, ValueError):
         return b"".join(dict.fromkeys(samples))[-size:]
     tables_end = whole.find(struct.pack("<3I", 1, 4, 8))  # the last of the entropy tables: three repeat offsets
     return whole[tables_end + 12 :] if tables_end > 0 else whole
 
 
-def _apart(texts: list[list[str]], looks: int = 6) -> list[list[str]]:
-    """Texts without near copies of earlier ones: those that share none of ``looks`` least hashes of word triples."""
-    seen: set[tuple[int, int]] = set()
-    out = []
-    for words in texts:
-        triples = {" ".join(words[i : i + 3]).encode() for i in range(max(1, len(words) - 2))}
-        marks = {(k, min(zlib.crc32(t, k) for t in triples)) for k in range(looks)}
-        if not marks & seen:
-            out.append(words)
-        seen |= marks
-    return out
-
-
-def _telling(toxic: list[list[str]], ordinary: list[list[str]]) -> dict[str, int]:
-    """Beginnings of words that tell toxic texts from ordinary ones, and how often toxic texts hold them.
-
-    A text counts a word ``REPEATS`` times at most. Beginnings are taken in the order of their count in toxic texts less
-    ten times what the ordinary rate would give, the longer of equals first, and without words already covered, as long
-    as that comes to a fiftieth of the toxic texts (five at least)."""
-    words = [Counter(w for t in texts for w, n in Counter(t).items() for _ in range(min(n, 3))) for texts in (toxic, ordinary)]
-    weight = 10 * words[0].total() / max(1, words[1].total())
-    least = max(5.0, 0.02 * len(toxic))
-    counts: list[Counter] = [Counter(), Counter()]
-    for c, w in zip(counts, words, strict=True):
-        for word, n in w.items():
-            for k in BEGINNING:
-                if k <= len(word):
-                    c[word[:k]] += n
-    open_ = {p for p, n in counts[0].items() if n >= least}
-    chosen: dict[str, int] = {}
-    while open_:
-        gain = {p: counts[0][p] - weight * counts[1][p] for p in open_}
-        best = max(open_, key=lambda p: (gain[p], len(p), p))
-        if gain[best] < least:
-            break
-        chosen[best] = counts[0][best]
-        for c, w in zip(counts, words, strict=True):
-            for word in [x for x in w if x.startswith(best)]:
-                n = w.pop(word)
-                for k in BEGINNING:
-                    if k <= len(word):
-                        c[word[:k]] -= n
-        open_ = {p for p in open_ if counts[0][p] >= least}
-    return chosen
+def _lengths(content: bytes) -> Callable[[list[bytes]], np.ndarray]:
+    """A function from windows to their compressed lengths under a dictionary, which serves as raw content: lengths differ by matches only."""
+    d = zstd.ZstdCompressionDict(content + TAIL, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=LEVEL)
+    compress = zstd.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).multi_compress_to_buffer
+
+    def lengths(found: list[bytes]) -> np.ndarray:
+        out = np.zeros(len(found), np.int64)
+        size = np.asarray([len(w) for w in found], np.int64) + len(TAIL)
+        ends = np.cumsum(size)
+        a = 0
+        while a < len(found):
+            base = int(ends[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, base + CALL_BYTES, "right")))
+            places = np.stack([ends[a:b] - size[a:b] - base, size[a:b]], axis=1).astype("<u8")
+            made = compress(zstd.BufferWithSegments(TAIL.join(found[a:b]) + TAIL, places.tobytes()), threads=0)
+            out[a:b] = [len(made[i]) for i in range(b - a)]
+            a = b
+        return out
+
+    return lengths
+
+
+def _flat(parts: list[list[bytes]]) -> list[bytes]:
+    return [w for part in parts for w in part]
 
 
 @dataclass
 class Model:
     ordinary: bytes = b""
-    both: bytes = b""
+    toxic: bytes = b""
     weights: tuple[float, ...] = (0.0,) * (MOST + 1)  # log-likelihood ratio of a window, by its distance
     bias: float = 0.0
     constant: float | None = None
 
-    def distances(self) -> Callable[[str | None], np.ndarray]:
-        """A function from a text to its numbers of windows by distance."""
-        made = []
-        for content in (self.ordinary, self.both):
-            d = zstd.ZstdCompressionDict(content + MARK + TAIL, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            made.append(zstd.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-        ordinary, both = made
-        known: dict[str, int] = {}
-
-        def learn(word: str) -> int:
-            window = MARK + word.encode() + TAIL
-            saved = len(ordinary(window)) - len(both(window))
-            saved = 0 if saved < LEAST else min(saved, MOST)
-            if len(word) <= 48:
-                if len(known) >= CACHE_WORDS:
-                    known.clear()
-                known[word] = saved
-            return saved
-
-        def count(text: str | None) -> np.ndarray:
-            words, get = windows(text or ""), known.get
-            out = np.zeros(MOST + 1)
-            saved = [(w, v) for w in words if (v if (v := get(w)) is not None else (v := learn(w)))]
-            for (_, v), n in Counter(saved).items():
-                out[v] += min(n, REPEATS)
-            out[0] = len(words) - len(saved)
-            return out
+    def histograms(self) -> Callable[[list[str | None]], np.ndarray]:
+        """A function from texts to their numbers of windows by distance, a row for each text."""
+        of_ordinary, of_toxic = _lengths(self.ordinary), _lengths(self.toxic)
+
+        def count(texts: list[str | None]) -> np.ndarray:
+            found = [windows(t) for t in texts]
+            flat = _flat(found)
+            distance = np.clip(of_ordinary(flat) - of_toxic(flat), 0, MOST)
+            owner = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+            return np.bincount(owner * (MOST + 1) + distance, minlength=len(texts) * (MOST + 1)).reshape(len(texts), MOST + 1)
 
         return count
 
-    def score(self, counts: np.ndarray) -> float:
+    def scores(self, counts: np.ndarray) -> np.ndarray:
         if self.constant is not None:
-            return self.constant
-        evidence = float(counts @ np.asarray(self.weights)) + self.bias
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, evidence))))
-
-
-def fit(rows: list[tuple[str, int]]) -> Model:
+            return np.full(len(counts), self.constant)
+        return 1 / (1 + np.exp(-np.clip(_saturated(counts) @ np.asarray(self.weights) + self.bias, -50.0, 50.0)))
+
+
+def _saturated(counts: np.ndarray) -> np.ndarray:
+    """Windows as evidence: any number without distance, at most ``SATURATED`` of each distance."""
+    return np.minimum(counts, [np.inf, *[SATURATED] * MOST])
+
+
+def _common(toxic: list[list[bytes]], chance: list[bytes], ordinary: bytes) -> list[bytes]:
+    """Windows whose wording toxic texts have in common and ordinary ones lack (step 2)."""
+    of_ordinary = _lengths(ordinary)
+    base = of_ordinary(chance)
+    halves = [_flat(toxic[side::2]) for side in (0, 1)]
+    plain = [of_ordinary(half) for half in halves]
+    # at first: the half of the windows that ordinary text explains worst
+    chosen = []
+    for half, cost in zip(halves, plain, strict=True):
+        left = cost - np.asarray([len(w) for w in half], np.int64)
+        chosen.append([half[i] for i in np.flatnonzero(left >= np.median(left))] if half else [])
+    for times in ENRICHED:
+        picked = []
+        for side, half in enumerate(halves):
+            serve = _lengths(ordinary + _trained(chosen[1 - side], SEARCH_BYTES, SEARCH_SEGMENT))
+            gain, by_chance = plain[side] - serve(half), base - serve(chance)
+            least = next((g for g in range(1, MOST) if len(half) and (gain >= g).mean() > times * ((by_chance >= g).sum() + 1) / (len(chance) + 1)), MOST)
+            picked.append([half[i] for i in np.flatnonzero(gain >= least)])
+        chosen = picked
+    return chosen[0] + chosen[1] if all(chosen) else []
+
+
+def fit(rows: list[tuple[str | None, int]]) -> Model:
     """rows: text and label (1: toxic) of the bounded sample."""
-    toxic, usual = ([t for t, y in rows if y == label and t] for label in (1, 0))
-    if not toxic or not usual:
-        return Model(constant=float(bool(toxic)))
-    toxic_words, usual_words = ([windows(t) for t in texts] for texts in (toxic, usual))
-    # the most frequent words come last, where matches are cheapest; none counts often, so that each language has its part
-    spread = Counter(w for words in usual_words for w in set(words))
-    usual = sorted(spread, key=lambda w: (-spread[w], w))[:60000]
-    ordinary = _trained([MARK + w.encode() + b" " for w in reversed(usual)], ORDINARY_BYTES, 32, 6)
-    telling = _telling(_apart(toxic_words), usual_words)
-    if not telling:
+    found = [[w for t, y in rows if y == label and (w := windows(t))] for label in (1, 0)]
+    if not found[0] or not found[1]:
+        return Model(constant=float(bool(found[0])))
+    (toxic, ordinary), aside = ([f[: -(len(f) // 3) or None] for f in found], [f[len(f) - len(f) // 3 :] for f in found])
+    learned, chance = ordinary[0::2], _flat(ordinary[1::2])
+    own = _trained([w for text in learned for w in text[::WIDTH]], ORDINARY_BYTES, ORDINARY_SEGMENT)
+    common = _common(toxic, chance, own)
+    if not common or not all(aside):
         return Model(constant=0.0)
-    # what training leaves out of the dictionary, as words this short are for it, follows it
-    samples = [MARK + p.encode() for p, n in telling.items() for _ in range(n)]
-    learned = _trained(samples, TOXIC_BYTES, 48, 8)
-    stems = b"".join(MARK + p.encode() for p in sorted(telling, key=telling.get))
-    # inside ordinary words the same letters are ordinary: there they must save nothing
-    inner = b" ".join(p.encode() for p in telling)[-TOXIC_BYTES:]
-
-    def built(served: list[str]) -> Model:
-        own = ordinary + b"".join(MARK + w.encode() for w in served)[-TOXIC_BYTES:] + inner
-        return Model(own, own + learned + stems[-TOXIC_BYTES:])
-
-    # frequent ordinary words that the toxic dictionary happens to serve join the ordinary one
-    count = built([]).distances()
-    model = built([w for w in usual if not w.startswith(tuple(telling)) and spread[w] >= max(3, 0.005 * len(usual_words)) and not count(w)[0]])
-    count = model.distances()
-    found = [np.asarray([count(t) for t, y in rows if y == label and t]) for label in (1, 0)]
-    rates = [(f.sum(axis=0) + [1.0, *[0.1] * MOST]) / (f.sum() + 1 + 0.1 * MOST) for f in found]
+    wording = _trained(common, TOXIC_BYTES, TOXIC_SEGMENT)
+    false = np.flatnonzero(_lengths(own)(chance) - _lengths(own + wording)(chance) >= ALARM)
+    own += _trained([chance[i] for i in false], COUNTER_BYTES, ORDINARY_SEGMENT)
+    model = Model(own, own + wording)
+    # calibration
+    of_ordinary, of_toxic = _lengths(model.ordinary), _lengths(model.toxic)
+    counts = []
+    for texts in aside:
+        distance = [np.clip(of_ordinary(t) - of_toxic(t), 0, MOST) for t in texts]
+        counts.append(_saturated(np.stack([np.bincount(d, minlength=MOST + 1) for d in distance])))
+    rates = [(c.sum(axis=0) + [1.0, *[0.1] * MOST]) / (c.sum() + 1 + 0.1 * MOST) for c in counts]
     ratio = np.log(rates[0] / rates[1])
     ratio[1:] = np.maximum.accumulate(ratio[1:])  # a distance that the sample lacks tells no less than a smaller one
     model.weights = tuple(ratio.tolist())
-    value = [f @ np.asarray(model.weights) for f in found]
+    value = [c @ ratio for c in counts]
     edges = np.unique(np.concatenate(value))
     cuts = (edges[1:] + edges[:-1]) / 2 if len(edges) > 1 else edges + 1
-    # an ordinary text thrown away weighs as much as four toxic ones kept
-    loss = [(value[0] < c).mean() + 4 * (value[1] >= c).mean() for c in cuts]
+    loss = [(value[0] < c).mean() + 8 * (value[1] >= c).mean() for c in cuts]
     model.bias = -float(cuts[int(np.argmin(loss))])
     return model
 
@@ -211,8 +204,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     for label in (0, 1):
         part = known.where(F.col("toxic") == label).orderBy(order, "doc_id").limit(max_train)
         sample = part if sample is None else sample.unionByName(part)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    return fit([(r["text"], r["toxic"]) for r in texts.orderBy("doc_id").collect()])
+    # at most max_train ids a class are broadcast
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = [(r["doc_id"], r["text"], r["toxic"]) for r in texts.collect()]
+    return fit([(t, y) for _, t, y in sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode(), 8), r[0]))])
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -222,9 +217,10 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shipped.value
-        count = m.distances() if m.constant is None else lambda _: None
+        count = m.histograms() if m.constant is None else lambda texts: np.zeros((len(texts), MOST + 1))
         for texts in batches:
-            yield pd.Series([m.score(count(t)) for t in texts], dtype="float64")
+            parts = [m.scores(count(texts.iloc[a : a + 64].tolist())) for a in range(0, len(texts), 64)]
+            yield pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
 
     return docs.withColumn("toxicity", score(F.col(text)))
 
