@@ -3,7 +3,8 @@
 Each of ``tables`` tables rotates unit vectors by ``functions`` fast pseudo-rotations (three rounds of random signs and a
 Hadamard transform) and assigns them to the nearest signed axis; a query also visits the buckets of its next best axes,
 ``probes`` in all, by falling inner product with the axes. Query and vectors of a bucket meet in one task, where a matrix product ranks
-them exactly; the best of all buckets are merged by query.
+them exactly; the best of all buckets are merged by query. A bucket of more than ``PART`` vectors is split into parts that its visitors all see, and
+visitors stream through a part, so what a task holds does not grow with the input, whatever the number of functions or the skew.
 
 Equal vectors are one class, so copies never fill a bucket: a class keeps its k + 1 smallest ids (a query wants k others),
 gathered task by task before the shuffle. Buckets have no cap.
@@ -28,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import keep
+from tessera.llm.blocks import keep, mix64
 from tessera.llm.nra import usable
 
 TABLES, PROBES, FUNCTIONS = 16, 8, 1
-#: Classes of a block, where queries are ranked against all of them.
-BLOCK = 4096
+#: Classes of a block, where queries are ranked against all of them, and of a part of a bucket.
+BLOCK, PART = 4096, 16384
 SEED = 3
 
 
@@ -110,66 +111,115 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dims)
 
 
-def _dealt(dims: int, norm: float, level: bool, tables: int, probes: int, functions: int):
-    """A row for each bucket that a class stands in, or that it visits as a query."""
+def _stored(x: np.ndarray, norm: float, level: bool) -> np.ndarray:
+    """Vectors as unit vectors: by their own norm if all have about one norm, else by the largest and one more dimension."""
+    if level:
+        return x / np.linalg.norm(x, axis=1)[:, None]
+    x = x / norm
+    return np.hstack([x, np.sqrt(np.maximum(0.0, 1 - (x**2).sum(axis=1)))[:, None]])
+
+
+def _sizes(dims: int, norm: float, level: bool, tables: int, functions: int):
+    """How many vectors of a batch stand in each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _stored(_matrix(batch.column("v"), dims), norm, level)
+                for table in range(tables):
+                    bucket, n = np.unique(buckets(x, table, functions, 1)[:, 0], return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"tab": np.full(len(bucket), table, np.int32), "bucket": bucket, "n": n})
+
+    return run
+
+
+def _dealt(dims: int, norm: float, level: bool, tables: int, probes: int, functions: int, parts: dict[tuple[int, int], int]):
+    """A row for each bucket that a class stands in, or that it visits as a query; ``parts`` tells into how many parts large buckets are split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
-                part = batch.slice(a, 2048)
-                x = _matrix(part.column("v"), dims) / norm
-                query = part.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
-                size = np.linalg.norm(x, axis=1)
-                stored, asked = x / size[:, None], x[query] / size[query, None]
+                chunk = batch.slice(a, 2048)
+                x = _matrix(chunk.column("v"), dims)
+                query = chunk.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
+                stored, asked = _stored(x, norm, level), x[query] / np.linalg.norm(x[query], axis=1)[:, None]
                 if not level:
-                    stored = np.hstack([x, np.sqrt(np.maximum(0.0, 1 - size**2))[:, None]])
                     asked = np.hstack([asked, np.zeros((len(asked), 1))])
-                rows = np.arange(part.num_rows)
+                rows, spread = np.arange(chunk.num_rows), mix64(chunk.column("class").to_numpy().view(np.uint64))
                 for table in range(tables):
                     own = buckets(stored, table, functions, 1)[:, 0]
                     visits = buckets(asked, table, functions, probes)
-                    at = np.concatenate([own, visits.ravel()])
-                    which = np.concatenate([rows, np.repeat(rows[query], visits.shape[1])])
+                    split = np.asarray([parts.get((table, b), 1) for b in own.tolist()], np.uint64)
+                    part = (spread % split).astype(np.int64)
+                    met, which = visits.ravel(), np.repeat(rows[query], visits.shape[1])
+                    times = np.asarray([parts.get((table, b), 1) for b in met.tolist()], np.int64)
+                    of = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    at = np.concatenate([own, np.repeat(met, times)])
+                    which = np.concatenate([rows, np.repeat(which, times)])
                     yield pa.RecordBatch.from_pydict({
                         "tab": pa.array(np.full(len(at), table, np.int32)),
                         "bucket": pa.array(at),
+                        "part": pa.array(np.concatenate([part, of])),
                         "visit": pa.array(np.arange(len(at)) >= len(own)),
-                        "class": part.column("class").take(pa.array(which)),
-                        "v": part.column("v").take(pa.array(which)),
+                        "class": chunk.column("class").take(pa.array(which)),
+                        "v": chunk.column("v").take(pa.array(which)),
                     })
 
     return run
 
 
+_FOUND = "query_class long, class long, score double"
+
+
+def _rank(asked: np.ndarray, asked_ids: np.ndarray, stored: np.ndarray, stored_ids: np.ndarray, n: int) -> pa.RecordBatch:
+    """The ``n`` nearest of the stored (their ids rising) for each that asks; ties at the edge go to the smaller id."""
+    product = asked @ stored.T
+    took = min(n, len(stored))
+    near = np.argpartition(-product, took - 1, axis=1)[:, :took]
+    if took < len(stored):
+        edge = np.take_along_axis(product, near, 1).min(axis=1)
+        for r in np.flatnonzero((product >= edge[:, None]).sum(axis=1) > took):
+            near[r] = np.lexsort((stored_ids, -product[r]))[:took]
+    score = (asked[:, None, :] * stored[near]).sum(axis=2)
+    return pa.RecordBatch.from_pydict({"query_class": np.repeat(asked_ids, took), "class": stored_ids[near].ravel(), "score": score.ravel()})
+
+
 def _ranked(dims: int, n: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        visit = table.column("visit").to_numpy(zero_copy_only=False).astype(bool)
-        ids = table.column("class").to_numpy()
-        out: list[list[np.ndarray]] = [[], [], []]
-        if visit.any() and not visit.all():
-            order = np.lexsort((ids, visit))
-            x, ids = _matrix(table.column("v"), dims)[order], ids[order]
-            split = int((~visit).sum())
-            stored, stored_ids = x[:split], ids[:split]
-            for a in range(split, len(x), 256):
-                asked = x[a : a + 256]
-                product = asked @ stored.T
-                took = min(n, split)
-                near = np.argpartition(-product, took - 1, axis=1)[:, :took]
-                if took < split:  # ties at the edge: the smaller ids stand first
-                    edge = np.take_along_axis(product, near, 1).min(axis=1)
-                    for r in np.flatnonzero((product >= edge[:, None]).sum(axis=1) > took):
-                        near[r] = np.lexsort((stored_ids, -product[r]))[:took]
-                out[0].append(np.repeat(ids[a : a + 256], took))
-                out[1].append(stored_ids[near].ravel())
-                out[2].append((asked[:, None, :] * stored[near]).sum(axis=2).ravel())
-        empty = np.zeros(0)
-        names = (("query_class", pa.int64()), ("class", pa.int64()), ("score", pa.float64()))
-        return pa.table({name: pa.array(np.concatenate([*o, empty]).astype(kind.to_pandas_dtype()) if kind == pa.float64() else np.concatenate([*o, empty.astype(np.int64)]), kind) for (name, kind), o in zip(names, out, strict=True)})
+    """Over rows sorted by bucket and part, stored before visits: a part's vectors are held, its visits stream by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, stored, stored_ids = None, [], None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("tab", "bucket", "part")], axis=1)
+            visit = batch.column("visit").to_numpy(zero_copy_only=False).astype(bool)
+            ids = batch.column("class").to_numpy()
+            cuts = np.flatnonzero((place[1:] != place[:-1]).any(axis=1) | (visit[1:] != visit[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if key != (now := tuple(place[a].tolist())):
+                    key, held, stored = now, [], None
+                x = _matrix(batch.column("v").slice(a, b - a), dims)
+                if not visit[a]:
+                    held.append((x, ids[a:b]))
+                    continue
+                if not held:
+                    continue
+                if stored is None:
+                    stored_ids = np.concatenate([i for _, i in held])
+                    order = np.argsort(stored_ids, kind="stable")
+                    stored, stored_ids = np.concatenate([v for v, _ in held])[order], stored_ids[order]
+                for i in range(0, b - a, 256):
+                    yield _rank(x[i : i + 256], ids[a:b][i : i + 256], stored, stored_ids, n)
 
     return run
 
 
+def _meet(dealt: DataFrame, dims: int, n: int) -> DataFrame:
+    at = ("tab", "bucket", "part")
+    return dealt.repartition(*at).sortWithinPartitions(*at, "visit").mapInArrow(_ranked(dims, n), _FOUND)
+
+
 def nearest(vectors: DataFrame, queries: str, k: int, tables: int = TABLES, probes: int = PROBES, functions: int = FUNCTIONS) -> DataFrame:
     """``vectors``: id long, v array of numbers; ``queries``: the SQL predicate on id that makes a row a query."""
     packed = vectors.mapInArrow(_packed, "id long, v binary")
@@ -194,8 +244,14 @@ def nearest(vectors: DataFrame, queries: str, k: int, tables: int = TABLES, prob
     level = ends[0] > 0.999 * ends[1]
     if not level and dims & (dims - 1) == 0:
         probes *= 2  # one more dimension doubles the width, and with it the number of buckets
-    dealt = classes.select("class", "v", "is_query").mapInArrow(_dealt(dims, ends[1], level, tables, probes, functions), "tab int, bucket long, visit boolean, class long, v binary")
-    found = dealt.groupBy("tab", "bucket").applyInArrow(_ranked(dims, k + 1), "query_class long, class long, score double")
+    n_classes = classes.count()
+    parts: dict[tuple[int, int], int] = {}
+    if n_classes > PART:  # else no bucket can be large; at most tables * min(buckets, n_classes / PART) of them are
+        sizes = classes.select("v").mapInArrow(_sizes(dims, ends[1], level, tables, functions), "tab int, bucket long, n long")
+        large = sizes.groupBy("tab", "bucket").agg(F.sum("n").alias("n")).where(F.col("n") > PART).collect()
+        parts = {(r["tab"], r["bucket"]): -(-r["n"] // PART) for r in large}
+    dealt = classes.select("class", "v", "is_query").mapInArrow(_dealt(dims, ends[1], level, tables, probes, functions, parts), "tab int, bucket long, part long, visit boolean, class long, v binary")
+    found = _meet(dealt, dims, k + 1)
     out = _merged(found, classes, asked, k)
     # exact ranks for the queries that the tables leave with too few rows
     out = keep(out)
@@ -207,11 +263,10 @@ def nearest(vectors: DataFrame, queries: str, k: int, tables: int = TABLES, prob
         return out
     lacking = asked.join(short, "id", "left_semi")
     of_short = lacking.select("v").distinct().join(classes, "v").select("class", "v")
-    blocks = max(1, -(-classes.count() // BLOCK))
+    blocks = max(1, -(-n_classes // BLOCK))
     stored = classes.select("class", "v", F.pmod(F.xxhash64("class"), F.lit(blocks)).alias("bucket"), F.lit(False).alias("visit"))
     visits = of_short.select("class", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("bucket"), F.lit(True).alias("visit"))
-    dealt = stored.unionByName(visits).select(F.lit(0).alias("tab"), "bucket", "visit", "class", "v")
-    found = dealt.groupBy("tab", "bucket").applyInArrow(_ranked(dims, k + 1), "query_class long, class long, score double")
+    found = _meet(stored.unionByName(visits).select(F.lit(0).alias("tab"), "bucket", F.lit(0).cast("long").alias("part"), "visit", "class", "v"), dims, k + 1)
     return out.join(short, out["query_id"] == short["id"], "left_anti").unionByName(_merged(found, classes, lacking, k))
 
 
