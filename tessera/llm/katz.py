@@ -16,7 +16,8 @@ Scale. Texts become blocks of word hashes, a written table. For each order a blo
 holds, each n-gram once, and says how often it trains on it; buckets sum the counts, write their part of the model (``model``
 rows, one packed row a bucket and order) and answer. Frequent n-grams so cost one entry a block, not one an occurrence. Bigrams meet by
 context; a context that alone would fill a bucket is spread over several by its next word, and its sums (at most twice as many such
-contexts as there are buckets) are gathered by the driver and sent to the blocks. Words have 64-bit hashes, then dense ids.
+contexts as there are buckets) are gathered by the driver and sent to the blocks. Words have 64-bit hashes, then dense ids. Counts have 64
+bits; ids and what one block holds have 32, and more than fits raises ``OverflowError``.
 
 Edge cases. Null or empty text: one token, the end. Null id: not held out, hence learned from. Repeated rows and ids: each row is a text of its own. Very
 long texts: whole. No rows, or none to learn from: every word is unknown, base and score follow from N = 0. Extra columns are ignored, so
@@ -44,6 +45,13 @@ START, UNKNOWN = 0xFFFFFFFF, 0xFFFFFFFE  # ids that no word gets
 _U8, _U4, _I4, _U2 = (np.dtype(x) for x in ("<u8", "<u4", "<i4", "<u2"))
 
 
+def fits(a: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """The array in a narrower type; an error where a number does not fit, never a wrong number."""
+    if len(a) and int(a.max()) > np.iinfo(kind).max:
+        raise OverflowError(f"{int(a.max())} does not fit {kind}")
+    return a.astype(kind)
+
+
 def packed(*arrays: np.ndarray) -> bytes:
     """Arrays, byte plane by byte plane, compressed."""
     head = np.asarray([len(arrays), *[x for a in arrays for x in (len(a), a.itemsize)]], "<i8").tobytes()
@@ -147,10 +155,12 @@ class Block:
         order, ends = self.word_order(buckets)
         self.count, self.id = np.zeros(len(self.words), np.int64), np.full(len(self.words), UNKNOWN, np.int64)
         for b, data in answers.items():
-            count, place = unpacked(data, _U4, _U4)
+            count, place = unpacked(data, _U8, _U4)
             at = order[ends[b] : ends[b + 1]]
             self.count[at] = count
             self.id[at] = np.where(count > 0, place.astype(np.int64) * buckets + b, UNKNOWN)
+        if len(known := self.id[self.count > 0]) and known.max() >= UNKNOWN:
+            raise OverflowError("more distinct words than 32-bit ids")
 
     def pairs(self, buckets: int, tokens: int) -> dict[str, np.ndarray]:
         """Distinct (context, word) pairs whose context was learned, by bucket, and where each token's pair is (-1: none)."""
@@ -192,7 +202,7 @@ def _ask_words(buckets: int):
                 block = Block(row)
                 order, ends = block.word_order(buckets)
                 trained = np.bincount(block.token, block.train, minlength=len(block.words)).astype(np.int64)
-                yield _rows([(b, row["block"], "ask", packed(block.words[at], trained[at].astype(_U4))) for b in range(buckets) if len(at := order[ends[b] : ends[b + 1]])])
+                yield _rows([(b, row["block"], "ask", packed(block.words[at], fits(trained[at], _U4))) for b in range(buckets) if len(at := order[ends[b] : ends[b + 1]])])
 
     return run
 
@@ -215,7 +225,7 @@ def _answer_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _rows([(bucket, None, "stats", packed(np.asarray([count.sum(), (count > 0).sum(), *n_r], "<i8"))), (bucket, None, "model", packed(words[count > 0], count[count > 0]))])
         for i, (block, _) in enumerate(parts):
             mine = inverse[cuts[i] : cuts[i + 1]]
-            yield _rows([(bucket, block, "words", packed(count[mine].astype(_U4), np.maximum(place[mine], 0).astype(_U4)))])
+            yield _rows([(bucket, block, "words", packed(count[mine].astype(_U8), fits(np.maximum(place[mine], 0), _U4)))])
 
 
 def _answers_of(table: pa.Table, kind: str) -> dict[int, bytes]:
@@ -232,7 +242,7 @@ def _ask_pairs(buckets: int, tokens: int):
             for b in np.flatnonzero(np.diff(p["ends"])).tolist():
                 at = slice(p["ends"][b], p["ends"][b + 1])
                 step = np.diff(p["context"][at], prepend=np.uint64(0)).astype(_U4)  # contexts rise within a bucket
-                out.append((b, row["block"], "ask", packed(step, p["word"][at].astype(_U4), p["trained"][at].astype(_U4), p["count"][at].astype(_U4), p["spread"][at].astype(np.uint8))))
+                out.append((b, row["block"], "ask", packed(step, p["word"][at].astype(_U4), fits(p["trained"][at], _U4), p["count"][at].astype(_U8), p["spread"][at].astype(np.uint8))))
         return pa.Table.from_batches([_rows(out)])
 
     return run
@@ -245,7 +255,7 @@ def _answer_pairs(unigrams: Unigrams):
         for bucket, parts in _collected(batches).items():
             keys, trained, counts, spread = [], [], [], []
             for _, data in parts:
-                step, word, n, c, s = unpacked(data, _U4, _U4, _U4, _U4, np.uint8)
+                step, word, n, c, s = unpacked(data, _U4, _U4, _U4, _U8, np.uint8)
                 keys.append((np.cumsum(step.astype(np.uint64)) << np.uint64(32)) | word.astype(np.uint64))
                 trained.append(n)
                 counts.append(c)
@@ -264,12 +274,12 @@ def _answer_pairs(unigrams: Unigrams):
             yield _rows([
                 (bucket, None, "stats", packed(np.asarray(n_r, "<i8"))),
                 (bucket, None, "spread", packed(context[is_spread], mass[is_spread], few[is_spread].ravel())),
-                (bucket, None, "model", packed(np.diff(key[seen] >> np.uint64(32), prepend=np.uint64(0)).astype(_U4), (key[seen] & np.uint64(0xFFFFFFFF)).astype(_U4), r[seen].astype(_U4))),
+                (bucket, None, "model", packed(np.diff(key[seen] >> np.uint64(32), prepend=np.uint64(0)).astype(_U4), (key[seen] & np.uint64(0xFFFFFFFF)).astype(_U4), r[seen])),
             ])
             for i, (block, _) in enumerate(parts):
                 mine = inverse[cuts[i] : cuts[i + 1]]
                 its = np.unique(of[mine])
-                yield _rows([(bucket, block, "pairs", packed(r[mine].astype(_U4), mass[its], few[its].ravel().astype(_U4)))])
+                yield _rows([(bucket, block, "pairs", packed(r[mine].astype(_U8), mass[its], fits(few[its].ravel(), _U4)))])
 
     return run
 
@@ -287,7 +297,7 @@ def _score(buckets: int, unigrams: Unigrams, d: np.ndarray, spread: dict[int, tu
             r, mass, freed = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
             for b, data in _answers_of(right, "pairs").items():
                 at = slice(pairs["ends"][b], pairs["ends"][b + 1])
-                count, its_mass, few = unpacked(data, _U4, "<f8", _U4)
+                count, its_mass, few = unpacked(data, _U8, "<f8", _U4)
                 run_of = np.cumsum(np.diff(pairs["context"][at], prepend=pairs["context"][at][:1]) != 0)
                 r[at], mass[at] = count, its_mass[run_of]
                 freed[at] = (few.reshape(-1, K) @ weight)[run_of]
@@ -348,6 +358,31 @@ def train_and_score(docs: DataFrame) -> DataFrame:
     return out
 
 
+def count_table(model: DataFrame) -> DataFrame:
+    """The packed rows of a model as a table of n-gram counts: bucket, order, context, word, n.
+
+    Order 1: ``word`` is the word's hash, ``id`` its number in the bigrams. Order 2: ``context`` and ``word`` are such numbers (the start of a
+    text and unknown words have the numbers ``START`` and ``UNKNOWN``)."""
+    buckets = partitions(model.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["order"] == 1:
+                    word, n = unpacked(r["data"], _U8, "<i8")
+                    context, number = None, np.arange(len(word)) * buckets + r["bucket"]
+                else:
+                    step, word, n = unpacked(r["data"], _U4, _U4, "<i8")
+                    context, number = np.cumsum(step.astype(np.int64)), None
+                for a in range(0, len(word), 100_000):
+                    at = slice(a, a + 100_000)
+                    size = len(word[at])
+                    column = lambda x: pa.nulls(size, pa.int64()) if x is None else pa.array(x[at].astype(np.int64))  # noqa: B023, E731
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([r["bucket"]] * size, pa.int32()), "order": pa.array([r["order"]] * size, pa.int32()), "context": column(context), "word": column(word), "id": column(number), "n": column(n)})
+
+    return model.mapInArrow(run, "bucket int, `order` int, context long, word long, id long, n long")
+
+
 def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return train_and_score(docs.select("doc_id", "text", held_out().alias("held")))
