@@ -7,7 +7,10 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from tessera.llm.katz import K, discounts, held_out, train_and_score
+from tessera.llm import katz
+from tessera.llm.katz import count_table, held_out, train_and_score
+
+K = 5
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -17,6 +20,14 @@ def tokens(text):
     return [*WORD.findall(lower), None]
 
 
+def discounts(n):
+    """Katz's d_r = (r* / r - A) / (1 - A) with r* = (r + 1) n_(r+1) / n_r and A = (K + 1) n_(K+1) / n_1; 1 where that is no discount."""
+    if not n[0] or (K + 1) * n[K] >= n[0]:
+        return [1.0] * (K + 1)
+    a = (K + 1) * n[K] / n[0]
+    return [1.0] + [d if n[r - 1] and 0 < (d := ((r + 1) * n[r] / n[r - 1] / r - a) / (1 - a)) < 1 else 1.0 for r in range(1, K + 1)]
+
+
 class Plain:
     def __init__(self, texts):
         self.uni, self.bi, self.ctx = Counter(), defaultdict(Counter), Counter()
@@ -94,3 +105,22 @@ def test_nothing_to_learn_from(spark):
     got = train_and_score(spark.createDataFrame([(1, "a b", True)], "doc_id long, text string, held boolean")).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(3, 0, 0)]
     assert got[0].base_score == pytest.approx(0.0)
+
+
+def test_counts_are_tables_and_never_wrap(spark, texts):
+    import numpy as np
+
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    rows = count_table(train_and_score(docs.select("doc_id", "text", held_out().alias("held"))).tessera_model).collect()
+    model = Plain([t for i, t in texts if not (i is not None and zlib.crc32(str(i).encode()) % 5 == 1)])
+    assert sorted(r.n for r in rows if r.order == 1) == sorted(model.uni.values())
+    assert sorted(r.n for r in rows if r.order == 2) == sorted(c for x in model.bi.values() for c in x.values())
+    number = {r.id: r.n for r in rows if r.order == 1}
+    sums = Counter()
+    for r in rows:
+        if r.order == 2 and r.context != katz.START:
+            sums[r.context] += r.n
+    ends = max(n for n in number.values() if n == model.uni[None])
+    assert all(number[c] == n for c, n in sums.items() if number[c] != ends)  # each word but the end has a successor
+    with pytest.raises(OverflowError):
+        katz.fits(np.asarray([1 << 32], np.int64), katz._U4)
