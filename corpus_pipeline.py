@@ -2,14 +2,14 @@
 and returns a DataFrame, which is written as Parquet and reread as the next one's documents.
 
 * ``toxicity`` learns from the labels and drops the documents that it rejects.
-* ``jaccard`` joins by five-word shingles at a similarity of 0.8 and keeps the smallest id of each group.
+* ``jaccard`` joins by five-word shingles at a similarity of 0.8 and keeps one row of each group, that with the smallest id.
 * ``mixing`` repeats and leaves out documents so that sources come to their target shares of words.
 * ``packing`` packs the mix into sequences of 2048 tokens: a row for each piece with its place.
 
 Null columns: a null text is an empty document that no stage rejects for being empty (mixing never takes a document
-without words, as it adds nothing to a share); a null source is a source of its own; rows with a null id are kept by
-``jaccard``. Repeated ids are one document with copies: ``jaccard`` keeps one row of each id whose group it leads. Empty table:
-empty result. Extra columns are dropped.
+without words, as it adds nothing to a share); a null source is a source of its own; a null id is a document like any other. Rows that
+repeat an id are documents of their own: ``jaccard`` goes by their texts, so copies go and others stay. Ties: of rows
+with one id and alike texts the one read first stays. Very long texts: whole. Empty table: empty result. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -28,18 +28,26 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.scored(docs.select(*COLUMNS), model).where("toxicity < 0.5").select(*COLUMNS)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with numbers of their own, written once: numbers follow the order of reading, which an executor lost in between may change."""
+    return keep(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that lead their group; of rows that repeat an id, one."""
-    groups = keep(ngram_join.join(docs, n=5, num=80))
-    leads = groups.where("doc_id = component_id").select(F.col("doc_id").alias("lead")).distinct()
-    led = docs.select(*COLUMNS).join(leads, F.col("doc_id") == F.col("lead"), "left_semi")
-    nameless = docs.select(*COLUMNS).where("doc_id IS NULL")
-    return led.dropDuplicates(["doc_id"]).unionByName(nameless)
+    """Of each group of rows the one with the smallest id stays (rows without an id come last, the earlier of equal ids first)."""
+    rows = _numbered(docs)
+    groups = keep(ngram_join.join(rows.select(F.col("row").alias("doc_id"), "text"), n=5, num=80).select(F.col("doc_id").alias("row"), "component_id"))
+    # groups of one row lead themselves; only the others have to meet
+    several = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    ids = rows.select("row", "doc_id").join(groups.join(several, "component_id", "left_semi"), "row")
+    lead = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("lead"))
+    gone = ids.join(lead, "component_id").where("row <> lead.row").select("row")
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS)
+    rows = _numbered(docs)
     taken = cube.mix(rows.select("row", "doc_id", "source", cube.word_count("text").alias("size")))
     copies = taken.where("copies > 0").select("row", "copies")
     return rows.join(copies, "row").select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select(*COLUMNS)
