@@ -1,8 +1,9 @@
 """Toxicity by compression distance: separate zstandard dictionaries of toxic and of ordinary text, window by window.
 
-A window is three words in a row; every place of a text begins one. Its distance is its compressed length under the
+A window is three words in a row; every word of a text begins one. Its distance is its compressed length under the
 dictionary of ordinary text less that under the dictionary of toxic text. The latter is the former followed by what was
-trained on toxic windows, so that ordinary words cost the same under both and only toxic wording tells them apart.
+trained on toxic windows, so that ordinary words cost the same under both and only toxic wording tells them apart. A window that shares no
+run of ``COUNTED`` bytes with the toxic wording has nothing to gain from it: its distance is 0, and it need not be compressed.
 
 ``fit`` learns on the driver from a bounded sample of labelled rows (``MAX_TRAIN`` rows a class, chosen by a hash of
 the id: the operator's documented parameter). A third of the sample is set aside for calibration.
@@ -15,7 +16,7 @@ the id: the operator's documented parameter). A third of the sample is set aside
    half, so rounds come to what toxic texts have in common. The toxic dictionary is trained on the windows that are left.
 3. Ordinary windows that the toxic dictionary serves well all the same are trained into the ordinary one.
 4. On the third set aside, each distance gets its log-likelihood ratio between the classes as weight (never falling with
-   distance), and a threshold on a text's sum of weights: a lost ordinary text weighs as much as eight kept toxic ones.
+   distance), and a threshold on a text's sum of weights: a lost ordinary text weighs as much as four kept toxic ones.
    Evidence saturates: a distance adds nothing after ``SATURATED`` windows of a text.
 
 Edge cases. Null or empty text: no window, score from the bias alone (below 0.5 unless every labelled text is
@@ -68,6 +69,42 @@ def windows(text: str | None) -> list[bytes]:
     return [f" {' '.join(words[i : i + WIDTH])} ".encode() for i in range(max(1, len(words) - WIDTH + 1))] if words else []
 
 
+class Runs:
+    """Which of all windows of some texts share a run of ``COUNTED`` bytes with a wording (by a table of hashes: a few more may be told)."""
+
+    def __init__(self, wording: bytes) -> None:
+        self.table = np.zeros(1 << 20, bool)
+        self.table[self._hashes(np.frombuffer(wording, np.uint8))] = True
+
+    @staticmethod
+    def _hashes(data: np.ndarray) -> np.ndarray:
+        n = len(data) - COUNTED + 1
+        if n < 1:
+            return np.zeros(0, np.uint64)
+        code = np.zeros(n, np.uint64)
+        for j in range(COUNTED):
+            code |= data[j : j + n].astype(np.uint64) << np.uint64(8 * j)
+        with np.errstate(over="ignore"):
+            return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+
+    def windows(self, texts: list[str | None]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """The number of windows of each text, those windows that share a run, and the text that each is of."""
+        words = [_WORD.findall((t or "").lower()) for t in texts]
+        n = np.asarray([len(w) for w in words], np.int64)
+        count = np.where(n > 0, np.maximum(1, n - WIDTH + 1), 0)
+        data = "".join(f" {' '.join(w)} " for w in words if w).encode()
+        raw = np.frombuffer(data, np.uint8)
+        spaces = np.flatnonzero(raw == 32)  # a text of n words has n + 1
+        owner = np.repeat(np.arange(len(n)), count)
+        base = np.repeat(np.cumsum(np.where(n > 0, n + 1, 0)) - np.where(n > 0, n + 1, 0), count)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        start, end = spaces[base + at], spaces[base + np.minimum(at + WIDTH, n[owner])] + 1
+        hits = np.concatenate([[0], np.cumsum(self.table[self._hashes(raw)])])
+        last = np.minimum(np.maximum(end - COUNTED + 1, start), len(hits) - 1)
+        found = np.flatnonzero(hits[last] > hits[np.minimum(start, len(hits) - 1)])
+        return count, [data[a:b] for a, b in zip(start[found].tolist(), end[found].tolist(), strict=True)], owner[found]
+
+
 def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
     """The content of a trained dictionary; the samples themselves where they are too few to train one."""
     try:
@@ -115,14 +152,14 @@ class Model:
 
     def histograms(self) -> Callable[[list[str | None]], np.ndarray]:
         """A function from texts to their numbers of windows by distance, a row for each text."""
-        of_ordinary, of_toxic = _lengths(self.ordinary), _lengths(self.toxic)
+        of_ordinary, of_toxic, runs = _lengths(self.ordinary), _lengths(self.toxic), Runs(self.toxic[len(self.ordinary) :])
 
         def count(texts: list[str | None]) -> np.ndarray:
-            found = [windows(t) for t in texts]
-            flat = _flat(found)
-            distance = np.clip(of_ordinary(flat) - of_toxic(flat), 0, MOST)
-            owner = np.repeat(np.arange(len(texts)), [len(f) for f in found])
-            return np.bincount(owner * (MOST + 1) + distance, minlength=len(texts) * (MOST + 1)).reshape(len(texts), MOST + 1)
+            total, found, owner = runs.windows(texts)
+            distance = np.clip(of_ordinary(found) - of_toxic(found), 0, MOST)
+            out = np.bincount(owner * (MOST + 1) + distance, minlength=len(texts) * (MOST + 1)).reshape(len(texts), MOST + 1)
+            out[:, 0] += total - out.sum(axis=1)
+            return out
 
         return count
 
@@ -161,10 +198,11 @@ def _common(toxic: list[list[bytes]], chance: list[bytes], ordinary: bytes) -> l
 
 def fit(rows: list[tuple[str | None, int]]) -> Model:
     """rows: text and label (1: toxic) of the bounded sample."""
-    found = [[w for t, y in rows if y == label and (w := windows(t))] for label in (1, 0)]
-    if not found[0] or not found[1]:
-        return Model(constant=float(bool(found[0])))
-    (toxic, ordinary), aside = ([f[: -(len(f) // 3) or None] for f in found], [f[len(f) - len(f) // 3 :] for f in found])
+    texts = [[t for t, y in rows if y == label and windows(t)] for label in (1, 0)]
+    if not texts[0] or not texts[1]:
+        return Model(constant=float(bool(texts[0])))
+    toxic, ordinary = ([windows(t) for t in part[len(part) // 3 :]] for part in texts)
+    aside = [part[: len(part) // 3] for part in texts]
     learned, chance = ordinary[0::2], _flat(ordinary[1::2])
     own = _trained([w for text in learned for w in text[::WIDTH]], ORDINARY_BYTES, ORDINARY_SEGMENT)
     common = _common(toxic, chance, own)
@@ -175,11 +213,8 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
     own += _trained([chance[i] for i in false], COUNTER_BYTES, ORDINARY_SEGMENT)
     model = Model(own, own + wording)
     # calibration
-    of_ordinary, of_toxic = _lengths(model.ordinary), _lengths(model.toxic)
-    counts = []
-    for texts in aside:
-        distance = [np.clip(of_ordinary(t) - of_toxic(t), 0, MOST) for t in texts]
-        counts.append(_saturated(np.stack([np.bincount(d, minlength=MOST + 1) for d in distance])))
+    count = model.histograms()
+    counts = [_saturated(count(part)) for part in aside]
     rates = [(c.sum(axis=0) + [1.0, *[0.1] * MOST]) / (c.sum() + 1 + 0.1 * MOST) for c in counts]
     ratio = np.log(rates[0] / rates[1])
     ratio[1:] = np.maximum.accumulate(ratio[1:])  # a distance that the sample lacks tells no less than a smaller one
@@ -187,7 +222,7 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
     value = [c @ ratio for c in counts]
     edges = np.unique(np.concatenate(value))
     cuts = (edges[1:] + edges[:-1]) / 2 if len(edges) > 1 else edges + 1
-    loss = [(value[0] < c).mean() + 8 * (value[1] >= c).mean() for c in cuts]
+    loss = [(value[0] < c).mean() + 4 * (value[1] >= c).mean() for c in cuts]
     model.bias = -float(cuts[int(np.argmin(loss))])
     return model
 
