@@ -2,13 +2,13 @@
 
 Vectors are dealt to blocks once; a task holds the lists of one block: for each dimension its entries (value, vector), sorted by value.
 A query reads the lists sequentially, all to the same depth, each from the end that serves the sign of its
-weight, a batch at a time; lists of weight zero are never opened. For each vector seen it keeps
+weight, in batches that grow from a 64th to an eighth of the block; lists of weight zero are never opened. For each vector seen it keeps
 
 * a lower bound: what was read of it, with unread dimensions at the last value of their lists,
 * an upper bound: what was read of it, with unread dimensions at the value that their lists have come to.
 
-A vector not seen at all has the sum of the latter as its upper bound. After each batch the k-th best lower bound is the bar; vectors whose upper bound is
-below it are dropped. Reading stops once at most ``FINAL`` vectors are left: no outsider can qualify.
+A vector not seen at all has the sum of the latter as its upper bound. After each batch the k-th best lower bound is the bar; once the unseen are
+below it, so are dropped all vectors whose upper bound is. Reading stops once at most ``FINAL`` vectors are left: no outsider can qualify.
 Their scores are then resolved from the dimensions still unread. Ties with the bar are never dropped, so the smaller id wins as it should.
 Each block yields its k best of a query; the k best of those are the answer, since a vector beaten k times in its block is beaten k times overall.
 
@@ -37,8 +37,6 @@ from tessera.llm.blocks import partitions
 SMALL, VECTORS = 2048, 16384
 #: Vectors that may be left when reading stops.
 FINAL = 16
-#: Batches in which a list is read to its end.
-BATCHES = 16
 
 
 class Lists:
@@ -50,6 +48,8 @@ class Lists:
         order = np.argsort(-self.vectors, axis=0, kind="stable")
         self.values = np.ascontiguousarray(np.take_along_axis(self.vectors, order, axis=0).T)  # a row for each dimension
         self.rows = np.ascontiguousarray(order.T.astype(np.int32))
+        self.place = np.empty(order.shape, np.int32)  # where a vector stands in each list
+        np.put_along_axis(self.place, order, np.broadcast_to(np.arange(len(order))[:, None], order.shape), axis=0)
         self.read = self.resolved = 0
 
     def top(self, query: np.ndarray, k: int, banned: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -58,27 +58,27 @@ class Lists:
         sides = [np.flatnonzero(query > 0), np.flatnonzero(query < 0)]
         weight = query[np.concatenate(sides)].astype(np.float64)
         end = weight * np.concatenate([self.values[sides[0], -1], self.values[sides[1], 0]])  # the least a dimension can add
-        step, depth = max(1, -(-n // BATCHES)), 0
-        score, seen = np.zeros(n), np.zeros((n, len(weight)), np.float32)
-        column = np.arange(len(weight))[:, None]
+        depth, shortest, longest = 0, max(1, n // 64), max(1, n // 8)
+        low = np.full(n, end.sum())  # lower bounds: every entry read replaces the least that its dimension can add
         alive = np.ones(n, bool)
         if banned is not None:
             alive[banned] = False
         left = np.flatnonzero(alive)
         while len(left) > max(k, FINAL) and len(weight) and depth < n:
-            past = min(n, depth + step)
+            past = min(n, depth + min(max(depth, shortest), longest))
             rows = np.concatenate([self.rows[sides[0], depth:past], self.rows[sides[1], n - past : n - depth]])
-            adds = weight[:, None] * np.concatenate([self.values[sides[0], depth:past], self.values[sides[1], n - past : n - depth]])
+            values = np.concatenate([self.values[sides[0], depth:past], self.values[sides[1], n - past : n - depth]])
+            low += np.bincount(rows.ravel(), (weight[:, None] * values - end[:, None]).ravel(), minlength=n)
             come_to = weight * np.concatenate([self.values[sides[0], past - 1], self.values[sides[1], n - past]])
             self.read += rows.size
             depth = past
-            score += np.bincount(rows.ravel(), adds.ravel(), minlength=n)
-            seen[rows, column] = 1
-            unread = seen[left] @ np.stack([end, come_to], axis=1)
-            low = score[left] + (end.sum() - unread[:, 0])
-            high = score[left] + (come_to.sum() - unread[:, 1])
-            bar = np.partition(low, len(low) - k)[len(low) - k]
-            left = left[high >= bar - 1e-6 * (1 + abs(bar))]  # sums of floats; scores are whole numbers
+            of_left = low[left]
+            bar = np.partition(of_left, len(left) - k)[len(left) - k]
+            bar -= 1e-6 * (1 + abs(bar))  # sums of floats; scores are whole numbers
+            if come_to.sum() < bar:  # else a vector not seen at all may qualify
+                place = self.place[left]
+                unread = np.concatenate([place[:, sides[0]] >= depth, place[:, sides[1]] < n - depth], axis=1)
+                left = left[of_left + unread @ (come_to - end) >= bar]
         self.resolved += len(left)
         return left, self.vectors[left] @ query.astype(np.float64)
 
