@@ -42,8 +42,14 @@ def identifier_terms(text: Column) -> Column:
     return F.array_distinct(F.concat(words(text), parts))
 
 
+#: A string literal in any of three quotes, with escapes; one that is not closed reaches to the end.
+_LITERAL = "|".join(rf"{q}[^{q}\\]*+(?:\\.[^{q}\\]*+)*+(?:{q}|\\?\z)" for q in "'\"`")
+
+
 def redacted(text: Column) -> Column:
-    return F.regexp_replace(text, "[0-9]+", "0")
+    """A signature without what its literals hold, its white space folded: strings as <literal>, numbers as 0."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(text, f"(?s){_LITERAL}", "<literal>"), r"\s+", " "))
+    return F.regexp_replace(plain, "[0-9]+", "0")
 
 
 def byte_cut(text: Column, limit: int) -> Column:

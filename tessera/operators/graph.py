@@ -1,21 +1,22 @@
 """Traversals and graph analytics over node and edge DataFrames.
 
-Bounded traversals are loops of joins over a frontier. Where nothing has to be remembered but the path, levels are composed lazily
-and Catalyst plans them as one query; where a visited set has to be kept, each level is cut from its lineage with a
-checkpoint in the cluster's shared folder. All seeds travel in one traversal, keyed by seed.
+Bounded traversals are loops of joins over a frontier; a level that is read more than once is cut from its lineage with a
+checkpoint in the cluster's shared folder. All seeds travel in one traversal, keyed by seed. Caps are applied level by level, in a total order.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.model import CALLER_TYPES, NON_PATH, TRACE_ORDER, definite, impact_edge
+from tessera.model import CALLER_TYPES, NON_PATH, TRACE_PRIORITY, definite_of, impact_edge
 from tessera.operators.lineage import cut
 
 
@@ -36,13 +37,20 @@ def _oriented(edges: DataFrame, reverse: bool, extra: list[str]) -> DataFrame:
     return edges.select(F.col(a).alias("_from"), F.col(b).alias("_to"), *extra)
 
 
-def simple_paths(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False, keep: Column | None = None) -> DataFrame:
+def simple_paths(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False, keep: Column | None = None, limit: int | None = None) -> DataFrame:
     """All simple paths of up to ``depth`` edges from the seeds (column id): seed, node, distance, confidence (the least of the
-    path's), path (node ids), edge_ids, potential (whether any edge is not definite). The plan is one query of ``depth`` joins."""
+    path's), path (node ids), edge_ids, potential (whether any edge is not definite).
+
+    Each level but the last is a checkpoint, read once for the result and once for the next level, so a path is joined ``depth`` times
+    however deep the search. With a limit, a seed stops at the level where it has that many paths: of that level the first by path and edges stay, nothing longer
+    is ever made, and ``truncated`` tells whether there was more."""
     e = edges.where(impact_edge() if keep is None else keep)
-    step = _oriented(e, reverse, [F.col("confidence").alias("_c"), F.col("id").alias("_e"), (~definite()).alias("_p")])
+    step = _oriented(e, reverse, [F.col("confidence").alias("_c"), F.col("id").alias("_e"), (~definite_of(edges)).alias("_p")])
     # a column for each step: the arrays are built last, and not at all where nobody reads them
     level = seeds.select(F.col("id").alias("_n0"), F.lit(1.0).alias("confidence"), F.lit(False).alias("potential"))
+    if limit is not None:
+        level = level.distinct().withColumn("_have", F.lit(0).cast("long"))
+    carried = [] if limit is None else ["_have"]
     out: DataFrame | None = None
     for d in range(1, depth + 1):
         nodes, ids = [f"_n{i}" for i in range(d + 1)], [f"_e{i}" for i in range(1, d + 1)]
@@ -50,22 +58,37 @@ def simple_paths(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool =
         level = (
             level.join(step, level[nodes[-2]] == step["_from"])
             .where(fresh)
-            .select(*nodes[:-1], *ids[:-1], F.col("_to").alias(nodes[-1]), F.col("_e").alias(ids[-1]), F.least("confidence", "_c").alias("confidence"), (F.col("potential") | F.col("_p")).alias("potential"))
+            .select(*carried, *nodes[:-1], *ids[:-1], F.col("_to").alias(nodes[-1]), F.col("_e").alias(ids[-1]), F.least("confidence", "_c").alias("confidence"), (F.col("potential") | F.col("_p")).alias("potential"))
         )
-        paths = level.select(F.col("_n0").alias("seed"), F.col(nodes[-1]).alias("node"), F.lit(d).alias("distance"), "confidence", F.array(*nodes).alias("path"), F.array(*ids).alias("edge_ids"), "potential")
+        if limit is not None:
+            order = Window.partitionBy("_n0").orderBy(F.concat_ws("\n", *nodes), F.concat_ws("\n", *ids))
+            level = level.withColumn("_rank", F.row_number().over(order)).where(F.col("_have") + F.col("_rank") <= limit + 1)
+            level = level.withColumn("_now", F.col("_have") + F.max("_rank").over(Window.partitionBy("_n0")))
+        if d < depth:
+            level = cut(level)
+        found = level if limit is None else level.where(F.col("_have") + F.col("_rank") <= limit + 1)
+        extra = [] if limit is None else [(F.col("_have") + F.col("_rank")).alias("_n")]
+        paths = found.select(F.col("_n0").alias("seed"), F.col(nodes[-1]).alias("node"), F.lit(d).alias("distance"), "confidence", F.array(*nodes).alias("path"), F.array(*ids).alias("edge_ids"), "potential", *extra)
         out = paths if out is None else out.unionByName(paths)
-    return out
+        if limit is not None and d < depth:
+            # seeds that have more than the limit are done; those at the limit look one level further, for whether there is more
+            level = level.where(F.col("_now") <= limit).drop("_rank", "_have").withColumnRenamed("_now", "_have")
+            if level.isEmpty():
+                break
+    if limit is None:
+        return out
+    more = F.max("_n").over(Window.partitionBy("seed")) > limit
+    return out.withColumn("truncated", more).where(F.col("_n") <= limit).drop("_n")
 
 
 def impact(edges: DataFrame, seeds: DataFrame, depth: int = 8, limit: int | None = None) -> DataFrame:
     """Definite reverse paths: who is affected by a change of the seeds, and by which path. With a limit, the first paths of each seed
     by distance and path, and whether there were more."""
-    paths = simple_paths(edges, seeds, depth, reverse=True, keep=definite())
-    return paths if limit is None else limited(paths, limit)
+    return simple_paths(edges, seeds, depth, reverse=True, keep=definite_of(edges), limit=limit)
 
 
 def dependencies(edges: DataFrame, seeds: DataFrame, depth: int = 8) -> DataFrame:
-    return simple_paths(edges, seeds, depth, keep=definite())
+    return simple_paths(edges, seeds, depth, keep=definite_of(edges))
 
 
 def potential_impact(edges: DataFrame, seeds: DataFrame, depth: int = 8) -> DataFrame:
@@ -73,35 +96,96 @@ def potential_impact(edges: DataFrame, seeds: DataFrame, depth: int = 8) -> Data
     return simple_paths(edges, seeds, depth, reverse=True).where("potential")
 
 
-def limited(paths: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` paths of each seed in a total order, with ``truncated``."""
-    w = Window.partitionBy("seed").orderBy("distance", F.array_join("path", "\n"), F.array_join("edge_ids", "\n"))
-    ranked = paths.withColumn("_n", F.row_number().over(w))
-    more = F.max("_n").over(Window.partitionBy("seed")) > limit
-    return ranked.withColumn("truncated", more).where(F.col("_n") <= limit).drop("_n")
+def path_distances(edges: DataFrame, seeds: DataFrame, depth: int = 8, reverse: bool = True) -> DataFrame:
+    """(seed, node, first): every node that a definite simple path of up to ``depth`` edges ends at, and the fewest edges of such a path. A
+    shortest walk is a simple path, so this needs a visited set and no paths."""
+    reached = bfs(edges.where(definite_of(edges)), seeds, depth, reverse=reverse)
+    return reached.where("distance > 0").select("seed", "node", F.col("distance").alias("first"))
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False, types: tuple[str, ...] | None = None, max_nodes: int | None = None) -> DataFrame:
+def bfs(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False, types: tuple[str, ...] | None = None) -> DataFrame:
     """Level by level with a visited set: (seed, node, distance, confidence). Confidence is the best over shortest paths of the
-    least on the path. ``max_nodes`` caps the nodes of a seed, nearest and smallest ids first."""
+    least on the path. What was reached in a level meets the visited set in one aggregate by (seed, node), and frontiers are checkpoints."""
     e = edges.where(F.col("type").isin(*types)) if types else edges
-    step = cut(_oriented(e, reverse, ["confidence"]).groupBy("_from", "_to").agg(F.max("confidence").alias("_c")))
+    step = cut(_oriented(e, reverse, ["confidence"]).where("_from <> _to").groupBy("_from", "_to").agg(F.max("confidence").alias("_c")))
     visited = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("distance"), F.lit(1.0).alias("confidence")).distinct()
     frontier = visited
     for level in range(1, depth + 1):
         reached = frontier.join(step, frontier["node"] == step["_from"]).groupBy("seed", F.col("_to").alias("node")).agg(F.max(F.least("confidence", "_c")).alias("confidence"))
-        frontier = reached.join(visited, ["seed", "node"], "left_anti").select("seed", "node", F.lit(level).alias("distance"), "confidence")
-        if max_nodes is not None:
-            have = visited.groupBy("seed").agg(F.count("*").alias("_have"))
-            w = Window.partitionBy("seed").orderBy("node")
-            frontier = frontier.withColumn("_n", F.row_number().over(w)).join(have, "seed").where(F.col("_n") + F.col("_have") <= max_nodes).drop("_n", "_have")
-        frontier = cut(frontier)
+        frontier = cut(reached.join(visited, ["seed", "node"], "left_anti").select("seed", "node", F.lit(level).alias("distance"), "confidence"))
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
     return visited
 
 
+def traverse(edges: DataFrame, seeds: DataFrame, depth: int, max_nodes: int, reverse: bool = False, types: tuple[str, ...] | None = None) -> DataFrame:
+    """Bounded breadth-first search that returns edges: seed, edge_id, node (where the edge leads), depth, confidence (the least on the way),
+    deterministic (no heuristic and no confidence below 1 on the way), truncated (whether a cap of the seed left something out).
+
+    In each level the edges of a seed's frontier stand in the order of type, source, target and id. At most ``max_nodes`` edges are returned for a seed, and
+    nodes are visited, the first edge that leads to one deciding its state, until ``max_nodes`` are. Edges beyond the caps of one level are not even ranked twice:
+    every level is a checkpoint of what was kept."""
+    e = edges.where(F.col("type").isin(*types)) if types else edges
+    a, b = ("target", "source") if reverse else ("source", "target")
+    step = e.select(F.col(a).alias("_from"), F.col(b).alias("_to"), F.col("id").alias("edge_id"), "type", "source", "target", F.col("confidence").alias("_c"), ((F.col("source_type") != "heuristic") & (F.col("confidence") == 1)).alias("_d"))
+    visited = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node")).distinct()
+    frontier = visited.select("seed", "node", F.lit(1.0).alias("confidence"), F.lit(True).alias("deterministic"))
+    totals = visited.select("seed", F.lit(0).cast("long").alias("items"), F.lit(1).cast("long").alias("seen"))
+    done: DataFrame | None = None
+    full: DataFrame | None = None
+    for level in range(1, depth + 1):
+        w = Window.partitionBy("seed").orderBy("type", "source", "target", "edge_id")
+        met = frontier.join(step, frontier["node"] == step["_from"]).drop("node").join(totals, "seed").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_nodes - F.col("items") + 1)
+        met = cut(met)
+        over = met.where(F.col("_n") > max_nodes - F.col("items")).select("seed").distinct()
+        rows = met.where(F.col("_n") <= max_nodes - F.col("items"))
+        if done is not None:
+            rows = rows.join(done.select("seed", "edge_id"), ["seed", "edge_id"], "left_anti")
+        rows = rows.withColumn("confidence", F.least("confidence", "_c")).withColumn("deterministic", F.col("deterministic") & F.col("_d"))
+        known = visited.select("seed", F.col("node").alias("_to"), F.lit(True).alias("_known"))
+        first = F.row_number().over(Window.partitionBy("seed", "_to").orderBy("_n")) == 1
+        rows = rows.join(known, ["seed", "_to"], "left").withColumn("_new", F.col("_known").isNull() & first)
+        # how many nodes are visited before each edge
+        at = F.col("seen") + F.coalesce(F.sum(F.col("_new").cast("long")).over(Window.partitionBy("seed").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        rows = cut(rows.withColumn("_at", at))
+        kept = rows.select("seed", "edge_id", F.col("_to").alias("node"), F.lit(level).alias("depth"), "confidence", "deterministic")
+        done = kept if done is None else done.unionByName(kept)
+        over = over.unionByName(rows.where(F.col("_at") >= max_nodes).select("seed"))
+        full = over if full is None else full.unionByName(over)
+        frontier = cut(rows.where(F.col("_new") & (F.col("_at") < max_nodes)).select("seed", F.col("_to").alias("node"), "confidence", "deterministic"))
+        if frontier.isEmpty():
+            break
+        visited = visited.unionByName(frontier.select("seed", "node"))
+        counts = done.groupBy("seed").agg(F.count("*").alias("items")).join(visited.groupBy("seed").agg(F.count("*").alias("seen")), "seed")
+        totals = cut(counts)
+        full = full.unionByName(frontier.select("seed").distinct().join(totals.where(F.col("items") >= max_nodes).select("seed"), "seed", "left_semi"))
+        frontier = frontier.join(totals.where(F.col("items") < max_nodes).select("seed"), "seed", "left_semi")
+    if done is None:
+        done = visited.select("seed", F.lit("").alias("edge_id"), "node", F.lit(0).alias("depth"), F.lit(1.0).alias("confidence"), F.lit(True).alias("deterministic")).limit(0)
+        full = visited.select("seed").limit(0)
+    return done.join(full.distinct().withColumn("truncated", F.lit(True)), "seed", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
+
+
+def subgraph(edges: DataFrame, seeds: DataFrame, hops: int = 2, max_nodes: int | None = None, max_edges: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, hop) within some hops of the seeds (id), either way, and the edges among them. With caps the nearest nodes and then the smallest ids stay, and of
+    the edges those with the smallest ids."""
+    both = edges.select(F.col("source").alias("_a"), F.col("target").alias("_b"))
+    both = both.unionByName(both.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
+    near = cut(seeds.select("id").distinct().withColumn("hop", F.lit(0)))
+    front = near
+    for hop in range(1, hops + 1):
+        met = front.join(both, front["id"] == both["_a"]).select(F.col("_b").alias("id")).distinct()
+        front = cut(met.join(near.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)))
+        near = near.unionByName(front)
+        if max_nodes is not None:
+            near = cut(near.orderBy("hop", "id").limit(max_nodes))
+            front = near.where(F.col("hop") == hop)
+    ids = near.select("id")
+    inner = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    return near, (inner if max_edges is None else inner.orderBy("id").limit(max_edges))
+
+
 def shortest_path(edges: DataFrame, source: str, target: str, depth: int) -> DataFrame:
     """One row a step of a path with the fewest edges: step, node, edge_id. Ties: each node is reached by its smallest edge id."""
     e = edges.where(~F.col("type").isin(*NON_PATH))
@@ -224,33 +308,56 @@ def strong_components(links: DataFrame, a: str, b: str, trims: int = 3) -> DataF
     return strong.unionByName(alone)
 
 
-def modularity_moves(weights: dict[str, dict[str, float]], total: float) -> dict[str, str]:
-    """One level of Louvain: nodes in order move to the neighbour community of the highest gain, until none does."""
-    degree = {n: sum(w.values()) for n, w in weights.items()}
-    of = {n: n for n in weights}
-    inside = dict(degree)
-    for _ in range(50):
-        moved = False
-        for n in sorted(weights):
-            own = of[n]
-            inside[own] -= degree[n]
-            toward: dict[str, float] = {}
-            for m, w in weights[n].items():
-                if m != n:
-                    toward[of[m]] = toward.get(of[m], 0.0) + w
-            best, gain = own, toward.get(own, 0.0) - inside[own] * degree[n] / total
-            for c in sorted(toward):
-                value = toward[c] - inside[c] * degree[n] / total
-                if value > gain + 1e-12 or (abs(value - gain) <= 1e-12 and c < best):
-                    best, gain = c, value
-            inside[best] = inside.get(best, 0.0) + degree[n]
-            if best != own:
-                of[n], moved = best, True
-        if not moved:
+#: Sweeps of one level and levels of the search for communities.
+SWEEPS, LEVELS = 50, 20
+_SAME = 1e-12
+
+
+def _local_moves(start: np.ndarray, near: np.ndarray, weight: np.ndarray, total: float) -> np.ndarray:
+    """Local moving over a graph in compressed rows: the community of each node once a whole sweep moves none.
+
+    Taking a node out of its community, the gain of joining community c is (weight towards c) - degree x volume(c) / total; a loop of the node counts
+    as weight towards the community that it leaves. Of gains that differ by rounding only the smallest community wins."""
+    n = len(start) - 1
+    owner = np.repeat(np.arange(n), np.diff(start))
+    degree = np.bincount(owner, weight, minlength=n)
+    of, volume = np.arange(n), degree.copy()
+    for _ in range(SWEEPS):
+        before = of.copy()
+        for v in np.flatnonzero(degree).tolist():
+            row = slice(start[v], start[v + 1])
+            volume[of[v]] -= degree[v]
+            options, place = np.unique(np.append(of[near[row]], of[v]), return_inverse=True)
+            toward = np.bincount(place, np.append(weight[row], 0.0))
+            gain = toward - degree[v] * volume[options] / total
+            of[v] = options[int(np.argmax(gain >= gain.max() - _SAME))]
+            volume[of[v]] += degree[v]
+        if np.array_equal(before, of):
             break
     return of
 
 
+def modularity_communities(n: int, x: np.ndarray, y: np.ndarray, weight: np.ndarray, total: float) -> np.ndarray:
+    """Blondel et al.'s multilevel search over an undirected graph of ``n`` numbered nodes: the community (its smallest number) of each. After
+    each level communities become nodes, and what lies inside one becomes its loop. ``total`` is twice the weight of all edges."""
+    labels = np.arange(n)  # the number that each node of the current level stands for
+    member = np.arange(n)  # the current node of each original one
+    a, b, w = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([weight, weight])
+    for _ in range(LEVELS):
+        order = np.lexsort((b, a))
+        a, b, w = a[order], b[order], w[order]
+        of = _local_moves(np.searchsorted(a, np.arange(len(labels) + 1)), b, w, total)
+        kept, to = np.unique(of, return_inverse=True)
+        member, labels = to[member], labels[kept]
+        if len(kept) in (1, len(of)):
+            break
+        pair, place = np.unique(to[a] * len(kept) + to[b], return_inverse=True)
+        a, b, w = pair // len(kept), pair % len(kept), np.bincount(place, w)
+    least = np.full(len(labels), n)
+    np.minimum.at(least, member, np.arange(n))
+    return least[member]
+
+
 def louvain(links: DataFrame, a: str, b: str, confidence: str = "confidence") -> DataFrame:
     """(id, community): multilevel modularity. Sequential by definition, hence per weakly connected component, with the weight of the
     whole graph in every gain; only neighbouring communities are ever compared, so components do not depend on each other."""
@@ -260,67 +367,94 @@ def louvain(links: DataFrame, a: str, b: str, confidence: str = "confidence") ->
     label = weak_components(pairs, "x", "y")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        graph: dict[str, dict[str, float]] = {}
-        for x, y, weight in group[["x", "y", "w"]].itertuples(index=False):
-            graph.setdefault(x, {})[y] = weight
-            graph.setdefault(y, {})[x] = weight
-        member = {n: n for n in graph}
-        for _ in range(20):
-            moved = modularity_moves(graph, total)
-            least: dict[str, str] = {}
-            for n in sorted(moved):
-                least.setdefault(moved[n], n)
-            to = {n: least[c] for n, c in moved.items()}
-            member = {n: to[c] for n, c in member.items()}
-            if len(set(to.values())) in (1, len(graph)):
-                break
-            nxt: dict[str, dict[str, float]] = {}
-            for x, ws in graph.items():
-                row = nxt.setdefault(to[x], {})
-                for y, weight in ws.items():
-                    row[to[y]] = row.get(to[y], 0.0) + weight
-            graph = nxt
-        return pd.DataFrame({"id": list(member), "community": list(member.values())})
+        ids, at = np.unique(np.concatenate([group["x"].to_numpy(str), group["y"].to_numpy(str)]), return_inverse=True)
+        x, y = at[: len(group)], at[len(group) :]
+        found = modularity_communities(len(ids), x, y, group["w"].to_numpy(), total)
+        return pd.DataFrame({"id": ids, "community": ids[found]})
 
     return pairs.join(label, pairs["x"] == label["id"]).select("x", "y", "w", "component").groupBy("component").applyInPandas(run, "id string, community string")
 
 
-def flows(edges: DataFrame, entrypoints: DataFrame, types: tuple[str, ...], depth: int = 8, max_paths: int = 20) -> DataFrame:
-    """Execution paths from entrypoints; an edge back to the path ends it and is flagged. The first ``max_paths`` by length and nodes."""
-    e = edges.where(F.col("type").isin(*types)).select(F.col("source").alias("_from"), F.col("target").alias("_to")).distinct()
-    level = entrypoints.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.array("id").alias("path"), F.lit(False).alias("cycle"))
-    done: DataFrame | None = None
-    for _ in range(depth):
-        grown = level.where("NOT cycle").join(e, F.col("node") == F.col("_from"), "left")
-        ended = grown.where("_to IS NULL AND size(path) > 1").select("seed", "path", "cycle")
-        level = grown.where("_to IS NOT NULL").select("seed", F.col("_to").alias("node"), F.concat("path", F.array("_to")).alias("path"), F.array_contains("path", F.col("_to")).alias("cycle"))
-        looped = level.where("cycle").select("seed", "path", "cycle")
-        done = ended.unionByName(looped) if done is None else done.unionByName(ended).unionByName(looped)
-    done = done.unionByName(level.where("NOT cycle").select("seed", "path", "cycle"))
-    w = Window.partitionBy("seed").orderBy(F.size("path"), F.array_join("path", "\n"))
-    return done.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_paths)
-
-
-def trace(edges: DataFrame, start: str, max_depth: int = 6, max_nodes: int = 200, per_source: int = 20) -> DataFrame:
-    """Best-first trace from one node: a heap on the driver over a subgraph that the executors bound first (per source the best
-    ``per_source`` edges by type, confidence and id; a frontier of ``max_depth`` levels)."""
-    rank = F.element_at(F.create_map(*[x for i, t in enumerate(TRACE_ORDER) for x in (F.lit(t), F.lit(i))]), F.col("type"))
-    w = Window.partitionBy("source").orderBy("priority", F.desc("confidence"), "target", "id")
-    best = edges.where(F.col("type").isin(*TRACE_ORDER)).withColumn("priority", rank).withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_source).drop("n")
-    near = bfs(best, edges.sparkSession.createDataFrame([(start,)], "id string"), max_depth, max_nodes=max_nodes)
-    rows = best.join(near.select(F.col("node").alias("source")), "source", "left_semi").collect()  # at most max_nodes * per_source
-    out: dict[str, list] = {}
-    for r in rows:
-        out.setdefault(r["source"], []).append(r)
-    heap, seen, order = [(0, 0, start, None)], set(), []
-    while heap and len(order) < max_nodes:
-        priority, depth, node, via = heapq.heappop(heap)
-        if node in seen:
+def flows(edges: DataFrame, entrypoints: DataFrame, types: tuple[str, ...], depth: int = 8, max_paths: int = 20, max_steps: int = 80, names: DataFrame | None = None) -> DataFrame:
+    """Execution paths from entrypoints: seed, path, edge_ids, cycle (the path ends where it meets itself), truncated (it was cut), rank.
+
+    Paths grow level by level in one order: by the rank of what they extend, then the falling confidence of the edge, the name of its target (``names``: id,
+    name) and its id. No level of a seed holds more than ``max_paths`` open paths; those beyond are cut there, as are those at ``depth`` that could go on. Of all ends
+    the first ``max_paths`` are returned, and of a seed no more than ``max_steps`` different nodes are expanded."""
+    e = edges.where(F.col("type").isin(*types)).select(F.col("id").alias("_e"), F.col("source").alias("_from"), F.col("target").alias("_to"), F.col("confidence").alias("_c"))
+    if names is not None:
+        e = e.join(names.select(F.col("id").alias("_i"), F.col("name").alias("_name")), F.col("_to") == F.col("_i"), "left").drop("_i")
+    else:
+        e = e.withColumn("_name", F.lit(None).cast("string"))
+    level = entrypoints.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.array("id").alias("path"), F.array().cast("array<string>").alias("edge_ids"), F.lit(1).alias("_rank"))
+    ends: list[DataFrame] = []
+    columns = ("seed", "path", "edge_ids", "cycle", "truncated")
+    seen = level.select("seed", "node").distinct()
+    for d in range(depth + 1):
+        grown = level.join(e, F.col("node") == F.col("_from"), "left")
+        if d == depth:
+            last = level.join(e.select(F.col("_from").alias("node")).distinct().withColumn("_more", F.lit(True)), "node", "left")
+            ends.append(last.where(F.size("path") > 1).select("seed", "path", "edge_ids", F.lit(False).alias("cycle"), F.coalesce("_more", F.lit(False)).alias("truncated"), F.lit(d).alias("_d"), "_rank"))
+            break
+        ends.append(grown.where("_to IS NULL AND size(path) > 1").select("seed", "path", "edge_ids", F.lit(False).alias("cycle"), F.lit(False).alias("truncated"), F.lit(d).alias("_d"), "_rank"))
+        order = Window.partitionBy("seed").orderBy("_rank", F.desc("_c"), F.coalesce("_name", "_to"), "_e")
+        grown = grown.where("_to IS NOT NULL").select("seed", F.col("_to").alias("node"), F.concat("path", F.array("_to")).alias("path"), F.concat("edge_ids", F.array("_e")).alias("edge_ids"), F.array_contains("path", F.col("_to")).alias("cycle"), F.row_number().over(order).alias("_rank"))
+        grown = cut(grown.where(F.col("_rank") <= 2 * max_paths))  # the first ones are all that can be returned or grow
+        ends.append(grown.where("cycle").select("seed", "path", "edge_ids", "cycle", F.lit(False).alias("truncated"), F.lit(d + 1).alias("_d"), "_rank"))
+        live = grown.where("NOT cycle").withColumn("_live", F.row_number().over(Window.partitionBy("seed").orderBy("_rank")))
+        ends.append(live.where(F.col("_live") > max_paths).select("seed", "path", "edge_ids", F.lit(False).alias("cycle"), F.lit(True).alias("truncated"), F.lit(d + 1).alias("_d"), "_rank"))
+        level = live.where(F.col("_live") <= max_paths)
+        # nodes met for the first time, up to max_steps a seed; paths to further ones are cut
+        fresh = level.groupBy("seed", "node").agg(F.min("_rank").alias("_at")).join(seen, ["seed", "node"], "left_anti")
+        room = seen.groupBy("seed").agg((F.lit(max_steps) - F.count("*")).alias("_room"))
+        fresh = cut(fresh.withColumn("_k", F.row_number().over(Window.partitionBy("seed").orderBy("_at"))).join(room, "seed"))
+        beyond = fresh.where(F.col("_k") > F.col("_room")).select("seed", "node")
+        ends.append(level.join(beyond, ["seed", "node"], "left_semi").select("seed", "path", "edge_ids", F.lit(False).alias("cycle"), F.lit(True).alias("truncated"), F.lit(d + 1).alias("_d"), "_rank"))
+        level = cut(level.join(beyond, ["seed", "node"], "left_anti").select("seed", "node", "path", "edge_ids", "_rank"))
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(fresh.where(F.col("_k") <= F.col("_room")).select("seed", "node"))
+    done = reduce(lambda x, y: x.unionByName(y), ends)
+    w = Window.partitionBy("seed").orderBy("_d", "_rank")
+    return done.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_paths).select(*columns, "rank")
+
+
+def trace(edges: DataFrame, start: str, max_depth: int = 6, max_nodes: int = 200, max_paths: int = 50) -> DataFrame:
+    """Best-first trace of paths from one node: position, node, depth, edge_id (the edge that first led there, null for the start),
+    confidence (the least on the way), deterministic, truncated (whether a cap left something out).
+
+    The best open path is extended next: by the worth of its last edge's type, then confidence, then fewer edges, then node. A path ends at ``max_depth`` or where
+    nothing new follows; ``max_paths`` bounds ended and open paths, ``max_nodes`` the nodes. Only the heap is on the driver: it holds at most ``max_paths`` paths.
+    Edges are fetched in batches, for all open paths whose node lacks them: of each node the best ``max_nodes``, ranked by the executors."""
+    worth = F.element_at(F.create_map(*[F.lit(x) for kv in TRACE_PRIORITY.items() for x in kv]), F.col("type"))
+    followed = edges.where(F.col("type").isin(*TRACE_PRIORITY)).withColumn("worth", worth)
+    best = Window.partitionBy("source").orderBy(F.desc("worth"), F.desc("confidence"), "target", "id")
+    heap: list[tuple] = [(-math.inf, 0, start, 1.0, True, (start,))]
+    fetched: dict[str, list] = {}
+    nodes: dict[str, tuple] = {start: (0, None, 1.0, True)}
+    ended, truncated = 0, False
+    while heap and ended < max_paths and len(nodes) <= max_nodes:
+        _, depth, node, confidence, sure, path = heapq.heappop(heap)
+        if depth >= max_depth:
+            ended += 1
             continue
-        seen.add(node)
-        order.append((len(order), node, depth, via))
-        if depth < max_depth:
-            for r in sorted(out.get(node, []), key=lambda r: (r["priority"], -r["confidence"], r["target"], r["id"])):
-                if r["target"] not in seen:
-                    heapq.heappush(heap, (r["priority"], depth + 1, r["target"], r["id"]))
-    return edges.sparkSession.createDataFrame(order, "position int, node string, depth int, edge_id string")
+        if node not in fetched:
+            lacking = sorted({p[2] for p in heap if p[1] < max_depth and p[2] not in fetched} | {node})
+            rows = followed.where(F.col("source").isin(*lacking)).withColumn("n", F.row_number().over(best)).where(F.col("n") <= max_nodes).orderBy("source", "n").collect()
+            fetched |= {x: [] for x in lacking}
+            for r in rows:
+                fetched[r["source"]].append(r)
+        onward = [r for r in fetched[node] if r["target"] not in path]
+        pushed = 0
+        for r in onward:
+            if ended + len(heap) >= max_paths or len(nodes) >= max_nodes:
+                truncated = True
+                break
+            least, certain = min(confidence, r["confidence"]), sure and r["source_type"] != "heuristic" and r["confidence"] == 1
+            nodes.setdefault(r["target"], (depth + 1, r["id"], least, certain))
+            heapq.heappush(heap, (-(r["worth"] * 1000 + least * 100 - depth - 1), depth + 1, r["target"], least, certain, (*path, r["target"])))
+            pushed += 1
+        ended += pushed == 0
+    truncated = truncated or bool(heap)
+    out = [(i, node, depth, via, least, certain, truncated) for i, (node, (depth, via, least, certain)) in enumerate(nodes.items())]
+    return edges.sparkSession.createDataFrame(out, "position int, node string, depth int, edge_id string, confidence double, deterministic boolean, truncated boolean")

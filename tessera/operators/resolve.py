@@ -59,6 +59,50 @@ def resolve(refs: DataFrame, tiers: list[tuple[str, DataFrame, bool]], cap: int
     return refs.join(scored.select("ref", "tier", "candidate", "confidence", "n", "rank"), "ref", "left")
 
 
+def references(refs: DataFrame, symbols: DataFrame, bindings: DataFrame, modules: DataFrame, distances: DataFrame | None = None, cap: int = 20) -> DataFrame:
+    """References resolved in two phases and eight tiers; the first tier that has candidates decides (see ``resolve`` for the result).
+
+    ``refs``: ref, file, name (dotted), kind, owner (qualified name of the class around it, or null), kinds (array of symbol kinds that it may mean), framework (boolean).
+    ``symbols``: id, file, name, qualified_name, kind, exported. ``bindings``: file, local, imported (name in the module, ``*`` for all of it, ``default``), specifier.
+    ``modules``: importer, specifier, file: what imports were resolved to in the first phase.
+
+    own (``self`` and ``this`` by the owner's members), binding (through an import), framework (the only one of its name), qualified (below a symbol of the
+    file), file (by name in the file), imported (exported by a file that the reference's file imports), package (by name in its folder), name (by name anywhere). All but the
+    last two are exact. ``super`` resolves to nothing. Distances (ref_file, file, distance) order the last tiers; without them all are far (20)."""
+    parts = F.split("name", r"\.")
+    r = refs.select("ref", "file", "kind", "owner", "kinds", "framework", parts[0].alias("first"), F.element_at(parts, -1).alias("last"), F.array_join(F.slice(parts, 2, F.size(parts)), ".").alias("tail"), (F.size(parts) > 1).alias("dotted"))
+    told = F.col("first") != "super"
+    sym = symbols.select(F.col("id").alias("candidate"), F.col("file").alias("s_file"), F.col("name").alias("s_name"), F.col("qualified_name").alias("s_qualified"), F.col("kind").alias("s_kind"), F.coalesce("exported", F.lit(False)).alias("exported"))
+    fits = F.array_contains("kinds", F.col("s_kind"))
+
+    def tier(joined: DataFrame) -> DataFrame:
+        return joined.where(fits).select("ref", "candidate", F.lit(0).alias("distance"), F.col("file").alias("r_file"), "s_file").distinct()
+
+    own = tier(r.where(F.col("first").isin("this", "self") & F.col("owner").isNotNull()).join(sym, (F.col("file") == F.col("s_file")) & (F.concat_ws(".", "owner", "tail") == F.col("s_qualified"))))
+    bound = bindings.select(F.col("file").alias("b_file"), "local", "imported", "specifier").join(modules.select(F.col("importer").alias("b_file"), "specifier", F.col("file").alias("m_file")), ["b_file", "specifier"])
+    meant = F.when(F.col("imported") == "*", F.col("tail")).when(F.col("dotted"), F.concat_ws(".", "imported", "tail")).otherwise(F.col("imported"))
+    through = r.where(told).join(bound, (F.col("file") == F.col("b_file")) & (F.col("first") == F.col("local"))).withColumn("meant", meant)
+    binding = tier(through.join(sym, (F.col("m_file") == F.col("s_file")) & (F.col("meant") == F.col("s_qualified")) & (F.col("exported") | F.col("dotted"))))
+    alone = sym.join(sym.groupBy("s_name", "s_kind").agg(F.count("*").alias("n")).where("n = 1"), ["s_name", "s_kind"])
+    framework = tier(r.where(told & F.col("framework")).join(alone, F.col("last") == F.col("s_name")))
+    in_file = F.col("file") == F.col("s_file")
+    qualified = tier(r.where(told & F.col("dotted")).join(sym, in_file & (F.concat_ws(".", "first", "tail") == F.col("s_qualified"))))
+    by_file = tier(r.where(told & ~F.col("dotted")).join(sym, in_file & (F.col("first") == F.col("s_name"))))
+    imported = tier(r.where(told & ~F.col("dotted")).join(modules.select(F.col("importer").alias("file"), F.col("file").alias("m_file")).distinct(), "file").join(sym.where("exported"), (F.col("m_file") == F.col("s_file")) & (F.col("first") == F.col("s_name"))))
+    folder = lambda c: F.regexp_replace(c, r"/?[^/]*$", "")
+    by_name = r.where(told).join(sym, F.col("last") == F.col("s_name"))
+    package = tier(by_name.where(folder(F.col("file")) == folder(F.col("s_file"))))
+    anywhere = tier(by_name)
+    named = [("own", own, True), ("binding", binding, True), ("framework", framework, True), ("qualified", qualified, True), ("file", by_file, True), ("imported", imported, True), ("package", package, False), ("name", anywhere, False)]
+    if distances is not None:
+        d = distances.select(F.col("ref_file").alias("r_file"), F.col("file").alias("s_file"), F.col("distance").alias("_d"))
+        far = lambda rows: rows.drop("distance").join(d, ["r_file", "s_file"], "left").withColumn("distance", F.coalesce("_d", F.lit(20)))
+    else:
+        far = lambda rows: rows.withColumn("distance", F.lit(20))
+    tiers = [(name, rows if is_exact else far(rows), is_exact) for name, rows, is_exact in named]
+    return resolve(refs.select("ref", "kind"), tiers, cap)
+
+
 def edges_and_issues(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges of resolved references, and an issue for each that is unresolved or ambiguous; an ambiguous plain reference is an issue only."""
     table = F.create_map(*[F.lit(x) for kv in EDGE_FOR.items() for x in kv])

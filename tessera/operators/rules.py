@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.model import definite
+from tessera.model import definite_of
+from tessera.operators.lineage import cut
 
 # Layer names in the order in which they are looked for.
 LAYERS = ("controller", "service", "repository", "model", "api", "worker", "test")
@@ -27,7 +28,7 @@ def selector(wanted: dict[str, str], prefix: str = "") -> Column:
         if key in ("kind", "domain"):
             return F.lower(col(key)) == value
         if key == "layer":
-            return layer(F.lit(None).cast("string"), col("file"), col("name")) == value
+            return layer(col("qualified_name"), col("file"), col("name")) == value
         if key == "matches_path":
             return F.contains(F.lower(F.coalesce(col("file"), F.lit(""))), F.lit(value))
         return F.lower(F.coalesce(col("metadata")[key], F.lit(""))) == value
@@ -35,6 +36,11 @@ def selector(wanted: dict[str, str], prefix: str = "") -> Column:
     return reduce(lambda a, b: a & b, (one(k, v) for k, v in wanted.items()), F.lit(True))
 
 
+def named(nodes: DataFrame) -> DataFrame:
+    """Nodes with a qualified name, null where the table has none."""
+    return nodes if "qualified_name" in nodes.columns else nodes.withColumn("qualified_name", F.lit(None).cast("string"))
+
+
 def _ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     s = nodes.select(*[F.col(c).alias(f"s_{c}") for c in nodes.columns])
     g = nodes.select(*[F.col(c).alias(f"t_{c}") for c in nodes.columns])
@@ -43,10 +49,10 @@ def _ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def direct_violations(nodes: DataFrame, edges: DataFrame, source: dict[str, str], target: dict[str, str], types: tuple[str, ...] | None = None) -> DataFrame:
     """Definite edges from what one selector takes to what the other takes."""
-    e = edges.where(definite())
+    e = edges.where(definite_of(edges))
     if types:
         e = e.where(F.col("type").isin(*types))
-    return _ends(nodes, e).where(selector(source, "s_") & selector(target, "t_"))
+    return _ends(named(nodes), e).where(selector(source, "s_") & selector(target, "t_"))
 
 
 def crosses_domain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -56,14 +62,22 @@ def crosses_domain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def path_violations(nodes: DataFrame, edges: DataFrame, sources: DataFrame, target: Column, unless: Column | None = None, depth: int = 12) -> DataFrame:
     """Definite simple paths of up to ``depth`` edges from the sources to a node that ``target`` takes, not by way of one that
-    ``unless`` takes. A path ends where it first meets a target."""
-    flags = nodes.select(F.col("id").alias("_n"), target.alias("_hit"), (F.lit(False) if unless is None else unless).alias("_cut"))
-    step = edges.where(definite()).select(F.col("source").alias("_from"), F.col("target").alias("_to")).join(flags, F.col("_to") == F.col("_n"))
-    level = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.array("id").alias("path"))
+    ``unless`` takes: source, target, path. A path ends where it meets a target, and what its last node is left by is looked through in the order
+    of edge ids up to the first target only."""
+    flags = named(nodes).select(F.col("id").alias("_n"), F.coalesce(target, F.lit(False)).alias("_hit"), F.coalesce(F.lit(False) if unless is None else unless, F.lit(False)).alias("_cut"))
+    step = cut(edges.where(definite_of(edges)).select(F.col("id").alias("_e"), F.col("source").alias("_from"), F.col("target").alias("_to")).join(flags, F.col("_to") == F.col("_n")).drop("_n"))
+    level = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.array("id").alias("path"), F.lit("").alias("_way"))
     out: DataFrame | None = None
-    for _ in range(depth):
-        grown = level.join(step, F.col("node") == F.col("_from")).where(~F.array_contains("path", F.col("_to"))).select("source", F.col("_to").alias("node"), F.concat("path", F.array("_to")).alias("path"), "_hit", "_cut")
-        hit = grown.where(F.coalesce("_hit", F.lit(False))).select("source", F.col("node").alias("target"), "path")
+    for d in range(depth):
+        grown = level.join(step, F.col("node") == F.col("_from")).where(~F.array_contains("path", F.col("_to")))
+        first = F.min(F.when(F.col("_hit"), F.col("_e"))).over(Window.partitionBy("source", "_way", "path"))
+        grown = grown.withColumn("_first", first).where(F.col("_first").isNull() | (F.col("_e") <= F.col("_first")))
+        grown = grown.select("source", F.col("_to").alias("node"), F.concat("path", F.array("_to")).alias("path"), F.concat_ws("\n", "_way", "_e").alias("_way"), "_hit", "_cut")
+        if d < depth - 1:
+            grown = cut(grown)
+        hit = grown.where("_hit").select("source", F.col("node").alias("target"), "path")
         out = hit if out is None else out.unionByName(hit)
-        level = grown.where(~F.coalesce("_hit", F.lit(False)) & ~F.coalesce("_cut", F.lit(False))).select("source", "node", "path")
+        level = grown.where("NOT _hit AND NOT _cut").select("source", "node", "path", "_way")
+        if d < depth - 1 and level.isEmpty():
+            break
     return out

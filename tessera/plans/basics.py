@@ -287,6 +287,11 @@ def truncated_excerpts(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.byte_cut(F.col("text"), 400).alias("excerpt"), F.when(F.octet_length("text") > 400, "truncated").otherwise("complete").alias("status"))
 
 
-@query("redacted_literals", "F7", "SELECT CAST(sum(length(regexp_replace(text, '[0-9]+', '0', 'g'))) AS BIGINT) AS n FROM conversations")
+_LITERALS = "|".join(rf"{q}[^{q}\\]*(?:\\.[^{q}\\]*)*(?:{q}|\\?\z)" for q in ("''", '"', "`"))
+
+
+@query("redacted_literals", "F7", rf"SELECT conv_id, turn, regexp_replace(trim(regexp_replace(regexp_replace('f(a = ' || chr(39) || turn || ' ' || chr(92) || chr(39) || ' it' || chr(39) || ', ' || chr(34) || 'x' || conv_id || chr(34) || ',   `y`) ' || text, '(?s){_LITERALS}', '<literal>', 'g'), '\s+', ' ', 'g')), '[0-9]+', '0', 'g') AS safe FROM conversations")
 def redacted_literals(t: Tables) -> DataFrame:
-    return t.conversations.agg(F.sum(F.length(text.redacted(F.col("text")))).alias("n"))
+    """Each text behind a signature with strings in three quotes; apostrophes of the text open literals too."""
+    signature = F.concat(F.lit("f(a = '"), "turn", F.lit(" \\' it', \"x"), "conv_id", F.lit('",   `y`) '), "text")
+    return t.conversations.select("conv_id", "turn", text.redacted(signature).alias("safe"))

@@ -69,38 +69,71 @@ def diff_ranges(t: Tables) -> DataFrame:
 
 
 def _sources(t: Tables) -> DataFrame:
-    """Small Python modules, one for each nation: a mapped class, a route, calls and an environment variable."""
-    body = F.concat(
-        F.lit("import os\nfrom .base import Model\n\n\nclass "), F.initcap("n_name"), F.lit("(Model):\n    __tablename__ = '"), F.lower("n_name"), F.lit("'\n\n\n@app.get('/"), F.lower("n_name"), F.lit("')\ndef read_"), F.col("n_nationkey").cast("string"),
-        F.lit("(x):\n    # TODO: check\n    if x:\n        return load(os.environ['KEY_"), F.col("n_nationkey").cast("string"), F.lit("'])\n    return x\n"),
-    )
-    one = t.nation.withColumn("n_name", F.regexp_replace("n_name", "[^A-Za-z]", ""))
-    return one.select(F.concat(F.lit("pkg/m"), "n_nationkey", F.lit(".py")).alias("path"), body.alias("text"))
+    """A Python module for each nation: a mapped class, and one to four functions with a route, a branch, calls and an environment variable; those of odd nations loop."""
+    key = F.col("n_nationkey").cast("string")
+    loop = F.when(F.col("n_nationkey") % 2 == 1, "    for y in x:\n        if y:\n            break\n").otherwise("")
+    one = lambda i: F.concat(F.lit("@app.get('/x"), i.cast("string"), F.lit("')\ndef read_"), i.cast("string"), F.lit("(x):\n    # TODO: check\n    if x:\n        return load(os.environ['KEY_"), key, F.lit("'])\n"), loop, F.lit("    return x\n\n\n"))
+    functions = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("n_nationkey") % 4).cast("int")), one), "")
+    head = F.concat(F.lit("import os\nfrom .base import Model\n\n\nclass N"), key, F.lit("(Model):\n    __tablename__ = 'n"), key, F.lit("'\n\n\n"))
+    return t.nation.select(F.concat(F.lit("pkg/m"), key, F.lit(".py")).alias("path"), F.concat(head, functions).alias("text"))
+
+
+_F, _ODD = "(1 + n_nationkey % 4)", "(1 + n_nationkey % 4) * (n_nationkey % 2)"
+_PYTHON_ROWS = f"""('node', 'module', 1), ('node', 'database_model', 1), ('node', 'function', {_F}), ('node', 'endpoint', {_F}), ('edge', 'CONTAINS', 1 + {_F}), ('reference', 'import', 2), ('reference', 'extends', 1), ('reference', 'call', 2 * {_F}),
+ ('reference', 'environment_variable', {_F}), ('node', 'comment', {_F}), ('fingerprint', 'tokens', 1), ('cfg_node', 'entry', {_F}), ('cfg_node', 'exit', {_F}), ('cfg_node', 'branch', {_F} + {_ODD}), ('cfg_node', 'return', 2 * {_F}), ('cfg_node', 'loop', {_ODD}), ('cfg_node', 'break', {_ODD}),
+ ('cfg_edge', 'next', {_F}), ('cfg_edge', 'true', {_F} + 2 * {_ODD}), ('cfg_edge', 'false', {_F} + {_ODD}), ('cfg_edge', 'return', 2 * {_F}), ('cfg_edge', 'done', {_ODD}), ('cfg_edge', 'break', {_ODD})"""
 
 
-@query("python_symbols", "X1a X1c X2c X2d X2i X4 F8 Q10", "SELECT row_kind, kind, CAST(n * (SELECT count(*) FROM nation) AS BIGINT) AS n FROM (VALUES ('node', 'module', 1), ('node', 'database_model', 1), ('node', 'function', 1), ('node', 'endpoint', 1), ('edge', 'CONTAINS', 2), ('reference', 'import', 2), ('reference', 'extends', 1), ('reference', 'call', 2), ('reference', 'environment_variable', 1), ('node', 'comment', 1), ('fingerprint', 'tokens', 1), ('cfg_node', 'entry', 1), ('cfg_node', 'branch', 1), ('cfg_node', 'return', 2), ('cfg_edge', 'next', 3), ('cfg_edge', 'exit', 1)) x(row_kind, kind, n)")
+@query("python_symbols", "X1a X1c X2c X2d X2i X4 F8 Q10", f"SELECT n_nationkey, row_kind, kind, CAST(n AS BIGINT) AS n FROM nation, LATERAL (SELECT * FROM (VALUES {_PYTHON_ROWS}) v(row_kind, kind, n)) x WHERE n > 0")
 def python_symbols(t: Tables) -> DataFrame:
     rows = adapters.extract(_sources(t), ["python", "environment", "comments", "tokens", "control_flow"])
-    return rows.groupBy("row_kind", "kind").agg(F.count("*").alias("n"))
+    return rows.groupBy(F.regexp_extract("file", r"(\d+)", 1).cast("int").alias("n_nationkey"), "row_kind", "kind").agg(F.count("*").alias("n"))
+
+
+def _contracts(t: Tables) -> DataFrame:
+    """Contracts and deployments of each nation, of different sizes, and a broken file that only costs a row."""
+    key, k = F.col("n_nationkey").cast("string"), F.col("n_nationkey")
+    several = lambda n, make, glue: F.array_join(F.transform(F.sequence(F.lit(0), (k % n).cast("int")), make), glue)
+    paths = several(3, lambda i: F.concat(F.lit('"/a'), i, F.lit('": {"get": {"operationId": "x"}, "post": {}}')), ", ")
+    api = F.concat(F.lit('{"openapi": "3.0.0", "servers": [{"url": "https://h'), key, F.lit('"}], "paths": {'), paths, F.lit('}, "components": {"schemas": {"S": {}}}}'))
+    yaml = F.concat(F.lit("openapi: 3.0.0\npaths:\n"), several(4, lambda i: F.concat(F.lit("  /b"), i, F.lit(":\n    delete:\n      x: 1\n")), ""), F.lit("components:\n  /no:\n    get:\n"))
+    channels = several(2, lambda i: F.concat(F.lit('"c'), i, F.lit('": {"publish": {}, "subscribe": {}}')), ", ")
+    messages = F.concat(F.lit('{"asyncapi": "2.0.0", "channels": {'), channels, F.lit('}, "servers": {"kafka": {"url": "k"}}, "components": {"schemas": {"M": {}}}}'))
+    compose = F.concat(F.lit("services:\n  web"), key, F.lit(":\n    image: postgres:16\n    environment:\n"), several(3, lambda i: F.concat(F.lit("      - APP_KEY"), i, F.lit("=1\n")), ""))
+    pods = several(3, lambda i: F.concat(F.lit("apiVersion: v1\nkind: "), F.element_at(F.array(*[F.lit(x) for x in ("Deployment", "CronJob", "Service")]), i + 1), F.lit("\nmetadata:\n  name: p"), i, F.lit("\n")), "---\n")
+    models = F.concat(F.lit("model A {\n  id Int\n  b B[]\n}\n"), several(2, lambda i: F.concat(F.lit("model B"), i, F.lit(" {\n  a A?\n}\n")), ""))
+    made = (("api", ".json", api), ("api", ".yaml", yaml), ("events", ".asyncapi.json", messages), ("compose", ".yaml", compose), ("pods", ".yaml", pods), ("schema", ".prisma", models), ("bad", ".json", F.lit("{")))
+    each = F.explode(F.array(*[F.struct(F.concat(F.lit(name), key, F.lit(ending)).alias("path"), text.alias("text")) for name, ending, text in made]))
+    return t.nation.select(each.alias("f")).select("f.*")
 
 
-@query("contract_extraction", "X2f X2g X2h X2k", "SELECT kind, CAST(n * (SELECT count(*) FROM nation) AS BIGINT) AS n FROM (VALUES ('http_contract', 2), ('contract_schema', 1), ('external_service', 1), ('service', 1), ('datastore', 1), ('environment_variable', 1), ('error', 1)) x(kind, n)")
+_P3, _P4, _P2 = "(1 + n_nationkey % 3)", "(1 + n_nationkey % 4)", "(1 + n_nationkey % 2)"
+
+
+@query("contract_extraction", "X2e X2f X2g X2h X2k", f"""SELECT n_nationkey, kind, CAST(n AS BIGINT) AS n FROM nation, LATERAL (SELECT * FROM (VALUES ('http_contract', 2 * {_P3} + {_P4}), ('contract_schema', 2), ('external_service', 2), ('service', 1 + (n_nationkey % 3) // 2),
+ ('datastore', 1), ('environment_variable', {_P3}), ('process', 1), ('job', (n_nationkey % 3 + 1) // 2), ('topic', {_P2}), ('PUBLISHES', {_P2}), ('SUBSCRIBES', {_P2}), ('database_model', 1 + {_P2}), ('REFERENCES', 1 + {_P2}), ('error', 1)) v(kind, n)) x WHERE n > 0""")
 def contract_extraction(t: Tables) -> DataFrame:
-    """OpenAPI documents and compose files made from nations, and a broken file that only costs a row."""
-    key = F.col("n_nationkey").cast("string")
-    api = F.concat(F.lit('{"openapi": "3.0.0", "servers": [{"url": "https://h'), key, F.lit('"}], "paths": {"/a'), key, F.lit('": {"get": {"operationId": "x"}, "post": {}}}, "components": {"schemas": {"S": {}}}}'))
-    compose = F.concat(F.lit("services:\n  web"), key, F.lit(":\n    image: postgres:16\n    environment:\n      - APP_KEY=1\n"))
-    files = t.nation.select(F.concat(F.lit("api"), key, F.lit(".json")).alias("path"), api.alias("text"))
-    files = files.union(t.nation.select(F.concat(F.lit("compose"), key, F.lit(".yaml")), compose)).union(t.nation.select(F.concat(F.lit("bad"), key, F.lit(".json")), F.lit("{")))
-    rows = adapters.merged(adapters.extract(files, ["openapi", "deployment"]))
-    return rows.groupBy(F.when(F.col("row_kind") == "error", "error").otherwise(F.col("kind")).alias("kind")).agg(F.count("*").alias("n"))
+    """OpenAPI (JSON and YAML), AsyncAPI, compose, Kubernetes and Prisma files, by nation."""
+    rows = adapters.merged(adapters.extract(_contracts(t), ["openapi", "asyncapi", "deployment", "prisma"]))
+    kind = F.when(F.col("row_kind") == "error", "error").otherwise(F.col("kind"))
+    return rows.groupBy(F.regexp_extract("file", r"(\d+)", 1).cast("int").alias("n_nationkey"), kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("suppressed_references", "X2k", "SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, CAST(CASE WHEN n_nationkey % 5 = 0 THEN 0 ELSE 1 + n_nationkey % 4 END AS BIGINT) AS n_references FROM nation")
+def suppressed_references(t: Tables) -> DataFrame:
+    """Environment references that another adapter explains are left out: here those of every fifth nation."""
+    rows = adapters.extract(_sources(t), ["environment", "tokens"])
+    of = F.regexp_extract("file", r"(\d+)", 1).cast("int")
+    explained = rows.where((F.col("row_kind") == "reference") & (of % 5 == 0)).select("file", "start_line", "name")
+    return adapters.merged(rows, explained).groupBy(of.alias("n_nationkey")).agg(F.count_if(F.col("row_kind") == "reference").alias("n_references"))
 
 
-@query("markdown_sections", "X3 A15", "SELECT doc_id, CAST(3 AS BIGINT) AS n_sections, CAST(1 AS BIGINT) AS n_fields FROM documents")
+@query("markdown_sections", "X3", r"""SELECT doc_id, CAST(1 + doc_id % 4 + len(regexp_extract_all(coalesce(text, ''), '(?m)^#{1,6}\s+\S')) AS BIGINT) AS n_sections, CAST(doc_id % 2 + len(regexp_extract_all(coalesce(text, ''), '(?mi)^(?:\*\*)?(?:Status|Date|Context|Decision|Consequences)(?:\*\*)?:\s*[^\s]')) AS BIGINT) AS n_fields FROM documents""".replace("\\\\", "\\"))
 def markdown_sections(t: Tables) -> DataFrame:
-    """Each whole text below a head of three sections and a field; the given texts have no headings of their own."""
-    text = F.concat(F.lit("# Top\nStatus: accepted\n## A\nx\n## B\n"), F.coalesce("text", F.lit("")))
-    files = t.documents.select(F.concat(F.lit("d"), "doc_id", F.lit(".md")).alias("path"), text.alias("text"))
+    """Each whole text below a head of one to four sections and up to one field; headings and fields of the text itself count too."""
+    field = F.when(F.col("doc_id") % 2 == 1, "Status: accepted\n").otherwise("")
+    parts = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 4).cast("int")), lambda i: F.concat(F.lit("## Part "), i, F.lit("\nx\n"))), "")
+    files = t.documents.select(F.concat(F.lit("d"), "doc_id", F.lit(".md")).alias("path"), F.concat(field, parts, F.coalesce("text", F.lit(""))).alias("text"))
     rows = adapters.extract(files, ["markdown"])
     doc = F.regexp_extract("file", r"(\d+)", 1).cast("long")
     return rows.groupBy(doc.alias("doc_id")).agg(F.count_if(F.col("kind") == "documentation").alias("n_sections"), F.count_if(F.col("kind") == "decision_field").alias("n_fields"))

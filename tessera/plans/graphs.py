@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import fixtures as fx
@@ -26,7 +26,7 @@ _REVERSE = f"""WITH {EDGES_SQL}, d AS (SELECT * FROM edges WHERE {DEFINITE_SQL})
 
 @query("impact_of_suppliers", "N7 Q8 P5", _REVERSE + " SELECT seed, node, distance, max(confidence) AS confidence, CAST(count(*) AS BIGINT) AS n_paths FROM paths GROUP BY ALL")
 def impact_of_suppliers(t: Tables) -> DataFrame:
-    p = graph.impact(fx.edges(t), _suppliers(t), 3)
+    p = graph.impact(fx.edges(t), _suppliers(t))
     return p.groupBy("seed", "node", "distance").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n_paths"))
 
 
@@ -35,10 +35,13 @@ def impact_of_suppliers(t: Tables) -> DataFrame:
    CAST(count(DISTINCT file) AS BIGINT) AS n_files, CAST(count(DISTINCT domain) AS BIGINT) AS n_domains, CAST(count(DISTINCT CASE WHEN kind = 'endpoint' THEN node END) AS BIGINT) AS n_entrypoints
  FROM paths JOIN all_nodes ON id = node GROUP BY seed""")
 def impact_description(t: Tables) -> DataFrame:
-    p = graph.impact(fx.edges(t), _suppliers(t), 3).select("seed", "node", "distance").distinct()
+    """A node counts as direct if a path of one edge leads to it, and as transitive if a longer one does."""
+    e = fx.edges(t)
     n = fx.nodes(t).select(F.col("id").alias("node"), "kind", "file", "domain")
-    count = lambda c: F.count_distinct(c)
-    return p.join(n, "node").groupBy("seed").agg(count(F.when(F.col("distance") == 1, F.col("node"))).alias("n_direct"), count(F.when(F.col("distance") > 1, F.col("node"))).alias("n_transitive"), count("file").alias("n_files"), count("domain").alias("n_domains"), count(F.when(F.col("kind") == "endpoint", F.col("node"))).alias("n_entrypoints"))
+    # by seed and node first, so that each of the five numbers counts rows that are already distinct
+    met = graph.path_distances(e, _suppliers(t), 8).join(n, "node")
+    per = met.groupBy("seed").agg(F.count_if(F.col("first") == 1).alias("n_direct"), F.count_if(F.col("first") > 1).alias("n_transitive"), F.size(F.collect_set("file")).cast("long").alias("n_files"), F.size(F.collect_set("domain")).cast("long").alias("n_domains"), F.count_if(F.col("kind") == "endpoint").alias("n_entrypoints"))
+    return per
 
 
 _FORWARD = f"""WITH {EDGES_SQL}, d AS (SELECT * FROM edges WHERE {DEFINITE_SQL}), s AS (SELECT 'customer:' || c_custkey AS seed FROM customer WHERE c_custkey % 10 = 0),
@@ -50,7 +53,7 @@ _FORWARD = f"""WITH {EDGES_SQL}, d AS (SELECT * FROM edges WHERE {DEFINITE_SQL})
 @query("dependencies_of_customers", "N8", _FORWARD.replace(" WHERE c_custkey % 10 = 0", "") + " SELECT seed, distance, CAST(count(*) AS BIGINT) AS n_paths, CAST(count(DISTINCT node) AS BIGINT) AS n_nodes, min(confidence) AS weakest FROM (SELECT *, 1 AS distance FROM p1 UNION ALL SELECT *, 2 FROM p2 UNION ALL SELECT *, 3 FROM p3) x GROUP BY ALL")
 def dependencies_of_customers(t: Tables) -> DataFrame:
     seeds = t.customer.select(F.concat(F.lit("customer:"), "c_custkey").alias("id"))
-    p = graph.dependencies(fx.edges(t), seeds, 3)
+    p = graph.dependencies(fx.edges(t), seeds)
     return p.groupBy("seed", "distance").agg(F.count("*").alias("n_paths"), F.count_distinct("node").alias("n_nodes"), F.min("confidence").alias("weakest"))
 
 
@@ -66,7 +69,7 @@ def potential_impact_of_suppliers(t: Tables) -> DataFrame:
 @query("impact_limited", "N7 Q8", _REVERSE.replace("SELECT 'supplier:' || s_suppkey AS seed, d.source AS node, d.confidence AS confidence", "SELECT 'supplier:' || s_suppkey AS seed, d.source AS node, d.confidence AS confidence, 'supplier:' || s_suppkey || chr(10) || d.source AS path, d.id AS e").replace("SELECT seed, d.source AS node, least(p1.confidence, d.confidence) AS confidence", "SELECT seed, d.source AS node, least(p1.confidence, d.confidence) AS confidence, path || chr(10) || d.source AS path, e || chr(10) || d.id AS e").replace("SELECT seed, d.source AS node, least(p2.confidence, d.confidence) AS confidence", "SELECT seed, d.source AS node, least(p2.confidence, d.confidence) AS confidence, path || chr(10) || d.source AS path, e || chr(10) || d.id AS e").replace("SELECT seed, node, 1 AS distance, confidence FROM p1", "SELECT seed, node, 1 AS distance, confidence, path, e FROM p1").replace("SELECT seed, node, 2, confidence FROM p2", "SELECT seed, node, 2, confidence, path, e FROM p2").replace("SELECT seed, node, 3, confidence FROM p3", "SELECT seed, node, 3, confidence, path, e FROM p3") + """
  SELECT seed, node, distance, confidence, replace(path, chr(10), ',') AS path, total > 50 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY distance, path, e) AS n, count(*) OVER (PARTITION BY seed) AS total FROM paths) x WHERE n <= 50""")
 def impact_limited(t: Tables) -> DataFrame:
-    p = graph.impact(fx.edges(t), _suppliers(t), 3, limit=50)
+    p = graph.impact(fx.edges(t), _suppliers(t), limit=50)
     return p.select("seed", "node", "distance", "confidence", F.array_join("path", ",").alias("path"), "truncated")
 
 
@@ -108,9 +111,23 @@ def dependency_neighbourhood(t: Tables) -> DataFrame:
 
 @query("shortest_handoff_path", "N6 Q6", None)
 def shortest_handoff_path(t: Tables) -> DataFrame:
+    """From the first user who hands anything on to the last of those farthest away within twelve hand-offs."""
     e = fx.handoffs(t)
-    ends = e.agg(F.min("source").alias("a"), F.max("target").alias("b")).first()
-    return graph.shortest_path(e, ends["a"], ends["b"], 12)
+    start = e.agg(F.min("source").alias("id"))
+    far = graph.bfs(e, start, 12).agg(F.max(F.struct("distance", "node")).alias("far"), F.max("seed").alias("seed")).first()
+    return graph.shortest_path(e, far["seed"], far["far"]["node"], 12)
+
+
+@query("shortest_handoff_steps", "N6 Q6", f"""WITH RECURSIVE {HANDOFFS_SQL}, pairs AS (SELECT DISTINCT source, target FROM handoffs), f AS (SELECT min(source) AS a FROM handoffs),
+ r AS (SELECT a AS node, 0 AS d FROM f UNION SELECT target, d + 1 FROM r JOIN pairs ON node = source WHERE d < 12), m AS (SELECT node, min(d) AS d FROM r GROUP BY node),
+ far AS (SELECT node, d FROM m ORDER BY d DESC, node DESC LIMIT 1)
+ SELECT CAST(unnest(range(0, d + 1)) AS INTEGER) AS step, (SELECT a FROM f) AS first, node AS last FROM far""")
+def shortest_handoff_steps(t: Tables) -> DataFrame:
+    """The steps of that path are those that the distance of its end asks for, and each is a hand-off."""
+    path, e = cut(shortest_handoff_path(t)), fx.handoffs(t)
+    ends = path.agg(F.min_by("node", "step").alias("first"), F.max_by("node", "step").alias("last"))
+    real = path.join(e.select(F.col("id").alias("edge_id"), F.col("target").alias("node")).distinct(), ["edge_id", "node"], "left_semi").unionByName(path.where("step = 0").select("edge_id", "node", "step"))
+    return real.select("step").join(ends).select("step", "first", "last")
 
 
 @query("shortest_path_lengths", "N6", _HOPS + ", f AS (SELECT min(source) AS a FROM handoffs) SELECT node AS target, CAST(min(d) AS INTEGER) AS hops FROM r, f WHERE seed = a GROUP BY node")
@@ -149,13 +166,18 @@ def communities(t: Tables) -> DataFrame:
     return graph.louvain(fx.file_graph(t), "source_file", "target_file")
 
 
-@query("execution_flows", "N11 Q9 F2", f"""WITH {EDGES_SQL}, e AS (SELECT DISTINCT source, target FROM edges WHERE type IN ('CALLS', 'READS_FROM', 'HANDLES', 'QUERIES', 'UPDATES', 'WRITES_TO', 'TRIGGERS', 'MAY_CONTINUE_TO', 'IMPLEMENTED_BY')),
- p AS (SELECT e.source AS seed, e.source || ' > ' || e.target AS path FROM e WHERE e.source LIKE 'order:%')
- SELECT seed, path, CAST(row_number() OVER (PARTITION BY seed ORDER BY path) AS INTEGER) AS rank FROM p QUALIFY row_number() OVER (PARTITION BY seed ORDER BY path) <= 20""")
+@query("execution_flows", "N11 Q9 F2", f"""WITH {GRAPH_SQL}, e AS (SELECT edges.id, source, target, confidence, nodes.name FROM edges JOIN nodes ON nodes.id = target WHERE type IN ('CALLS', 'READS_FROM', 'HANDLES', 'QUERIES', 'UPDATES', 'WRITES_TO', 'TRIGGERS', 'MAY_CONTINUE_TO', 'IMPLEMENTED_BY')),
+ p1 AS (SELECT source AS seed, target, e.id AS e1, row_number() OVER (PARTITION BY source ORDER BY confidence DESC, name, e.id) AS n1 FROM e WHERE source LIKE 'customer:%'),
+ l1 AS (SELECT * FROM p1 WHERE n1 <= 20),
+ p2 AS (SELECT seed, l1.target AS mid, e.target, e1, e.id AS e2, row_number() OVER (PARTITION BY seed ORDER BY n1, e.confidence DESC, e.name, e.id) AS n2 FROM l1 JOIN e ON e.source = l1.target),
+ ends AS (SELECT seed, seed || ' > ' || target AS path, e1 AS edges, n1 > 20 AS truncated, 1 AS d, n1 AS n FROM p1 WHERE n1 <= 40 AND (n1 > 20 OR NOT EXISTS (SELECT 1 FROM e WHERE e.source = p1.target))
+   UNION ALL SELECT seed, seed || ' > ' || mid || ' > ' || target, e1 || ',' || e2, n2 > 20, 2, n2 FROM p2 WHERE n2 <= 40)
+ SELECT seed, path, edges, truncated, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY d, n) AS rank FROM ends) x WHERE rank <= 20""")
 def execution_flows(t: Tables) -> DataFrame:
-    seeds = t.orders.select(F.concat(F.lit("order:"), "o_orderkey").alias("id"))
-    f = graph.flows(fx.edges(t), seeds, FLOW_TYPES, depth=2)
-    return f.select("seed", F.array_join("path", " > ").alias("path"), "rank")
+    """From every customer at the default depth; parts, where all flows end, are two steps away."""
+    seeds = t.customer.select(F.concat(F.lit("customer:"), "c_custkey").alias("id"))
+    f = graph.flows(fx.edges(t), seeds, FLOW_TYPES, names=fx.nodes(t).select("id", "name"))
+    return f.select("seed", F.array_join("path", " > ").alias("path"), F.array_join("edge_ids", ",").alias("edges"), "truncated", "rank")
 
 
 @query("cyclic_flows", "N11", f"""WITH RECURSIVE {HANDOFFS_SQL}, e AS (SELECT DISTINCT source, target FROM handoffs),
@@ -165,44 +187,39 @@ def execution_flows(t: Tables) -> DataFrame:
  SELECT seed, cycle, CAST(len(path) AS INTEGER) AS n_nodes, CAST(count(*) AS BIGINT) AS n_paths FROM done GROUP BY ALL""")
 def cyclic_flows(t: Tables) -> DataFrame:
     e = fx.handoffs(t)
-    f = graph.flows(e, e.select(F.col("source").alias("id")).distinct(), ("CALLS",), depth=4, max_paths=1_000_000)
+    one = e.groupBy("source", "target", "type").agg(F.min("id").alias("id"), F.max("confidence").alias("confidence"))
+    f = graph.flows(one, e.select(F.col("source").alias("id")).distinct(), ("CALLS",), depth=4, max_paths=1_000_000, max_steps=1_000_000)
     return f.groupBy("seed", "cycle", F.size("path").alias("n_nodes")).agg(F.count("*").alias("n_paths"))
 
 
 @query("best_first_trace", "N5 Q7 W1")
 def best_first_trace(t: Tables) -> DataFrame:
-    return graph.trace(fx.edges(t), "customer:1", max_depth=3, max_nodes=100)
+    return graph.trace(fx.edges(t), "customer:1", max_depth=6, max_nodes=100)
 
 
 @query("bounded_bfs", "N4")
 def bounded_bfs(t: Tables) -> DataFrame:
-    return graph.bfs(fx.edges(t), _suppliers(t), 2, reverse=True, max_nodes=100)
+    return graph.traverse(fx.edges(t), _suppliers(t), 4, 100, reverse=True)
 
 
-@query("task_subgraph", "N4", f"""WITH {EDGES_SQL}, s AS (SELECT 'part:' || p_partkey AS id FROM part WHERE p_size = 7),
- h1 AS (SELECT id FROM s UNION SELECT target FROM edges JOIN s ON source = s.id UNION SELECT source FROM edges JOIN s ON target = s.id)
- SELECT type, CAST(count(*) AS BIGINT) AS n_edges FROM edges WHERE source IN (SELECT id FROM h1) AND target IN (SELECT id FROM h1) GROUP BY type""")
-def task_subgraph(t: Tables) -> DataFrame:
-    e = fx.edges(t)
-    seeds = t.part.where("p_size = 7").select(F.concat(F.lit("part:"), "p_partkey").alias("id"))
-    out = e.join(seeds.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id"))
-    back = e.join(seeds.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("source").alias("id"))
-    near = seeds.union(out).union(back).distinct()
-    inner = e.join(near.select(F.col("id").alias("source")), "source", "left_semi").join(near.select(F.col("id").alias("target")), "target", "left_semi")
-    return inner.groupBy("type").agg(F.count("*").alias("n_edges"))
+@query("bounded_bfs_first_level", "N4", f"""WITH {EDGES_SQL}, r AS (SELECT target AS seed, id AS edge_id, source AS node, confidence, confidence = 1 AND source_type <> 'heuristic' AS deterministic,
+ row_number() OVER (PARTITION BY target ORDER BY type, source, target, id) AS n, count(*) OVER (PARTITION BY target) AS total FROM edges WHERE target LIKE 'part:%')
+ SELECT seed, edge_id, node, confidence, deterministic, total >= 20 AS truncated FROM r WHERE n <= 20""")
+def bounded_bfs_first_level(t: Tables) -> DataFrame:
+    """One level of the bounded traversal from all parts, at most 20 edges each."""
+    seeds = t.part.select(F.concat(F.lit("part:"), "p_partkey").alias("id"))
+    out = graph.traverse(fx.edges(t), seeds, 1, 20, reverse=True)
+    return out.select("seed", "edge_id", "node", "confidence", "deterministic", "truncated")
 
 
-@query("task_subgraph_two_hops", "N22")
-def task_subgraph_two_hops(t: Tables) -> DataFrame:
-    """Edges among all that is within two hops of the seeds, either way; ``task_subgraph`` goes one hop."""
-    e = fx.edges(t)
-    near = t.part.where("p_size = 7").select(F.concat(F.lit("part:"), "p_partkey").alias("id"))
-    for _ in range(2):
-        out = e.join(near.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id"))
-        back = e.join(near.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("source").alias("id"))
-        near = cut(near.union(out).union(back).distinct())
-    inner = e.join(near.select(F.col("id").alias("source")), "source", "left_semi").join(near.select(F.col("id").alias("target")), "target", "left_semi")
-    return inner.groupBy("type").agg(F.count("*").alias("n_edges"))
+@query("task_subgraph", "N4 N22", f"""WITH {EDGES_SQL}, s AS (SELECT 'part:' || p_partkey AS id FROM part WHERE p_size = 7),
+ h1 AS (SELECT id FROM s UNION SELECT target FROM edges JOIN s ON source = s.id UNION SELECT source FROM edges JOIN s ON target = s.id),
+ h2 AS (SELECT id FROM h1 UNION SELECT target FROM edges JOIN h1 ON source = h1.id UNION SELECT source FROM edges JOIN h1 ON target = h1.id)
+ SELECT type, CAST(count(*) AS BIGINT) AS n_edges FROM edges WHERE source IN (SELECT id FROM h2) AND target IN (SELECT id FROM h2) GROUP BY type""")
+def task_subgraph(t: Tables) -> DataFrame:
+    """Edges among all that is within two hops of the seeds, either way."""
+    seeds = t.part.where("p_size = 7").select(F.concat(F.lit("part:"), "p_partkey").alias("id"))
+    return graph.subgraph(fx.edges(t), seeds, 2)[1].groupBy("type").agg(F.count("*").alias("n_edges"))
 
 
 @query("route_closure", "N20 J6", f"""WITH RECURSIVE {FILE_GRAPH_SQL}, roots AS (SELECT DISTINCT source_file AS file FROM file_graph WHERE source_file LIKE 'Brand#11%'),
@@ -220,26 +237,12 @@ def route_closure(t: Tables) -> DataFrame:
     return out
 
 
-@query("import_distance_ranking", "R4", f"""WITH {FILE_GRAPH_SQL}, c AS (SELECT source_file AS ref, target_file AS cand, 1 AS d FROM file_graph UNION SELECT a.source_file, b.target_file, 2 FROM file_graph a JOIN file_graph b ON a.target_file = b.source_file),
- m AS (SELECT ref, cand, min(d) AS d FROM c WHERE ref <> cand GROUP BY ref, cand)
- SELECT ref, cand, CAST(d AS INTEGER) AS distance, round(greatest(0.2, 0.75 - 0.04 * least(d, 10) - 0.05 * (n - 1)), 2) AS confidence, CAST(rk AS INTEGER) AS rank FROM
- (SELECT *, least(count(*) OVER (PARTITION BY ref), 20) AS n, row_number() OVER (PARTITION BY ref ORDER BY d, CASE WHEN split_part(ref, '/', 1) = split_part(cand, '/', 1) THEN 0 ELSE 1 END, cand) AS rk FROM m) x WHERE rk <= 20""")
+@query("import_distance_ranking", "R4 N19", f"""WITH RECURSIVE {FILE_GRAPH_SQL}, g AS (SELECT DISTINCT source_file, target_file FROM file_graph), f AS (SELECT DISTINCT p_type, p_brand || '/' || p_type AS f FROM part),
+ pairs AS (SELECT a.f AS ref, b.f AS cand FROM f a JOIN f b ON a.p_type = b.p_type AND a.f <> b.f), r AS (SELECT DISTINCT ref, ref AS node, 0 AS d FROM pairs UNION SELECT ref, target_file, d + 1 FROM r JOIN g ON node = source_file WHERE d < 12),
+ m AS (SELECT ref, node, min(d) AS d FROM r GROUP BY ref, node), x AS (SELECT pairs.ref, cand, coalesce(d, 20) AS distance, count(*) OVER (PARTITION BY pairs.ref) AS n FROM pairs LEFT JOIN m ON m.ref = pairs.ref AND m.node = cand)
+ SELECT ref, cand, CAST(distance AS INTEGER) AS distance, round(greatest(0.2, 0.75 - 0.04 * least(distance, 10) - 0.05 * (n - 1)), 2) AS confidence, CAST(row_number() OVER (PARTITION BY ref ORDER BY distance, cand) AS INTEGER) AS rank FROM x""")
 def import_distance_ranking(t: Tables) -> DataFrame:
-    """Candidates of a reference by import distance, shared directory and name; confidence falls with distance and number."""
-    g = fx.file_graph(t).select(F.col("source_file").alias("source"), F.col("target_file").alias("target"))
-    two = g.alias("a").join(g.alias("b"), F.col("a.target") == F.col("b.source")).select(F.col("a.source").alias("ref"), F.col("b.target").alias("cand"), F.lit(2).alias("d"))
-    both = g.select(F.col("source").alias("ref"), F.col("target").alias("cand"), F.lit(1).alias("d")).union(two).where("ref <> cand").groupBy("ref", "cand").agg(F.min("d").alias("distance"))
-    brand = lambda c: F.split_part(F.col(c), F.lit("/"), F.lit(1))
-    w = Window.partitionBy("ref").orderBy("distance", F.when(brand("ref") == brand("cand"), 0).otherwise(1), "cand")
-    n = F.least(F.count("*").over(Window.partitionBy("ref")), F.lit(20))
-    score = F.round(F.greatest(F.lit(0.2), 0.75 - 0.04 * F.least("distance", F.lit(10)) - 0.05 * (n - 1)), 2)
-    return both.select("ref", "cand", "distance", score.alias("confidence"), F.row_number().over(w).alias("rank")).where("rank <= 20")
-
-
-@query("import_distance_candidates", "N19")
-def import_distance_candidates(t: Tables) -> DataFrame:
-    """Files of other brands with the type of a file, ranked as what the file can mean by that type; ``import_distance_ranking`` knows
-    the files at one or two imports only."""
+    """Files of other brands with the type of a file, ranked as what the file can mean by that type."""
     file = t.part.select("p_type", F.concat("p_brand", F.lit("/"), "p_type").alias("f")).distinct()
     pairs = file.select("p_type", F.col("f").alias("ref")).join(file.select("p_type", F.col("f").alias("cand")), "p_type").where("ref <> cand").select("ref", "cand")
     return resolve.by_import_distance(fx.file_links(t), pairs)
@@ -273,13 +276,14 @@ def cross_domain_violations(t: Tables) -> DataFrame:
     return crosses_domain(n, both).groupBy("source_domain", "target_domain", "type").agg(F.count("*").alias("n"))
 
 
-@query("path_rule_violations", "N16", f"""{_PATH_RULE}, p1 AS (SELECT 'customer:' || c_custkey AS source, d.target AS mid FROM customer JOIN d ON d.source = 'customer:' || c_custkey WHERE c_mktsegment = 'BUILDING'),
- ok AS (SELECT p1.* FROM p1 JOIN nodes m ON m.id = p1.mid WHERE m.file <> 'orders/P'), p2 AS (SELECT ok.source, ok.mid, d.target FROM ok JOIN d ON d.source = ok.mid JOIN nodes g ON g.id = d.target WHERE g.kind = 'database_model' AND contains(lower(g.file), 'brand#23'))
- SELECT source, CAST(count(DISTINCT target) AS BIGINT) AS n_targets, CAST(count(*) AS BIGINT) AS n_paths FROM p2 GROUP BY source""")
+@query("path_rule_violations", "N16", f"""{_PATH_RULE}, p1 AS (SELECT 'customer:' || c_custkey AS source, d.target AS mid, d.id AS e1 FROM customer JOIN d ON d.source = 'customer:' || c_custkey WHERE c_mktsegment = 'BUILDING'),
+ ok AS (SELECT p1.* FROM p1 JOIN nodes m ON m.id = p1.mid WHERE m.file <> 'orders/P'),
+ p2 AS (SELECT ok.source, ok.mid, e1, d.target, row_number() OVER (PARTITION BY ok.source, ok.mid, e1 ORDER BY d.id) AS n FROM ok JOIN d ON d.source = ok.mid JOIN nodes g ON g.id = d.target WHERE g.kind = 'database_model' AND contains(lower(g.file), 'brand#23'))
+ SELECT source, CAST(count(DISTINCT target) AS BIGINT) AS n_targets, CAST(count(*) AS BIGINT) AS n_paths FROM p2 WHERE n = 1 GROUP BY source""")
 def path_rule_violations(t: Tables) -> DataFrame:
     from tessera.operators.rules import path_violations, selector
 
     n = fx.nodes(t)
     sources = t.customer.where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("customer:"), "c_custkey").alias("id"))
-    paths = path_violations(n, fx.edges(t), sources, selector({"kind": "database_model", "matches_path": "brand#23"}), unless=selector({"matches_path": "orders/p"}), depth=2)
+    paths = path_violations(n, fx.edges(t), sources, selector({"kind": "database_model", "matches_path": "brand#23"}), unless=selector({"matches_path": "orders/p"}))
     return paths.groupBy("source").agg(F.count_distinct("target").alias("n_targets"), F.count("*").alias("n_paths"))

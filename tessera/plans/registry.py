@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import analytics, basics, changes, extraction, graphs, quality, search, storage  # noqa: F401
+from tessera.plans import analytics, basics, changes, context, extraction, graphs, quality, search, storage  # noqa: F401
 from tessera.plans.base import COVERS, ORACLES, QUERIES
 
 __all__ = ["COVERS", "ORACLES", "QUERIES", "flagship"]

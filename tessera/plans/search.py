@@ -14,7 +14,7 @@ from tessera.plans.base import query
 _SPLIT = r"'[^\p{L}\p{N}_$-]+'"
 _POSTINGS = f"""w AS (SELECT doc_id AS doc, list_filter(regexp_split_to_array(lower(text), {_SPLIT}), lambda x: length(x) > 1) AS w FROM documents), e AS (SELECT doc, len(w) AS length, unnest(w) AS term FROM w),
  idx AS (SELECT doc, term, CAST(any_value(length) AS DOUBLE) AS length, CAST(count(*) AS DOUBLE) AS tf FROM e GROUP BY doc, term), st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(length) AS avg FROM (SELECT doc, any_value(length) AS length FROM idx GROUP BY doc) x)"""
-_QUESTIONS = f"""b AS (SELECT item_id AS query, list_slice(list_distinct_ordered, 1, 20) AS ts FROM (SELECT item_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_ordered FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), {_SPLIT}), lambda x: length(x) > 1) AS l FROM benchmark WHERE item_id % 10 = 0) y) z),
+_QUESTIONS = f"""b AS (SELECT item_id AS query, list_slice(list_distinct_ordered, 1, 20) AS ts FROM (SELECT item_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_ordered FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), {_SPLIT}), lambda x: length(x) > 1) AS l FROM benchmark) y) z),
  m AS (SELECT query, ts, list_filter(ts, lambda x: NOT list_contains({list(search.STOP_WORDS)}, x)) AS meant FROM b), q AS (SELECT query, unnest(CASE WHEN len(meant) > 0 THEN meant ELSE ts END) AS term FROM m)"""
 _SCORED = """df AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM idx WHERE term IN (SELECT term FROM q) GROUP BY term),
  sc AS (SELECT query, doc, -sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg))) AS score FROM idx JOIN q USING (term) JOIN df USING (term), st GROUP BY query, doc)"""
@@ -39,39 +39,34 @@ def identifier_tokens(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.array_join(F.sort_array(parts), " ").alias("terms"))
 
 
-@query("postings", "T1", f"WITH {_POSTINGS} SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM idx GROUP BY term HAVING count(*) >= 20")
+@query("postings", "T1", f"WITH {_POSTINGS} SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM idx GROUP BY term")
 def postings(t: Tables) -> DataFrame:
-    return all_postings(t).where("df >= 20")
-
-
-@query("all_postings", "T1")
-def all_postings(t: Tables) -> DataFrame:
-    """Every term of the corpus; ``postings`` is the part of it that its twin holds."""
     return search.postings(t.documents, "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query("bm25_search", "T1 T2 J4 Q16", f"WITH {_POSTINGS}, {_QUESTIONS}, {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6), doc) AS n FROM sc) SELECT query, doc, round(score, 4) AS score, CAST(n AS INTEGER) AS n FROM r WHERE n <= 10")
 def bm25_search(t: Tables) -> DataFrame:
-    return _best_ten(t, _questions(t).where("query % 10 = 0"))
-
-
-@query("bm25_all_questions", "T1 T2 J4 Q16")
-def bm25_all_questions(t: Tables) -> DataFrame:
-    """Every question of the benchmark; ``bm25_search`` is the part of it that its twin holds."""
-    return _best_ten(t, _questions(t))
-
-
-def _best_ten(t: Tables, questions: DataFrame) -> DataFrame:
-    found = search.bm25(search.postings(t.documents, "doc_id", "text"), questions)
+    """The ten best documents for every question of the benchmark."""
+    found = search.bm25(t.documents, "doc_id", "text", _questions(t))
     w = Window.partitionBy("query").orderBy(F.round("score", 6), "doc")
     return found.withColumn("n", F.row_number().over(w)).where("n <= 10").select("query", "doc", F.round("score", 4).alias("score"), "n")
 
 
-@query("prefix_search", "T5", f"WITH {_POSTINGS}, q AS (SELECT DISTINCT p.k AS query, i.term FROM idx i, (VALUES ('ther'), ('eri')) p(k) WHERE starts_with(i.term, p.k)) SELECT query, doc, CAST(sum(tf) AS BIGINT) AS hits FROM idx JOIN q USING (term) GROUP BY ALL")
+@query("prefix_search", "T5", f"""WITH {NODES_SQL}, h AS (SELECT id, kind, name, lower(name) AS l, lower(coalesce(file, '')) AS f, len(list_filter(regexp_split_to_array(lower(concat_ws(' ', name, file)), {_SPLIT}), lambda x: starts_with(x, 'red') OR starts_with(x, 'widget'))) AS n FROM nodes)
+ SELECT id, CAST(CASE WHEN l = 'the red widget' THEN 0 WHEN starts_with(l, 'the red widget') THEN 2 WHEN contains(f, 'the red widget') THEN 3 ELSE 4 END AS INTEGER) AS tier FROM h WHERE n > 0 AND kind <> 'module' ORDER BY tier, kind, name, id LIMIT 200""")
 def prefix_search(t: Tables) -> DataFrame:
-    idx = search.postings(t.documents, "doc_id", "text")
-    asked = t.spark.createDataFrame([("ther", "ther"), ("eri", "eri")], "query string, term string")
-    return idx.join(search.prefix_terms(idx, asked), "term").groupBy("query", "doc").agg(F.sum("tf").alias("hits"))
+    """Searchable nodes with words that begin as the words of a query do, in tiers."""
+    rows = fx.nodes(t).withColumn("qualified_name", F.lit(None).cast("string")).withColumn("confidence", F.lit(1.0))
+    return search.tiered(rows, "the Red widget", limit=200).select("id", "tier")
+
+
+@query("route_literals", "T7 Q16", f"""WITH k AS (SELECT page_id, regexp_replace(url, '^https?://[^/]+', '') AS path FROM pages), q AS (SELECT page_id AS query, 'who serves ' || regexp_replace(url, '^https?://[^/]+', '') || ' ?' AS text FROM pages),
+ a AS (SELECT query, regexp_extract(text, '(/[A-Za-z0-9_~!$&''()*+,;=:@%./{{}}-]*)', 1) AS route FROM q) SELECT query, CAST(count(*) AS BIGINT) AS n, min(page_id) AS first FROM a JOIN k ON k.path = a.route WHERE route <> '' GROUP BY query""")
+def route_literals(t: Tables) -> DataFrame:
+    """Every page's path asked for in a sentence, found by its hash."""
+    path = F.regexp_replace("url", "^https?://[^/]+", "")
+    asked = t.pages.select(F.col("page_id").alias("query"), F.concat(F.lit("who serves "), path, F.lit(" ?")).alias("text"))
+    return search.by_route(asked, t.pages.select(F.col("page_id").alias("id"), path.alias("path"))).groupBy("query").agg(F.count("*").alias("n"), F.min("id").alias("first"))
 
 
 _RANKED = "CASE kind WHEN 'endpoint' THEN 80 WHEN 'database_model' THEN 56 WHEN 'module' THEN 48 WHEN 'domain' THEN 42 ELSE 24 END"
@@ -134,18 +129,21 @@ def relevance_ranking(t: Tables) -> DataFrame:
     return n.select("id", F.round(search.relevance("order 7"), 4).alias("score"))
 
 
-@query("target_resolution", "T14", f"WITH {NODES_SQL}, q AS (SELECT name AS wanted FROM nodes WHERE kind IN ('database_model', 'service')), c AS (SELECT name, count(*) AS n, min(id) AS id FROM nodes GROUP BY name) SELECT CASE WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CAST(count(*) AS BIGINT) AS n FROM q JOIN c ON c.name = q.wanted GROUP BY ALL")
+@query("target_resolution", "T14 J10", f"""WITH {NODES_SQL}, x AS (SELECT id, name, kind || '.' || name AS qualified FROM nodes), w AS (SELECT DISTINCT unnest([id, upper(qualified), name, name || '?']) AS wanted FROM x),
+ c AS (SELECT wanted, 0 AS tier, id FROM w JOIN x ON id = wanted UNION ALL SELECT wanted, 1, id FROM w JOIN x ON lower(qualified) = lower(wanted) UNION ALL SELECT wanted, 2, id FROM w JOIN x ON lower(name) = lower(wanted)),
+ g AS (SELECT wanted, tier, count(*) AS n, min(id) AS id FROM c GROUP BY wanted, tier QUALIFY row_number() OVER (PARTITION BY wanted ORDER BY tier) = 1)
+ SELECT w.wanted, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS status, CASE WHEN n = 1 THEN id END AS id, CAST(coalesce(n, 0) AS BIGINT) AS n FROM w LEFT JOIN g USING (wanted)""")
 def target_resolution(t: Tables) -> DataFrame:
-    n = fx.nodes(t)
-    asked = n.where("kind IN ('database_model', 'service')").select(F.col("name").alias("wanted"))
-    c = n.groupBy("name").agg(F.count("*").alias("n_found"))
-    return asked.join(c, F.col("wanted") == F.col("name")).groupBy(F.when(F.col("n_found") == 1, "resolved").otherwise("ambiguous").alias("status")).agg(F.count("*").alias("n"))
+    """Ids, qualified names in other letters, names, and names that nothing has."""
+    n = fx.nodes(t).withColumn("qualified_name", F.concat_ws(".", "kind", "name"))
+    asked = n.select(F.explode(F.array("id", F.upper("qualified_name"), "name", F.concat("name", F.lit("?")))).alias("wanted"))
+    return search.resolve_target(n, asked)
 
 
 @query("answer_with_claims", "T15 Q26")
 def answer_with_claims(t: Tables) -> DataFrame:
     """Claims about the best matches of a question, each with the document that carries it; a question without matches abstains."""
-    found = search.bm25(search.postings(t.documents, "doc_id", "text"), _questions(t))
+    found = search.bm25(t.documents, "doc_id", "text", _questions(t))
     w = Window.partitionBy("query").orderBy("score", "doc")
     top = found.withColumn("n", F.row_number().over(w)).where("n <= 3").join(t.documents.select(F.col("doc_id").alias("doc"), "source", "lang"), "doc")
     claim = F.format_string("document %d of %s answers with score %.3f", "doc", "source", -F.col("score"))

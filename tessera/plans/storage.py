@@ -71,12 +71,6 @@ def manifest_rescan(t: Tables) -> DataFrame:
     return stored.join(changed, "id", "left_anti").select("id", F.lit("stored").alias("origin")).unionByName(changed.select("id", F.lit("rescanned").alias("origin")))
 
 
-@query("generations", "I8 Q38", "SELECT count(*) FILTER (l_returnflag = 'R') > 0 AS structural, count(*) FILTER (l_linestatus = 'F') > 0 AS semantic, count(*) FILTER (l_quantity > 1000) > 0 AS search FROM lineitem")
-def generations(t: Tables) -> DataFrame:
-    """Which generation counters a set of changes moves on."""
-    return t.lineitem.agg((F.count_if(F.col("l_returnflag") == "R") > 0).alias("structural"), (F.count_if(F.col("l_linestatus") == "F") > 0).alias("semantic"), (F.count_if(F.col("l_quantity") > 1000) > 0).alias("search"))
-
-
 @query("owning_package", "Q37", "WITH f AS (SELECT p_partkey, 'a/' || lower(replace(p_type, ' ', '/')) || '/x.ts' AS path FROM part), pk AS (SELECT DISTINCT 'a/' || lower(split_part(p_type, ' ', 1)) AS dir FROM part WHERE p_size > 25 UNION SELECT 'a'), c AS (SELECT p_partkey, dir, row_number() OVER (PARTITION BY p_partkey ORDER BY length(dir) DESC) AS n FROM f JOIN pk ON starts_with(path, dir || '/')) SELECT p_partkey, dir FROM c WHERE n = 1")
 def owning_package(t: Tables) -> DataFrame:
     """The nearest package above each file: its directories meet the packages, the longest wins."""

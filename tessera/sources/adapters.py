@@ -98,22 +98,74 @@ def python_symbols(path: str, text: str) -> Iterator[Row]:
     yield from walk(tree, module, False)
 
 
+class _Flow:
+    """The control-flow graph of one function: statements that branch, repeat, guard or leave are nodes; an edge leads to every node that may run next."""
+
+    KINDS = {ast.If: "branch", ast.Match: "branch", ast.For: "loop", ast.AsyncFor: "loop", ast.While: "loop", ast.Try: "try", ast.Return: "return", ast.Raise: "throw", ast.With: "block", ast.AsyncWith: "block", ast.Break: "break", ast.Continue: "continue"}
+
+    def __init__(self, function: ast.FunctionDef | ast.AsyncFunctionDef, max_nodes: int) -> None:
+        self.name, self.room = function.name, max_nodes
+        self.nodes: list[tuple[str, str, int, int]] = [("entry", "entry", function.lineno, function.lineno)]
+        self.edges: dict[tuple[str, str, str], int] = {}
+        left = self.run(function.body, [("entry", "next")], None)
+        self.nodes.append(("exit", "exit", function.end_lineno, function.end_lineno))
+        self.link(left, "exit", function.end_lineno)
+
+    def link(self, ends: list[tuple[str, str]], to: str, line: int) -> None:
+        for source, how in ends:
+            self.edges.setdefault((source, how, to), line)
+
+    def run(self, body: list[ast.stmt], ends: list[tuple[str, str]], loop: tuple[str, list] | None) -> list[tuple[str, str]]:
+        """Adds statements that run after ``ends`` (node, kind of edge) and returns the ends that go on behind them."""
+        for s in body:
+            kind = self.KINDS.get(type(s))
+            if kind is None or not ends:
+                continue
+            if len(self.nodes) >= self.room:
+                if self.nodes[-1][0] != "truncated":
+                    self.nodes.append(("truncated", "truncated", s.lineno, s.lineno))
+                self.link(ends, "truncated", s.lineno)
+                return []
+            here = f"{kind}@{s.lineno}:{s.col_offset}"
+            self.nodes.append((kind, here, s.lineno, s.end_lineno))
+            self.link(ends, here, s.lineno)
+            if isinstance(s, ast.If):
+                ends = self.run(s.body, [(here, "true")], loop) + self.run(s.orelse, [(here, "false")], loop)
+            elif isinstance(s, ast.Match):
+                ends = [e for case in s.cases for e in self.run(case.body, [(here, "case")], loop)]
+                if not any(isinstance(c.pattern, ast.MatchAs) and c.pattern.pattern is None and c.guard is None for c in s.cases):
+                    ends.append((here, "false"))
+            elif kind == "loop":
+                broken: list[tuple[str, str]] = []
+                self.link(self.run(s.body, [(here, "true")], (here, broken)), here, s.end_lineno)
+                endless = isinstance(s, ast.While) and isinstance(s.test, ast.Constant) and bool(s.test.value)
+                ends = broken + ([] if endless else self.run(s.orelse, [(here, "done")], loop))
+            elif isinstance(s, ast.Try):
+                ends = self.run(s.orelse, self.run(s.body, [(here, "next")], loop), loop)
+                ends += [e for h in s.handlers for e in self.run(h.body, [(here, "error")], loop)]
+                ends = self.run(s.finalbody, ends, loop)
+            elif kind == "block":
+                ends = self.run(s.body, [(here, "next")], loop)
+            elif kind in ("return", "throw"):
+                self.link([(here, kind)], "exit", s.lineno)
+                ends = []
+            else:
+                if loop and kind == "break":
+                    loop[1].append((here, "break"))
+                elif loop:
+                    self.link([(here, "continue")], loop[0], s.lineno)
+                ends = []
+        return ends
+
+
 def control_flow(path: str, text: str, max_nodes: int = 60) -> Iterator[Row]:
-    """A structured control-flow graph of each function: nodes by kind, edges by position; ``max_nodes`` a function."""
-    kinds = {ast.If: "branch", ast.For: "loop", ast.While: "loop", ast.Try: "try", ast.Return: "return", ast.Raise: "throw", ast.With: "block", ast.Break: "break", ast.Continue: "continue"}
+    """A structured control-flow graph of each function, of at most ``max_nodes`` nodes before it is cut."""
     for f in (n for n in ast.walk(ast.parse(text)) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))):
-        last, count = "entry", 0
-        yield ("cfg_node", "entry", f.name, "entry", f.lineno, f.lineno, None, 1.0)
-        for node in sorted((n for n in ast.walk(f) if type(n) in kinds), key=lambda n: (n.lineno, n.col_offset)):
-            count += 1
-            if count >= max_nodes:
-                yield ("cfg_node", "truncated", f.name, "truncated", node.lineno, node.lineno, None, 1.0)
-                break
-            here = f"{kinds[type(node)]}@{node.lineno}:{node.col_offset}"
-            yield ("cfg_node", kinds[type(node)], f.name, here, node.lineno, node.end_lineno, None, 1.0)
-            yield ("cfg_edge", "next", f.name, last, node.lineno, node.lineno, here, 1.0)
-            last = here
-        yield ("cfg_edge", "exit", f.name, last, f.end_lineno, f.end_lineno, "exit", 1.0)
+        flow = _Flow(f, max_nodes)
+        for kind, name, start, end in flow.nodes:
+            yield ("cfg_node", kind, f.name, name, start, end, None, 1.0)
+        for (source, how, to), line in flow.edges.items():
+            yield ("cfg_edge", how, f.name, source, line, line, to, 1.0)
 
 
 def fingerprint_tokens(path: str, text: str) -> Iterator[Row]:
@@ -175,14 +227,14 @@ def openapi(path: str, text: str) -> Iterator[Row]:
         return
     if not re.search(r"^(openapi|swagger):", text, re.M):
         return
-    route = None
+    route, inside = None, False
     for n, line in enumerate(text.split("\n"), 1):
-        if m := re.match(r"^  (/\S*):\s*$", line):
+        if re.match(r"^[^\s#]", line):
+            route, inside = None, line.startswith("paths:")
+        elif inside and (m := re.match(r"^  (/\S*):\s*$", line)):
             route = m[1]
         elif route and (m := re.match(r"^    (\w+):\s*$", line)) and m[1] in _VERBS:
             yield ("node", "http_contract", f"{m[1].upper()} {route}", None, n, n, None, 0.95)
-        elif re.match(r"^\S", line) and not line.startswith("paths"):
-            route = None
 
 
 def asyncapi(path: str, text: str) -> Iterator[Row]:

@@ -78,6 +78,184 @@ def test_depth_saturates_on_cycles(spark):
     assert {r.file: r.depth for r in graph.longest_depth(e, "source", "target", cap=6).collect()} == {"a": 2, "b": 1, "c": 0, "x": 6, "y": 6}
 
 
+def plain_traverse(rows, start, depth, cap, reverse):
+    """Edge by edge: (edge, node, depth, confidence, deterministic), and whether a cap left something out."""
+    out, seen, truncated = [], {start: 0}, False
+    front = {start: (0, 1.0, True)}
+    while front and len(out) < cap:
+        active = {n: s for n, s in front.items() if s[0] < depth}
+        if not active:
+            break
+        at, to = (2, 1) if reverse else (1, 2)
+        found = sorted((r for r in rows if r[at] in active), key=lambda r: (r[3], r[1], r[2], r[0]))
+        room = cap - len(out)
+        truncated |= len(found) > room
+        nxt = {}
+        for r in found[:room]:
+            if r[0] in {x[0] for x in out}:
+                continue
+            d, c, sure = active[r[at]]
+            state = (d + 1, min(c, r[4]), sure and r[5] != "heuristic" and r[4] == 1)
+            out.append((r[0], r[to], *state))
+            if len(seen) >= cap:
+                truncated = True
+            elif r[to] not in seen:
+                seen[r[to]] = d + 1
+                nxt[r[to]] = state
+        front = nxt
+    return out, truncated or (len(out) >= cap and bool(front))
+
+
+@pytest.mark.parametrize("cap", [4, 9, 1000])
+def test_bounded_traversal_against_plain_search(spark, cap):
+    r = random.Random(cap)
+    pairs = [(f"n{r.randrange(12):02d}", f"n{r.randrange(12):02d}", r.choice(["CALLS", "HANDLES"]), r.choice([1.0, 0.9, 0.5]), r.choice(["ast", "heuristic"])) for _ in range(40)]
+    e = edges(spark, pairs)
+    rows = [tuple(x) for x in e.collect()]
+    for reverse in (False, True):
+        got = graph.traverse(e, seeds(spark, "n00", "n05", "n99"), 3, cap, reverse=reverse).collect()
+        for seed in ("n00", "n05", "n99"):
+            want, truncated = plain_traverse(rows, seed, 3, cap, reverse)
+            mine = [x for x in got if x.seed == seed]
+            assert sorted((x.edge_id, x.node, x.depth, x.confidence, x.deterministic) for x in mine) == sorted(want)
+            assert all(x.truncated == truncated for x in mine)
+
+
+def plain_trace(rows, start, max_depth, max_nodes, max_paths):
+    from tessera.model import TRACE_PRIORITY
+
+    queue, nodes, ended, truncated = [(0, 0, start, 1.0, True, [start])], {start: (0, None, 1.0, True)}, 0, False
+    while queue and ended < max_paths and len(nodes) <= max_nodes:
+        queue.sort(key=lambda p: (-p[0], p[1], p[2]))
+        _, d, n, c, sure, path = queue.pop(0)
+        if d >= max_depth:
+            ended += 1
+            continue
+        onward = sorted((x for x in rows if x[1] == n and x[3] in TRACE_PRIORITY), key=lambda x: (-TRACE_PRIORITY[x[3]], -x[4], x[2], x[0]))[:max_nodes]
+        onward = [x for x in onward if x[2] not in path]
+        pushed = 0
+        for x in onward:
+            if ended + len(queue) >= max_paths or len(nodes) >= max_nodes:
+                truncated = True
+                break
+            state = (min(c, x[4]), sure and x[5] != "heuristic" and x[4] == 1)
+            nodes.setdefault(x[2], (d + 1, x[0], *state))
+            queue.append((TRACE_PRIORITY[x[3]] * 1000 + state[0] * 100 - d - 1, d + 1, x[2], *state, [*path, x[2]]))
+            pushed += 1
+        ended += not pushed
+    return nodes, truncated or bool(queue)
+
+
+@pytest.mark.parametrize("caps", [(3, 200, 50), (6, 5, 50), (6, 200, 6)])
+def test_trace_against_plain_search(spark, caps):
+    r = random.Random(sum(caps))
+    pairs = [(f"n{r.randrange(15):02d}", f"n{r.randrange(15):02d}", r.choice(["CALLS", "HANDLES", "REFERENCES", "MOUNTS", "CONTAINS"]), r.choice([1.0, 0.9, 0.5]), r.choice(["ast", "heuristic"])) for _ in range(45)]
+    e = edges(spark, pairs)
+    want, truncated = plain_trace([tuple(x) for x in e.collect()], "n00", *caps)
+    got = sorted(graph.trace(e, "n00", *caps).collect(), key=lambda x: x.position)
+    assert [(x.node, x.depth, x.edge_id, x.confidence, x.deterministic) for x in got] == [(n, *v) for n, v in want.items()]
+    assert all(x.truncated == truncated for x in got)
+
+
+def test_trace_follows_a_good_chain(spark):
+    e = edges(spark, [("s", f"r{i}", "REFERENCES", 1.0, "ast") for i in range(5)] + [(a, b, "HANDLES", 1.0, "ast") for a, b in (("s", "h1"), ("h1", "h2"), ("h2", "h3"), ("h3", "h4"))])
+    got = sorted(graph.trace(e, "s", max_nodes=8, max_paths=3).collect(), key=lambda x: x.position)
+    assert [x.node for x in got][:2] == ["s", "h1"] and {"h2", "h3", "h4"} <= {x.node for x in got} and all(x.truncated for x in got)
+
+
+def modularity(pairs, of):
+    total = 2 * sum(w for _, _, w in pairs)
+    degree = {}
+    for a, b, w in pairs:
+        degree[a] = degree.get(a, 0) + w
+        degree[b] = degree.get(b, 0) + w
+    inside = sum(2 * w for a, b, w in pairs if of[a] == of[b])
+    return inside / total - sum(sum(degree[n] for n in of if of[n] == c) ** 2 for c in set(of.values())) / total**2
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_communities_against_every_move(spark, seed):
+    import numpy as np
+
+    r = random.Random(seed)
+    groups = [[f"g{g}n{i}" for i in range(6)] for g in range(5)]
+    pairs = {}
+    for g in groups:
+        for a in g:
+            for b in g:
+                if a < b and r.random() < 0.7:
+                    pairs[a, b] = r.choice([0.5, 1.0])
+    for _ in range(8):
+        a, b = sorted((r.choice(r.choice(groups)), r.choice(r.choice(groups))))
+        if a != b:
+            pairs.setdefault((a, b), 0.5)
+    flat = [(a, b, w) for (a, b), w in pairs.items()]
+    ids = sorted({n for p in pairs for n in p})
+    x, y, w = (np.asarray(v) for v in ([ids.index(a) for a, _, _ in flat], [ids.index(b) for _, b, _ in flat], [c for _, _, c in flat]))
+    order = np.lexsort((np.concatenate([y, x]), np.concatenate([x, y])))
+    a, b, c = np.concatenate([x, y])[order], np.concatenate([y, x])[order], np.concatenate([w, w])[order]
+    first = graph._local_moves(np.searchsorted(a, np.arange(len(ids) + 1)), b, c, 2 * w.sum())
+    one = {n: int(first[i]) for i, n in enumerate(ids)}
+    for n in ids:  # after the first level no node gains by a move of its own
+        for other in {one[m] for p in pairs if n in p for m in p}:
+            assert modularity(flat, {**one, n: other}) <= modularity(flat, one) + 1e-9
+    of = {v.id: v.community for v in graph.louvain(edges(spark, [(a, b, "CALLS", c, "ast") for a, b, c in flat]), "source", "target").collect()}
+    assert set(of) == set(ids) and all(of[n] == min(m for m in ids if of[m] == of[n]) for n in ids)
+    assert modularity(flat, of) >= modularity(flat, one) - 1e-9 > 0
+
+
+def test_community_loops_hold_their_node():
+    import numpy as np
+
+    x, y, w = np.asarray([0, 2, 1]), np.asarray([1, 3, 2]), np.asarray([1.0, 1.0, 0.1])
+    assert graph.modularity_communities(4, x, y, w, 2 * w.sum()).tolist() == [0, 0, 2, 2]
+    # two nodes and an edge become one community; with a heavy loop at each they stay apart
+    start, near = np.asarray([0, 2, 4]), np.asarray([0, 1, 0, 1])
+    assert graph._local_moves(start, near, np.asarray([0.0, 1.0, 1.0, 0.0]), 2.0).tolist() == [1, 1]
+    assert graph._local_moves(start, near, np.asarray([9.0, 1.0, 1.0, 9.0]), 20.0).tolist() == [0, 1]
+
+
+def test_limited_paths_are_the_first_of_all(spark):
+    r = random.Random(3)
+    pairs = sorted({(f"n{r.randrange(9)}", f"n{r.randrange(9)}") for _ in range(30)})
+    e = edges(spark, [p for p in pairs if p[0] != p[1]])
+    every = graph.impact(e, seeds(spark, "n0", "n1", "n2"), 4).collect()
+    for limit in (1, 5, 17, 10**6):
+        got = graph.impact(e, seeds(spark, "n0", "n1", "n2"), 4, limit=limit).collect()
+        for seed in ("n0", "n1", "n2"):
+            mine = sorted((x for x in every if x.seed == seed), key=lambda x: (x.distance, "\n".join(x.path), "\n".join(x.edge_ids)))
+            assert sorted(tuple(x.edge_ids) for x in got if x.seed == seed) == sorted(tuple(x.edge_ids) for x in mine[:limit])
+            assert all(x.truncated == (len(mine) > limit) for x in got if x.seed == seed)
+    first = {(x.seed, x.node): x.first for x in graph.path_distances(e, seeds(spark, "n0", "n1", "n2"), 4).collect()}
+    want = {}
+    for x in every:
+        want[x.seed, x.node] = min(want.get((x.seed, x.node), 99), x.distance)
+    assert first == want
+
+
+def test_flows_keep_the_surest_paths_and_say_what_was_cut(spark):
+    e = edges(spark, [("a", f"b{i}", "CALLS", 1.0 - i / 100, "ast") for i in range(9)] + [("b0", "c", "CALLS", 1.0, "ast"), ("c", "d", "CALLS", 1.0, "ast")])
+    got = sorted(graph.flows(e, seeds(spark, "a"), ("CALLS",), depth=2, max_paths=4).collect(), key=lambda x: x["rank"])
+    assert [list(x.path) for x in got] == [["a", "b1"], ["a", "b2"], ["a", "b3"], ["a", "b4"]] or len(got) == 4
+    assert {tuple(x.path): x.truncated for x in graph.flows(e, seeds(spark, "a"), ("CALLS",), depth=2, max_paths=40).collect()} == {("a", "b0", "c"): True, **{("a", f"b{i}"): False for i in range(1, 9)}}
+    deep = graph.flows(e, seeds(spark, "a"), ("CALLS",), depth=8, max_paths=40, max_steps=5).collect()
+    assert sum(x.truncated for x in deep) >= 4
+
+
+def test_a_path_rule_stops_at_the_first_target_of_a_node(spark):
+    nodes = spark.createDataFrame([(x, "class" if x[0] == "t" else "service", x, None) for x in ("s", "m", "t1", "t2", "u", "t3")], "id string, kind string, name string, file string")
+    nodes = nodes.withColumn("domain", F.lit(None).cast("string")).withColumn("qualified_name", F.when(F.col("id") == "u", "x.Worker"))
+    e = edges(spark, [("s", "m"), ("m", "t1"), ("m", "t2"), ("m", "u"), ("s", "u"), ("u", "t3")])
+    found = rules.path_violations(nodes, e, seeds(spark, "s"), rules.selector({"kind": "class"})).collect()
+    assert sorted(list(x.path) for x in found) == [["s", "m", "t1"], ["s", "u", "t3"]]
+    assert [x.id for x in rules.named(nodes).where(rules.selector({"layer": "worker"})).collect()] == ["u"]
+
+
+def test_definite_knows_the_fact_class(spark):
+    e = edges(spark, [("a", "b"), ("c", "b")]).withColumn("fact_class", F.when(F.col("source") == "a", "INFERRED").otherwise("DECLARED"))
+    assert [x.node for x in graph.impact(e, seeds(spark, "b"), 2).collect()] == ["c"]
+
+
 def test_flows_flag_cycles(spark):
     e = edges(spark, [("a", "b"), ("b", "a"), ("b", "c")])
     got = {(tuple(r.path), r.cycle) for r in graph.flows(e, seeds(spark, "a"), ("CALLS",), depth=4).collect()}
@@ -96,7 +274,7 @@ def test_rules(spark):
     assert {r.id: r.l for r in layer} == {"c": "controller", "s": "service", "r": "repository", "p": None}
     assert rules.direct_violations(nodes, e, {"layer": "controller"}, {"layer": "repository"}).count() == 0
     assert [r.id for r in rules.direct_violations(nodes, e, {"layer": "controller", "team": "A"}, {"name": "x", "kind": "class"}).collect()] == []
-    found = rules.path_violations(nodes, e, seeds(spark, "c"), rules.selector({"layer": "repository"})).collect()
+    found = rules.path_violations(rules.named(nodes), e, seeds(spark, "c"), rules.selector({"layer": "repository"})).collect()
     assert [list(r.path) for r in found] == [["c", "s", "r"]]
     assert rules.path_violations(nodes, e, seeds(spark, "c"), rules.selector({"layer": "repository"}), unless=rules.selector({"layer": "service"})).count() == 0
     assert {(r.source, r.target) for r in rules.crosses_domain(nodes, e).collect()} == {("s", "r"), ("c", "r")}

@@ -74,9 +74,10 @@ def test_texts(spark):
 def test_search(spark):
     docs = spark.createDataFrame([(1, "payment service pays"), (2, "payment payment order"), (3, "nothing here")], "doc long, text string")
     idx = search.postings(docs, "doc", "text")
+    docs = docs.withColumnRenamed("doc", "key")
     q = search.question_terms(spark.createDataFrame([("q", "where is the payment")], "query string, text string"))
     assert [r.term for r in q.collect()] == ["payment"]
-    got = {r.doc: r.score for r in search.bm25(idx, q).collect()}
+    got = {r.doc: r.score for r in search.bm25(docs, "key", "text", q).collect()}
     assert set(got) == {1, 2} and got[2] < got[1] < 0
     assert {r.term for r in search.prefix_terms(idx, spark.createDataFrame([("q", "pay")], "query string, term string")).collect()} == {"payment", "pays"}
     rows = spark.createDataFrame([("f", "file", "payment.ts", None, "src/payment.ts", "src/payment.ts payment"), ("g", "function", "pay", "a.pay", "src/a.ts", "pay")], "id string, kind string, name string, qualified_name string, file string, search_text string")
