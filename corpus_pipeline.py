@@ -14,6 +14,9 @@ with one id and alike texts the one read first stays. Very long texts: whole. Em
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +32,15 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """The rows with numbers of their own, written once: numbers follow the order of reading, which an executor lost in between may change."""
+    """The rows with numbers that stay the same in every read, whatever is lost in between: the number of the part file and the place in it, as far as
+    ``docs`` are the plain part files of one write. Other rows are numbered in the order of reading, once, and written."""
+    parts = [re.search(r"/part-(\d+)-[^/]*-c000[^/]*$", f) for f in docs.inputFiles()]
+    if parts and all(parts) and len({int(p[1]) for p in parts}) == len(parts):
+        file = F.regexp_extract("_metadata.file_name", r"^part-(\d+)-", 1).cast("long")
+        try:
+            return docs.select((file * (1 << 33) + F.col("_metadata.row_index")).alias("row"), *COLUMNS)
+        except AnalysisException:  # not a plain read of those files
+            pass
     return keep(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS))
 
 
@@ -37,11 +48,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of rows the one with the smallest id stays (rows without an id come last, the earlier of equal ids first)."""
     rows = _numbered(docs)
     groups = keep(ngram_join.join(rows.select(F.col("row").alias("doc_id"), "text"), n=5, num=80).select(F.col("doc_id").alias("row"), "component_id"))
-    # groups of one row lead themselves; only the others have to meet
-    several = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    ids = rows.select("row", "doc_id").join(groups.join(several, "component_id", "left_semi"), "row")
+    ids = keep(rows.select("row", "doc_id").join(groups, "row"))
     lead = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("lead"))
-    gone = ids.join(lead, "component_id").where("row <> lead.row").select("row")
+    gone = ids.select("row").join(lead.select(F.col("lead.row").alias("row")), "row", "left_anti")
     return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
