@@ -643,3 +643,22 @@ def test_pipeline_keeps_different_texts_of_one_id(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = Counter((r.doc_id, r.text) for r in c.drop_near_copies(spark, docs, sf_dir).collect())
     assert got == Counter([(7, rows[0][1]), (7, rows[1][1]), (3, rows[6][1])])
+
+
+def test_pipeline_numbers_do_not_depend_on_the_reading(spark, tmp_path):
+    import corpus_pipeline as c
+
+    rows = [(i % 7, f"text {i}", "en", "s", i) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(5).write.parquet(str(tmp_path / "d"))
+    numbers = {}
+    for size in ("1kb", "128mb"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        numbered = c._numbered(spark.read.parquet(str(tmp_path / "d")))
+        assert "_metadata" in numbered._jdf.queryExecution().analyzed().toString()
+        numbers[size] = {r.text: r.row for r in numbered.collect()}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert numbers["1kb"] == numbers["128mb"] and len(set(numbers["1kb"].values())) == 500
+    for other in (docs, spark.read.parquet(str(tmp_path / "d")).unionByName(docs), spark.read.parquet(str(tmp_path / "d")).limit(0)):
+        got = [r.row for r in c._numbered(other).collect()]
+        assert len(got) == other.count() == len(set(got))
