@@ -1,6 +1,7 @@
 """Tasks, symbols, answers, generations, caches, control flow and resolution on small inputs."""
 
 import threading
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,7 +84,8 @@ def test_generations(spark):
 
 
 def test_results_are_computed_once(spark):
-    cache, calls, out = generations.ResultCache(spark, "results-of-a-test"), [], []
+    name = f"results-{uuid.uuid4().hex}"  # the folder may outlive a session
+    cache, calls, out = generations.ResultCache(spark, name), [], []
 
     def compute():
         calls.append(1)
@@ -94,7 +96,7 @@ def test_results_are_computed_once(spark):
     [t.start() for t in threads], [t.join() for t in threads]
     assert len(calls) == 1 and len(out) == 4 and all(o == out[0] for o in out)
     assert cache.key("f", {"search": 2}, {"limit": 2}, "1", "q") != key != cache.key("f", {"search": 1}, {"limit": 3}, "1", "q")
-    generations.ResultCache(spark, "results-of-a-test").get(key, compute)
+    generations.ResultCache(spark, name).get(key, compute)
     assert len(calls) == 1
 
 
