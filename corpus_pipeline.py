@@ -50,7 +50,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = keep(ngram_join.join(rows.select(F.col("row").alias("doc_id"), "text"), n=5, num=80).select(F.col("doc_id").alias("row"), "component_id"))
     ids = keep(rows.select("row", "doc_id").join(groups, "row"))
     lead = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("lead"))
-    gone = ids.select("row").join(lead.select(F.col("lead.row").alias("row")), "row", "left_anti")
+    # a table whose size is known, so that texts are shuffled only where it is too large to be sent to them
+    gone = keep(ids.select("row").join(lead.select(F.col("lead.row").alias("row")), "row", "left_anti"))
     return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
@@ -58,7 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     rows = _numbered(docs)
     taken = cube.mix(rows.select("row", "doc_id", "source", cube.word_count("text").alias("size")))
-    copies = taken.where("copies > 0").select("row", "copies")
+    copies = keep(taken.where("copies > 0").select("row", "copies"))  # likewise
     return rows.join(copies, "row").select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select(*COLUMNS)
 
 
