@@ -58,8 +58,9 @@ SATURATED = 9
 LEVEL = 6
 #: Behind each window and dictionary: long enough for zstandard never to store a window uncompressed.
 TAIL = b" " + bytes(range(128, 152))
-#: Bytes of windows that are compressed in one call.
-CALL_BYTES = 1 << 22
+#: Bytes of windows that are compressed in one call, letters of texts that are looked at together (one longer text stays whole) and bytes hashed at once:
+#: bounds of a worker's memory.
+CALL_BYTES, GROUP_LETTERS, HASH_BYTES = 1 << 20, 1 << 18, 1 << 18
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -76,6 +77,14 @@ class Runs:
         self.table = np.zeros(1 << 20, bool)
         self.table[self._hashes(np.frombuffer(wording, np.uint8))] = True
 
+    def _hits(self, data: np.ndarray) -> np.ndarray:
+        """How many runs before each byte are in the wording."""
+        n = max(0, len(data) - COUNTED + 1)
+        out = np.zeros(n + 1, np.int32)
+        for a in range(0, n, HASH_BYTES):
+            out[a + 1 : min(n, a + HASH_BYTES) + 1] = self.table[self._hashes(data[a : a + HASH_BYTES + COUNTED - 1])]
+        return np.cumsum(out, out=out)
+
     @staticmethod
     def _hashes(data: np.ndarray) -> np.ndarray:
         n = len(data) - COUNTED + 1
@@ -99,7 +108,7 @@ class Runs:
         base = np.repeat(np.cumsum(np.where(n > 0, n + 1, 0)) - np.where(n > 0, n + 1, 0), count)
         at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
         start, end = spaces[base + at], spaces[base + np.minimum(at + WIDTH, n[owner])] + 1
-        hits = np.concatenate([[0], np.cumsum(self.table[self._hashes(raw)])])
+        hits = self._hits(raw)
         last = np.minimum(np.maximum(end - COUNTED + 1, start), len(hits) - 1)
         found = np.flatnonzero(hits[last] > hits[np.minimum(start, len(hits) - 1)])
         return count, [data[a:b] for a, b in zip(start[found].tolist(), end[found].tolist(), strict=True)], owner[found]
@@ -254,7 +263,12 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         m = shipped.value
         count = m.histograms() if m.constant is None else lambda texts: np.zeros((len(texts), MOST + 1))
         for texts in batches:
-            parts = [m.scores(count(texts.iloc[a : a + 64].tolist())) for a in range(0, len(texts), 64)]
+            parts, a = [], 0
+            ends = np.cumsum(texts.str.len().fillna(0).to_numpy(np.int64))
+            while a < len(texts):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + GROUP_LETTERS, "right")))
+                parts.append(m.scores(count(texts.iloc[a:b].tolist())))
+                a = b
             yield pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
 
     return docs.withColumn("toxicity", score(F.col(text)))

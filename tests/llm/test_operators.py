@@ -222,7 +222,7 @@ def test_toxicity_held_out():
     assert none(toxicity.fit([])) == 0.0 and none(toxicity.fit([("a", 1)])) == 1.0 and none(toxicity.fit([("a", 1), ("b", 0), (None, 1)])) == 0.0
 
 
-def test_toxicity_windows():
+def test_toxicity_windows(monkeypatch):
     assert toxicity.windows(None) == toxicity.windows("12 ...") == [] and toxicity.windows("One, two") == [b" one two "]
     assert toxicity.windows("a b c\nD 5 e") == [b" a b c ", b" b c d ", b" c d e "]
     texts = [None, "stupid", "a b", "x stupid y z w stupidly", "", "é stupid", noise(3, 40) + " and stupid, too", "st upid"]
@@ -230,6 +230,11 @@ def test_toxicity_windows():
     every = [toxicity.windows(x) for x in texts]
     assert count.tolist() == [len(w) for w in every]
     assert list(zip(owner.tolist(), found, strict=True)) == [(i, w) for i, ws in enumerate(every) for w in ws if b"stupid" in w]
+    long = noise(9, 3000)
+    whole = toxicity.Runs(long[500:900].encode()).windows([long, "a", long[:800]])
+    monkeypatch.setattr(toxicity, "HASH_BYTES", 64)
+    sliced = toxicity.Runs(long[500:900].encode()).windows([long, "a", long[:800]])
+    assert [x.tolist() if hasattr(x, "tolist") else x for x in whole] == [x.tolist() if hasattr(x, "tolist") else x for x in sliced]
     many = [f" {x} ".encode() * 40 for x in range(3000)]
     lengths = toxicity._lengths(b"abc def ghi " * 50)
     assert lengths(many).tolist() == [int(lengths([w])[0]) for w in many]  # windows do not see each other
