@@ -41,8 +41,8 @@ def simple_paths(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool =
     """All simple paths of up to ``depth`` edges from the seeds (column id): seed, node, distance, confidence (the least of the
     path's), path (node ids), edge_ids, potential (whether any edge is not definite).
 
-    Each level but the last is a checkpoint, read once for the result and once for the next level, so a path is joined ``depth`` times
-    however deep the search. With a limit, a seed stops at the level where it has that many paths: of that level the first by path and edges stay, nothing longer
+    Of each level only the paths that can go on (some edge leaves their end) are a checkpoint, from which the next level is made; ends of paths are made
+    where they are read and never stored, and the search is over when nothing can go on. So the plan of a level is one join, however deep the search. With a limit, a seed stops at the level where it has that many paths: of that level the first by path and edges stay, nothing longer
     is ever made, and ``truncated`` tells whether there was more."""
     e = edges.where(impact_edge() if keep is None else keep)
     step = _oriented(e, reverse, [F.col("confidence").alias("_c"), F.col("id").alias("_e"), (~definite_of(edges)).alias("_p")])
@@ -52,25 +52,30 @@ def simple_paths(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool =
         level = level.distinct().withColumn("_have", F.lit(0).cast("long"))
     carried = [] if limit is None else ["_have"]
     out: DataFrame | None = None
+    if limit is None and depth > 1:
+        step = cut(step)
+        onward = step.join(step.select(F.col("_from").alias("_to")).distinct(), "_to", "left_semi").select(*step.columns)
     for d in range(1, depth + 1):
         nodes, ids = [f"_n{i}" for i in range(d + 1)], [f"_e{i}" for i in range(1, d + 1)]
         fresh = reduce(lambda x, y: x & y, [F.col("_to") != F.col(n) for n in nodes[:-1]])
-        level = (
-            level.join(step, level[nodes[-2]] == step["_from"])
-            .where(fresh)
-            .select(*carried, *nodes[:-1], *ids[:-1], F.col("_to").alias(nodes[-1]), F.col("_e").alias(ids[-1]), F.least("confidence", "_c").alias("confidence"), (F.col("potential") | F.col("_p")).alias("potential"))
-        )
-        if limit is not None:
-            order = Window.partitionBy("_n0").orderBy(F.concat_ws("\n", *nodes), F.concat_ws("\n", *ids))
-            level = level.withColumn("_rank", F.row_number().over(order)).where(F.col("_have") + F.col("_rank") <= limit + 1)
-            level = level.withColumn("_now", F.col("_have") + F.max("_rank").over(Window.partitionBy("_n0")))
+        grown = lambda by: level.join(by, level[nodes[-2]] == by["_from"]).where(fresh).select(*carried, *nodes[:-1], *ids[:-1], F.col("_to").alias(nodes[-1]), F.col("_e").alias(ids[-1]), F.least("confidence", "_c").alias("confidence"), (F.col("potential") | F.col("_p")).alias("potential"))  # noqa: B023, E731
+        if limit is None:
+            paths = grown(step).select(F.col("_n0").alias("seed"), F.col(nodes[-1]).alias("node"), F.lit(d).alias("distance"), "confidence", F.array(*nodes).alias("path"), F.array(*ids).alias("edge_ids"), "potential")
+            out = paths if out is None else out.unionByName(paths)
+            if d < depth:
+                level = cut(grown(onward))
+                if level.isEmpty():
+                    break
+            continue
+        level = grown(step)
+        order = Window.partitionBy("_n0").orderBy(F.concat_ws("\n", *nodes), F.concat_ws("\n", *ids))
+        level = level.withColumn("_rank", F.row_number().over(order)).where(F.col("_have") + F.col("_rank") <= limit + 1)
+        level = level.withColumn("_now", F.col("_have") + F.max("_rank").over(Window.partitionBy("_n0")))
         if d < depth:
             level = cut(level)
-        found = level if limit is None else level.where(F.col("_have") + F.col("_rank") <= limit + 1)
-        extra = [] if limit is None else [(F.col("_have") + F.col("_rank")).alias("_n")]
-        paths = found.select(F.col("_n0").alias("seed"), F.col(nodes[-1]).alias("node"), F.lit(d).alias("distance"), "confidence", F.array(*nodes).alias("path"), F.array(*ids).alias("edge_ids"), "potential", *extra)
+        paths = level.select(F.col("_n0").alias("seed"), F.col(nodes[-1]).alias("node"), F.lit(d).alias("distance"), "confidence", F.array(*nodes).alias("path"), F.array(*ids).alias("edge_ids"), "potential", (F.col("_have") + F.col("_rank")).alias("_n"))
         out = paths if out is None else out.unionByName(paths)
-        if limit is not None and d < depth:
+        if d < depth:
             # seeds that have more than the limit are done; those at the limit look one level further, for whether there is more
             level = level.where(F.col("_now") <= limit).drop("_rank", "_have").withColumnRenamed("_now", "_have")
             if level.isEmpty():
