@@ -17,10 +17,21 @@ TASKS = (
 )
 
 
+_WORD = "[0-9A-Za-z_]"
+_EDGE = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+
+
+def says(text: Column, words: str) -> Column:
+    """Whether a text holds one of the words (alternatives of plain words, ``?`` and ``.*``) between edges of ASCII words, in any case. Java's own ``\\b`` counts letters of
+    all scripts, its ``.`` stops at more than line feeds, and its case rules leave out the long s and the Kelvin sign."""
+    plain = words.replace(".", r"[^\n]").replace("s", "[s\u017f]").replace("k", "[k\u212a]")
+    return text.rlike(rf"(?i){_EDGE}(?:{plain}){_EDGE}")
+
+
 def task_class(task: Column) -> Column:
     out = None
     for name, words in TASKS:
-        hit = task.rlike(rf"(?i)\b({words})\b")
+        hit = says(task, words)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("unknown")
 

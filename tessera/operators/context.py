@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import identifier_terms, task_class
+from tessera.functions.text import identifier_terms, says, task_class
 from tessera.model import definite_of
 from tessera.operators.lineage import cut
 
@@ -44,7 +44,7 @@ def route(request: Column) -> Column:
     text = F.trim(F.coalesce(request, F.lit("")))
     out = None
     for name, words in ROUTES:
-        hit = text.rlike(rf"(?i)\b(?:{words})\b")
+        hit = says(text, words)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("native_fallback")
 

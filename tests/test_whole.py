@@ -4,11 +4,13 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import fixtures as fx
 from tessera.fixtures import Tables
+from tessera.functions import text
 from tessera.operators import diff, resolve
-from tessera.plans.registry import COVERS, QUERIES
+from tessera.plans.registry import COVERS, ORACLES, QUERIES
 
 
 def table(spark, folder, name, rows, schema):
@@ -88,3 +90,17 @@ def test_long_rename_chains(spark):
     rows = [(f"p{i:02d}", f"p{i + 1:02d}", 0.9) for i in range(15)] + [("x", "y", 0.9), ("y", "x", 0.9), ("y", "z", 0.9)]
     got = sorted((r.previous, r.path) for r in diff.rename_chains(spark.createDataFrame(rows, "previous string, path string, similarity double")).collect())
     assert got == [(f"p{i:02d}", "p15") for i in range(15)] + [("x", "y"), ("x", "z"), ("y", "x"), ("y", "z")]
+
+
+def test_routes_see_words_as_their_sql_does(spark, tmp_path):
+    """Letters of other scripts, marks, the long s, the Kelvin sign and line separators beside and within words."""
+    duckdb = pytest.importorskip("duckdb")
+    texts = ["étest", "testé", "テtestス", "test\u0301", "te\u0301st", "٠test", "teſt", "a teſts", "teſtſ", "aſupport", "ſupport", "bro\u212aen", "İmplement", "ımplement", "x_test", "test1", "TESTS", "", None, "how\u2028x reaches", "how\rx reaches", "how\nx reaches"]
+    path = table(spark, tmp_path, "conversations", [(i, 0, "user", x) for i, x in enumerate(texts)], "conv_id long, turn int, role string, text string")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS FROM '{path}/conversations.parquet/*.parquet'")
+    for name in ("intent_routing", "intent_routing_operations"):
+        assert sorted(map(tuple, QUERIES[name](spark, path).collect())) == sorted(con.execute(ORACLES[name]).fetchall())
+    got = {r.text: r.n for r in spark.createDataFrame([(x,) for x in texts], "text string").select("text", F.coalesce(text.task_class(F.col("text")), F.lit("")).alias("n")).collect()}
+    want = {x: con.execute(ORACLES["intent_routing"].replace("FROM conversations", "FROM (SELECT CAST(? AS VARCHAR) AS text)"), [x]).fetchone()[0] for x in texts}
+    assert got == want
