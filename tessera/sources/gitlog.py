@@ -21,22 +21,15 @@ def numstat_log(lines: DataFrame) -> DataFrame:
 
 def name_status(output: Column) -> Column:
     """``git diff --name-status -z``: an array of (status, similarity, previous, path)."""
-    cells = F.filter(F.split(output, "\u0000"), lambda c: c != "")
-    empty = F.array().cast("array<struct<status:string,similarity:int,previous:string,path:string>>")
-    state = F.struct(F.lit(None).cast("string").alias("open"), F.lit(None).cast("string").alias("previous"), empty.alias("out"))
-
-    def step(s: Column, c: Column) -> Column:
-        two = s["open"].rlike("^[RC]") & s["previous"].isNull()
-        similarity = F.when(s["open"].rlike(r"^[RC]\d+$"), F.substring(s["open"], F.lit(2), F.lit(9)).cast("int"))
-        row = F.struct(F.substring(s["open"], F.lit(1), F.lit(1)).alias("status"), similarity.alias("similarity"), s["previous"].alias("previous"), c.alias("path"))
-        nothing = F.lit(None).cast("string")
-        return (
-            F.when(s["open"].isNull(), F.struct(c.alias("open"), nothing.alias("previous"), s["out"].alias("out")))
-            .when(two, F.struct(s["open"].alias("open"), c.alias("previous"), s["out"].alias("out")))
-            .otherwise(F.struct(nothing.alias("open"), nothing.alias("previous"), F.concat(s["out"], F.array(row)).alias("out")))
-        )
-
-    return F.aggregate(cells, state, step, lambda s: s["out"])
+    # an entry is a state and its paths; the next begins where it ends, so one pass finds them all and nothing is copied along
+    entries = F.regexp_extract_all(output, F.lit(r"\G\x00*+((?:[RC][^\x00]*+\x00++[^\x00]++|[^RC\x00][^\x00]*+)\x00++[^\x00]++)"), F.lit(1))
+
+    def row(entry: Column) -> Column:
+        cells = F.filter(F.split(entry, "\u0000"), lambda c: c != "")
+        similarity = F.when(cells[0].rlike(r"^[RC]\d+$"), F.substring(cells[0], F.lit(2), F.lit(9)).cast("int"))
+        return F.struct(F.substring(cells[0], F.lit(1), F.lit(1)).alias("status"), similarity.alias("similarity"), F.when(F.size(cells) > 2, cells[1]).alias("previous"), F.element_at(cells, -1).alias("path"))
+
+    return F.transform(entries, row)
 
 
 def porcelain(lines: DataFrame) -> DataFrame:

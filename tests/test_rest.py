@@ -1,6 +1,7 @@
 """Pages, codecs, paths, texts, storage, changes, resolution, sources and streams."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,6 +146,20 @@ def test_git_texts(spark):
     assert [tuple(h) for h in hunks] == [(1, 3, 1, 1), (9, 9, 7, 8)]
 
 
+def test_long_name_status_lists(spark):
+    """One list of 60,000 entries in seconds; empty cells and an entry that is cut off at the end count for nothing."""
+    long = "".join(f"R{i % 100:03d}\0a{i}\0b{i}\0" if i % 3 == 0 else f"M\0Rc{i}\0" for i in range(60_000))
+    begun = time.monotonic()
+    got = column(spark, [long]).select(F.explode(gitlog.name_status(F.col("v"))).alias("r")).select("r.*").collect()
+    assert time.monotonic() - begun < 30
+    assert len(got) == 60_000 and tuple(got[3]) == ("R", 3, "a3", "b3") and tuple(got[59_999]) == ("M", None, None, "Rc59999")
+    odd = {"\0\0M\0\0a\0R087\0b": [("M", None, None, "a")], "C1x\0é\n": [], "": [], None: None, "A\0x\0D": [("A", None, None, "x")]}
+    for r in column(spark, list(odd)).select("v", gitlog.name_status(F.col("v")).alias("r")).collect():
+        assert (r.r and [tuple(x) for x in r.r]) == odd[r.v]
+    copy = column(spark, ["C1x\0é\n\0ü\0"]).select(F.explode(gitlog.name_status(F.col("v"))).alias("r")).select("r.*").collect()
+    assert [tuple(x) for x in copy] == [("C", None, "é\n", "ü")]
+
+
 def test_adapters_isolate_failures(spark):
     take_away = adapters.register("broken", lambda p: True, lambda p, t: 1 / 0)
     files = spark.createDataFrame([("a.py", "import os\n\ndef f(x):\n    return g(x)\n"), ("b.py", "def ("), ("c.prisma", "model User {\n  id Int\n  posts Post[]\n}\n"), ("d.asyncapi.json", '{"asyncapi": "2.0", "channels": {"t": {"publish": {"operationId": "p"}}}}'), (None, "x")], "path string, text string")
