@@ -124,6 +124,30 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False, t
     return visited
 
 
+def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(seed, node, distance) as ``bfs`` has them, without confidence. 64 seeds travel as the bits of one number, so a level joins and stores a
+    row for each node that any of them newly reaches, not one for each seed; pairs are made where they are read."""
+    step = cut(_oriented(edges, False, []).where("_from <> _to").distinct())
+    group = F.pmod(F.xxhash64("seed"), F.lit(32)).cast("int")
+    place = F.row_number().over(Window.partitionBy("_g").orderBy("seed")) - 1
+    numbered = seeds.select(F.col("id").alias("seed")).distinct().withColumn("_g", group).withColumn("_n", place)
+    numbered = cut(numbered.select("seed", (F.floor(F.col("_n") / 64) * 32 + F.col("_g")).alias("_b"), F.expr("shiftleft(1L, CAST(_n % 64 AS INT))").alias("_bit")))
+    frontier = numbered.select(F.col("seed").alias("node"), "_b", F.col("_bit").alias("_bits"))
+    levels = [frontier.withColumn("distance", F.lit(0))]
+    none = F.lit(0).cast("long")
+    for level in range(1, depth + 1):
+        met = frontier.join(step, frontier["node"] == step["_from"]).select(F.col("_to").alias("node"), "_b", F.col("_bits").alias("_r"), none.alias("_v"))
+        known = reduce(DataFrame.unionByName, [x.select("node", "_b", none.alias("_r"), F.col("_bits").alias("_v")) for x in levels])
+        both = met.unionByName(known).groupBy("node", "_b").agg(F.bit_or("_r").alias("_r"), F.bit_or("_v").alias("_v"))
+        frontier = cut(both.select("node", "_b", F.col("_r").bitwiseAND(F.bitwise_not("_v")).alias("_bits")).where("_bits <> 0"))
+        if frontier.isEmpty():
+            break
+        levels.append(frontier.withColumn("distance", F.lit(level)))
+    lists = numbered.groupBy("_b").agg(F.collect_list(F.struct("_bit", "seed")).alias("_seeds"))
+    met = reduce(DataFrame.unionByName, levels).join(lists, "_b")
+    return met.select(F.explode(F.filter("_seeds", lambda s: F.col("_bits").bitwiseAND(s["_bit"]) != 0)).alias("_s"), "node", "distance").select("_s.seed", "node", "distance")
+
+
 def traverse(edges: DataFrame, seeds: DataFrame, depth: int, max_nodes: int, reverse: bool = False, types: tuple[str, ...] | None = None) -> DataFrame:
     """Bounded breadth-first search that returns edges: seed, edge_id, node (where the edge leads), depth, confidence (the least on the way),
     deterministic (no heuristic and no confidence below 1 on the way), truncated (whether a cap of the seed left something out).

@@ -291,3 +291,13 @@ def test_empty_graph(spark):
     assert graph.bfs(e, seeds(spark, "a"), 3).count() == 1
     assert graph.strong_components(e, "source", "target").collect() == []
     assert graph.louvain(e, "source", "target").collect() == []
+
+
+def test_reach_is_that_of_a_plain_search(spark):
+    r = random.Random(5)
+    pairs = [(f"n{r.randrange(300)}", f"n{r.randrange(300)}") for _ in range(420)]
+    e = spark.createDataFrame([(f"e{i}", a, b, "CALLS", 1.0, "ast") for i, (a, b) in enumerate(pairs)], "id string, source string, target string, type string, confidence double, source_type string")
+    some = spark.createDataFrame([(f"n{i}",) for i in range(0, 310)] + [("n1",)], "id string")
+    for depth in (1, 5):
+        got = sorted(map(tuple, graph.reach(e, some, depth).collect()))
+        assert got == sorted((x.seed, x.node, x.distance) for x in graph.bfs(e, some, depth).collect())
