@@ -448,6 +448,45 @@ def flows(edges: DataFrame, entrypoints: DataFrame, types: tuple[str, ...], dept
     return done.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_paths).select(*columns, "rank")
 
 
+def flow_counts(edges: DataFrame) -> DataFrame:
+    """(seed, cycle, n_nodes, n_paths): how many flows of up to four edges each node with a way out has, as ``flows`` without caps would list them, by whether the flow ends where
+    it meets itself and by its nodes. Parallel edges count once, loops not at all.
+
+    No path is made: a path of four edges is two halves of two. ``two`` holds how many ways of two edges lead from one node to another; walks are sums over it, and those
+    that meet themselves too early are taken off, which only two-way pairs, triangles and pairs of halves can be."""
+    pairs = cut(edges.where("source <> target").select(F.col("source").alias("a"), F.col("target").alias("b")).distinct())
+    back = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1).cast("long").alias("_r"))
+    outs = pairs.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("_o"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    # r: the edge goes both ways; o: edges that leave its end, none if it is a dead end
+    e = cut(pairs.join(back, ["a", "b"], "left").join(outs, "b", "left").select("a", "b", zero("_r").alias("r"), zero("_o").alias("o")))
+    node = cut(e.groupBy("a").agg(F.count("*").alias("out"), F.sum("r").alias("rec"), F.count_if(F.col("o") == 0).alias("dead"), F.sum("o").alias("w")))
+    two = cut(e.select("a", "b").join(e.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").groupBy("a", "c").agg(F.count("*").alias("p")))
+    forth = two.select("a", F.col("c").alias("b"), F.col("p").alias("_p"))
+    close = two.select(F.col("a").alias("b"), F.col("c").alias("a"), F.col("p").alias("_t"))
+    ends = node.select(F.col("a").alias("b"), F.col("rec").alias("_rec"), F.col("dead").alias("_dead"))
+    # t: triangles that begin with the edge; p: ways of two edges beside it
+    e = cut(e.join(ends, "b", "left").join(close, ["a", "b"], "left").join(forth, ["a", "b"], "left").select("a", "b", "r", "o", zero("_rec").alias("rec_b"), zero("_dead").alias("dead_b"), zero("_t").alias("t"), zero("_p").alias("p")))
+    triangles = e.groupBy(F.col("a").alias("b")).agg(F.sum("t").alias("_tri"))
+    sums = e.join(triangles, "b", "left").groupBy("a").agg(
+        F.sum("dead_b").alias("dead3"), F.sum("rec_b").alias("recs"), F.sum(F.col("o") * (F.col("rec_b") - F.col("r"))).alias("turned"), F.sum(F.col("r") * (F.col("rec_b") - 1)).alias("there_and_back"),
+        F.sum(F.col("r") * F.col("p")).alias("beside"), F.sum("t").alias("tri"), F.sum(zero("_tri")).alias("tris"),
+    )
+    at = node.select(F.col("a").alias("c"), F.col("rec").alias("_rec"), F.col("dead").alias("_dead"), F.col("w").alias("_w"))
+    home = two.select(F.col("a").alias("c"), F.col("c").alias("a"), F.col("p").alias("_q"))
+    halves = two.where("a <> c").join(at, "c", "left").join(home, ["a", "c"], "left").groupBy("a").agg(*[F.sum(F.col("p") * zero(c)).alias(name) for c, name in (("_w", "walks"), ("_dead", "dead4"), ("_rec", "rec_c"), ("_q", "squares"))])
+    c = F.col
+    x = node.join(sums, "a").join(halves, "a", "left").select(*node.columns, *[k for k in sums.columns if k != "a"], *[zero(k).alias(k) for k in ("walks", "dead4", "rec_c", "squares")])
+    simple = c("walks") - c("tri") * c("out") - c("turned")
+    to_start = c("squares") - c("there_and_back")
+    to_second = c("tris") - c("beside") - c("tri")
+    to_third = c("rec_c") - (c("recs") - c("rec")) - c("beside")
+    met = to_start + to_second + to_third
+    counts = [(False, 2, c("dead")), (True, 3, c("rec")), (False, 3, c("dead3")), (True, 4, c("tri") + c("recs") - c("rec")), (False, 4, c("dead4")), (True, 5, met), (False, 5, simple - met)]
+    rows = F.explode(F.array(*[F.struct(F.lit(cycle).alias("cycle"), F.lit(n).alias("n_nodes"), k.alias("n_paths")) for cycle, n, k in counts]))
+    return x.select(c("a").alias("seed"), rows.alias("_x")).select("seed", "_x.*").where("n_paths > 0")
+
+
 def trace(edges: DataFrame, start: str, max_depth: int = 6, max_nodes: int = 200, max_paths: int = 50) -> DataFrame:
     """Best-first trace of paths from one node: position, node, depth, edge_id (the edge that first led there, null for the start),
     confidence (the least on the way), deterministic, truncated (whether a cap left something out).

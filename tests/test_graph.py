@@ -293,6 +293,39 @@ def test_empty_graph(spark):
     assert graph.louvain(e, "source", "target").collect() == []
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_flows_are_counted_as_plain_search_lists_them(spark, seed):
+    r = random.Random(seed)
+    n = 5 + 2 * seed
+    out = {f"n{a}": [f"n{b}" for b in range(n) if b != a and a % 4 != 3 and r.random() < 0.4] for a in range(n)}
+    pairs = [(a, b) for a in out for b in out[a]]
+    want = {}
+
+    def walk(path):
+        cycle = path[-1] in path[:-1]
+        if cycle or len(path) == 5 or not out[path[-1]]:
+            key = (path[0], cycle, len(path))
+            want[key] = want.get(key, 0) + 1
+            return
+        for b in out[path[-1]]:
+            walk([*path, b])
+
+    for a in out:
+        if out[a]:
+            walk([a])
+    rows = [(f"e{i}", a, b, "CALLS", 1.0, "ast") for i, (a, b) in enumerate(pairs * 2)]
+    got = graph.flow_counts(spark.createDataFrame(rows, "id string, source string, target string, type string, confidence double, source_type string"))
+    assert {(x.seed, x.cycle, x.n_nodes): x.n_paths for x in got.collect()} == want
+
+
+def test_more_flows_than_any_list_holds(spark):
+    """65 nodes, all linked: 64 x 63 x 62 x 61 simple paths of four edges from each."""
+    rows = [(f"e{a}-{b}", f"n{a}", f"n{b}", "CALLS", 1.0, "ast") for a in range(65) for b in range(65) if a != b]
+    e = spark.createDataFrame(rows, "id string, source string, target string, type string, confidence double, source_type string")
+    got = {(x.cycle, x.n_nodes): x.n_paths for x in graph.flow_counts(e).where("seed = 'n7'").collect()}
+    assert got == {(True, 3): 64, (True, 4): 64 * 63 * 2, (True, 5): 64 * 63 * 62 * 3, (False, 5): 64 * 63 * 62 * 61}
+
+
 def test_reach_is_that_of_a_plain_search(spark):
     r = random.Random(5)
     pairs = [(f"n{r.randrange(300)}", f"n{r.randrange(300)}") for _ in range(420)]
