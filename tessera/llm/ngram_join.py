@@ -15,8 +15,8 @@ document's set size and the smallest id that links reach.
    edges as postings, never all pairs.
 5. Candidate components are cut into blocks of ``BLOCK`` classes, and the product of a block with itself is exact, over whole
    sets. Blocks of a large component also hold its ``PIVOTS`` first classes, which joins the blocks; afterwards only classes
-   outside the component's largest linked group meet all blocks, so no link between different groups is lost while
-   members of one group are never compared all with all.
+   outside the component's largest linked group meet all classes of like size, in products of parts of ``CELL_BYTES``, so no link between different groups is
+   lost while members of one group are never compared all with all.
 
 Edge cases. Null or empty text, or no words: no n-grams, linked with nothing, component is its own id. Fewer than n words: the
 whole sequence is one n-gram. Null id: takes part, never a component's id unless all ids of it are null. Repeated rows and ids: a
@@ -26,6 +26,7 @@ and sets are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,8 @@ from tessera.llm.components import components
 RARE = 16
 BLOCK = 512
 PIVOTS = 8
+#: Bytes of sets of either side of a product within a large component.
+CELL_BYTES = 12 << 20
 #: Bytes of text of one block.
 BLOCK_BYTES = 4 << 20
 
@@ -327,6 +330,25 @@ def _links(num: int, den: int):
     return run
 
 
+def _cells(grouped: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows of the products of all classes of a component with those outside its largest group (``grouped``: comp, class, grams, grouped, top).
+
+    Sets that link differ in size by den / num at most, so a class meets those of its own band of sizes and of the two beside it. In a band both sides are cut into parts
+    of about ``CELL_BYTES`` of sets, and a cell is one part with another: a class is sent to as many cells as the other side has parts, and no task holds more than two parts."""
+    band = F.floor(F.log(F.octet_length("grams") / 8) / (math.log(max(den / num, 1.01)) * 1.0001))  # a little wider than needed, so rounding loses nothing
+    left = grouped.select("comp", band.alias("band"), "class", "grams", "grouped")
+    right = grouped.where("grouped <> top").select("comp", F.explode(F.array(band - 1, band, band + 1)).alias("band"), "class", "grams", "grouped")
+    parts = lambda side, name: side.groupBy("comp", "band").agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.sum(F.octet_length("grams")) / CELL_BYTES)).alias(name))
+    cut = keep(parts(left, "n_left").join(parts(right, "n_right"), ["comp", "band"]))  # a table whose size is known, so that sets need no shuffle for it
+    of = lambda n: F.pmod(F.xxhash64("class"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("_x")
+    base = ("comp", "band", "n_right", "class", "grams", "grouped")
+    left = left.join(cut, ["comp", "band"]).select(*base, F.lit(False).alias("apart"), of("n_left").alias("_l"), every("n_right")).withColumnRenamed("_x", "_r")
+    right = right.join(cut, ["comp", "band"]).select(*base, F.lit(True).alias("apart"), of("n_right").alias("_r"), every("n_left")).withColumnRenamed("_x", "_l")
+    cell = F.col("band") * (1 << 32) + F.col("_l") * F.col("n_right") + F.col("_r")
+    return left.unionByName(right).select("comp", cell.alias("part"), "class", "grams", "apart", "grouped", F.lit(True).alias("only_apart"))
+
+
 def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, rare: int = RARE) -> DataFrame:
     """(doc_id, text) to doc_id, n_shingles, component_id: one row a document."""
     spark: SparkSession = docs.sparkSession
@@ -379,11 +401,7 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, rare: int =
         weight = grouped.groupBy("comp", "grouped").agg(F.count("*").alias("w"))
         top = weight.groupBy("comp").agg(F.max_by("grouped", F.struct("w", "grouped")).alias("top"))
         grouped = keep(grouped.join(top, "comp"))
-        others = F.col("grouped") != F.col("top")
-        base = ("class", "grams")
-        left = grouped.select("comp", F.pmod(F.xxhash64("class"), n_parts).alias("part"), *base, F.lit(False).alias("apart"), "grouped", F.lit(True).alias("only_apart"))
-        right = grouped.where(others).select("comp", F.explode(F.sequence(F.lit(0).cast("long"), n_parts - 1)).alias("part"), *base, F.lit(True).alias("apart"), "grouped", F.lit(True).alias("only_apart"))
-        more = left.unionByName(right).groupBy("comp", "part").applyInArrow(_links(num, den), "a long, b long")
+        more = _cells(grouped, num, den).groupBy("comp", "part").applyInArrow(_links(num, den), "a long, b long")
         linked = keep(components(tree.unionByName(more)))
     ids = one_of.join(linked, one_of["class"] == linked["id"], "left").select("class", F.coalesce("root", "class").alias("root"), "doc_id")
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -572,6 +572,36 @@ def test_ngram_join_against_brute_force(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_join(rows, 4, 85, 100)
 
 
+def test_cells_hold_all_pairs_of_like_size_in_few_rows(spark, monkeypatch):
+    """Classes that do not link, of 30 to 500 n-grams: sending those outside the largest group to every block of 512 would take more than 32,000 rows here."""
+    monkeypatch.setattr(ngram_join, "CELL_BYTES", 1_000_000)
+    r = random.Random(3)
+    sizes = {i: int(30 * 17 ** r.random()) for i in range(4000)} | {5000: 85, 5001: 100, 5002: 17, 5003: 20}
+    rows = [(7, c, bytes(8 * n), -1 if c % 10 == 3 else c, -1) for c, n in sizes.items()]
+    df = spark.createDataFrame(rows, "comp long, class long, grams binary, grouped long, top long")
+    cells = {}
+    for x in ngram_join._cells(df, 85, 100).select("part", "class", "apart", F.octet_length("grams").alias("n")).collect():
+        cells.setdefault(x.part, []).append((x["class"], x.apart, x.n))
+    assert sum(map(len, cells.values())) <= 20_000 and max(sum(n for *_, n in v) for v in cells.values()) < 2_500_000
+    met = {(a, b) for v in cells.values() for a, apart, _ in v if apart for b, other, _ in v if not other}
+    assert all((a, b) in met for a in sizes for b in sizes if a % 10 != 3 and 100 * min(sizes[a], sizes[b]) >= 85 * max(sizes[a], sizes[b]))
+
+
+@pytest.mark.parametrize("cell", [300, 12 << 20])
+def test_ngram_join_by_cells(spark, monkeypatch, cell):
+    """A large component of texts that share a passage, most of which link in no group or in small ones."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "CELL_BYTES", cell)
+    passages = [noise(200 + i, 12) for i in range(6)]
+    rows = []
+    for i in range(70):
+        r = random.Random(i)
+        rows.append((i, " ".join(r.choice(passages) for _ in range(1 + i % 6)), "a"))
+    rows += [(500 + i, edited(rows[i * 7][1], i, 1), "a") for i in range(10)]
+    got = ngram_join.join(table(spark, rows).repartition(5), rare=2).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_join(rows, 4, 85, 100)
+
+
 def test_components_by_rounds_and_at_once(spark):
     from tessera.llm import components as c
 
