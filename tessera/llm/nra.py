@@ -2,14 +2,15 @@
 
 Vectors are dealt to blocks once; a task holds the lists of one block: for each dimension its entries (value, vector), sorted by value.
 A query reads the lists sequentially, all to the same depth, each from the end that serves the sign of its
-weight, in batches that grow from a 64th to an eighth of the block; lists of weight zero are never opened. For each vector seen it keeps
+weight, in batches (``DEPTHS``); lists of weight zero are never opened. For each vector seen it keeps
 
 * a lower bound: what was read of it, with unread dimensions at the last value of their lists,
 * an upper bound: what was read of it, with unread dimensions at the value that their lists have come to.
 
 A vector not seen at all has the sum of the latter as its upper bound. After each batch the k-th best lower bound is the bar; once the unseen are
 below it, so are dropped all vectors whose upper bound is. Reading stops once at most ``FINAL`` vectors are left: no outsider can qualify.
-Their scores are then resolved from the dimensions still unread. Ties with the bar are never dropped, so the smaller id wins as it should.
+Their scores are then resolved from the dimensions still unread. Either bound is a product of the query with the vectors as far as they are
+read, which is the same for all queries of a batch. Ties with the bar are never dropped, so the smaller id wins as it should.
 Each block yields its k best of a query; the k best of those are the answer, since a vector beaten k times in its block is beaten k times overall.
 
 Scale. Each vector is shuffled once and each query once a block (a stated query set against all rows); a task's block is bounded by ``VECTORS``,
@@ -37,6 +38,10 @@ from tessera.llm.blocks import partitions
 SMALL, VECTORS = 2048, 16384
 #: Vectors that may be left when reading stops.
 FINAL = 16
+#: How far lists are read before bounds are looked at, as shares of a block.
+DEPTHS = (1 / 64, 1 / 32, 1 / 16, 1 / 4, 1 / 2, 3 / 4, 7 / 8, 15 / 16, 31 / 32)
+#: Bounds (queries times vectors of a block) that are held at once.
+BOUNDS = 1 << 20
 
 
 class Lists:
@@ -47,40 +52,59 @@ class Lists:
         self.vectors = np.asarray(vectors, np.float64)
         order = np.argsort(-self.vectors, axis=0, kind="stable")
         self.values = np.ascontiguousarray(np.take_along_axis(self.vectors, order, axis=0).T)  # a row for each dimension
-        self.rows = np.ascontiguousarray(order.T.astype(np.int32))
         self.place = np.empty(order.shape, np.int32)  # where a vector stands in each list
         np.put_along_axis(self.place, order, np.broadcast_to(np.arange(len(order))[:, None], order.shape), axis=0)
         self.read = self.resolved = 0
 
-    def top(self, query: np.ndarray, k: int, banned: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The rows that can be among the k best (ties included), with exact scores; ``banned`` rows are no candidates."""
+    def _depths(self) -> list[int]:
+        n = len(self.vectors)
+        return sorted({max(1, int(n * x)) for x in DEPTHS} | {n})
+
+    def _bounded(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """With all lists read to a depth, from either end: what is known of each vector, unread dimensions at the least of their lists and at what
+        these have come to; and the latter alone. Columns are the dimensions read from the largest, then those read from the smallest."""
         n = len(self.vectors)
-        sides = [np.flatnonzero(query > 0), np.flatnonzero(query < 0)]
-        weight = query[np.concatenate(sides)].astype(np.float64)
-        end = weight * np.concatenate([self.values[sides[0], -1], self.values[sides[1], 0]])  # the least a dimension can add
-        depth, shortest, longest = 0, max(1, n // 64), max(1, n // 8)
-        low = np.full(n, end.sum())  # lower bounds: every entry read replaces the least that its dimension can add
-        alive = np.ones(n, bool)
-        if banned is not None:
-            alive[banned] = False
-        left = np.flatnonzero(alive)
-        while len(left) > max(k, FINAL) and len(weight) and depth < n:
-            past = min(n, depth + min(max(depth, shortest), longest))
-            rows = np.concatenate([self.rows[sides[0], depth:past], self.rows[sides[1], n - past : n - depth]])
-            values = np.concatenate([self.values[sides[0], depth:past], self.values[sides[1], n - past : n - depth]])
-            low += np.bincount(rows.ravel(), (weight[:, None] * values - end[:, None]).ravel(), minlength=n)
-            come_to = weight * np.concatenate([self.values[sides[0], past - 1], self.values[sides[1], n - past]])
-            self.read += rows.size
+        come_to = np.concatenate([self.values[:, depth - 1], self.values[:, n - depth]])
+        least = np.concatenate([self.values[:, -1], self.values[:, 0]])
+        read = np.concatenate([self.place < depth, self.place >= n - depth], axis=1)
+        both = np.concatenate([self.vectors, self.vectors], axis=1)
+        return np.where(read, both, least), np.where(read, both, come_to), come_to
+
+    def top_of_each(self, queries: np.ndarray, k: int, banned: list[np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the rows that can be among its k best (ties included), with exact scores; ``banned`` rows are no candidates. Queries
+        read side by side, so that the bounds of all are one product; each stops for itself."""
+        n, queries = len(self.vectors), np.asarray(queries, np.float64)
+        signed = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1)
+        opened = (queries != 0).sum(axis=1)
+        alive = np.ones((len(queries), n), bool)
+        for i, rows in enumerate(banned or []):
+            alive[i, rows] = False
+        going = np.flatnonzero((alive.sum(axis=1) > max(k, FINAL)) & (opened > 0))
+        depth = 0
+        for past in self._depths():
+            if not len(going):
+                break
+            self.read += int(opened[going].sum()) * (past - depth)
             depth = past
-            of_left = low[left]
-            bar = np.partition(of_left, len(left) - k)[len(left) - k]
-            bar -= 1e-6 * (1 + abs(bar))  # sums of floats; scores are whole numbers
-            if come_to.sum() < bar:  # else a vector not seen at all may qualify
-                place = self.place[left]
-                unread = np.concatenate([place[:, sides[0]] >= depth, place[:, sides[1]] < n - depth], axis=1)
-                left = left[of_left + unread @ (come_to - end) >= bar]
-        self.resolved += len(left)
-        return left, self.vectors[left] @ query.astype(np.float64)
+            least, most, come_to = self._bounded(depth)
+            low = signed[going] @ least.T
+            low[~alive[going]] = -np.inf
+            bar = np.partition(low, n - k, axis=1)[:, n - k]
+            bar -= 1e-6 * (1 + np.abs(bar))  # sums of floats; scores are whole numbers
+            seen = np.flatnonzero(signed[going] @ come_to < bar)  # else a vector not seen at all may qualify
+            if len(seen):
+                which = going[seen]
+                alive[which] &= signed[which] @ most.T >= bar[seen, None]
+                going = going[alive[going].sum(axis=1) > max(k, FINAL)]
+        out = []
+        for i, query in enumerate(queries):
+            left = np.flatnonzero(alive[i])
+            self.resolved += len(left)
+            out.append((left, self.vectors[left] @ query))
+        return out
+
+    def top(self, query: np.ndarray, k: int, banned: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        return self.top_of_each(query[None, :], k, None if banned is None else [banned])[0]
 
 
 def _search(k: int, dims: int):
@@ -107,12 +131,16 @@ def _search(k: int, dims: int):
                 lists = Lists(np.concatenate(vectors)[by_id])
             found_q, found_v, found_s = [], [], []
             asked = batch.slice(split)
-            for i, query in zip(asked.column("id").to_pylist(), matrix(asked), strict=True):
-                rows, score = lists.top(query, k, np.arange(*np.searchsorted(own, [i, i + 1])))
-                best = rows[order := np.lexsort((own[rows], -score))[:k]]
-                found_q.append(np.full(len(best), i, np.int64))
-                found_v.append(own[best])
-                found_s.append(score[order].astype(np.int64))
+            many = max(1, BOUNDS // len(own))
+            for a in range(0, asked.num_rows, many):
+                part = asked.slice(a, many)
+                of = part.column("id").to_numpy()
+                banned = [np.arange(x, y) for x, y in zip(np.searchsorted(own, of), np.searchsorted(own, of, "right"), strict=True)]
+                for i, (rows, score) in zip(of, lists.top_of_each(matrix(part), k, banned), strict=True):
+                    best = rows[order := np.lexsort((own[rows], -score))[:k]]
+                    found_q.append(np.full(len(best), i, np.int64))
+                    found_v.append(own[best])
+                    found_s.append(score[order].astype(np.int64))
             yield pa.RecordBatch.from_pydict({"query_id": np.concatenate(found_q), "vec_id": np.concatenate(found_v), "score": np.concatenate(found_s)})
 
     return run

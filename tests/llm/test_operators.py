@@ -415,6 +415,26 @@ def test_nra_reads_in_order_and_stops():
         assert lists.resolved <= 20 * (nra.FINAL + 5)
 
 
+def test_nra_queries_share_their_bounds(monkeypatch):
+    """Bounds are made once a depth for all queries of a batch, however many there are, and each query gets what it gets alone."""
+    r = np.random.default_rng(8)
+    x = np.floor(r.normal(size=(600, 16)) * 256)
+    queries = np.concatenate([x[:40], np.zeros((1, 16)), np.eye(16)[:3] * 7, -np.eye(16)[:3]])
+    lists, made = nra.Lists(x), []
+    bounded = nra.Lists._bounded
+    monkeypatch.setattr(nra.Lists, "_bounded", lambda self, depth: made.append(depth) or bounded(self, depth))
+    banned = [np.asarray([i]) if i < 40 else np.zeros(0, int) for i in range(len(queries))]
+    found = lists.top_of_each(queries, 5, banned)
+    assert len(made) == len(set(made)) <= len(nra.DEPTHS) + 1
+    for i, (q, (rows, score)) in enumerate(zip(queries, found, strict=True)):
+        exact = x @ q
+        others = np.setdiff1d(np.arange(len(x)), banned[i])
+        best = others[np.lexsort((others, -exact[others]))[:5]]
+        assert rows[np.lexsort((rows, -score))[:5]].tolist() == best.tolist() and np.array_equal(score, exact[rows])
+        alone = lists.top(q, 5, banned[i])
+        assert np.array_equal(alone[0], rows) and np.array_equal(alone[1], score)
+
+
 def test_nra_ties_and_zero_queries():
     x = np.asarray([[3.0, 0.0]] * 50 + [[0.0, 3.0]] * 50)
     rows, score = nra.Lists(x).top(np.asarray([1.0, 0.0]), 5)
