@@ -7,6 +7,7 @@ that they outlive a lost executor. Only a local session that lacks that setting,
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -70,6 +71,15 @@ def keep(df: DataFrame, path: str | None = None, partition_by: list[str] | None
     return out
 
 
+def give_back() -> None:
+    """Returns what a worker has freed to the system. Workers outlive their tasks, and each keeps its peak otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def partitions(spark: SparkSession) -> int:
     """Number of shuffle partitions, which the cluster sizes to its input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import forget, hash_words, keep, mix64, partitions, slices
+from tessera.llm.blocks import forget, give_back, hash_words, keep, mix64, partitions, slices
 from tessera.llm.components import components
 
 RARE = 16
@@ -112,6 +112,7 @@ def _blocks(n: int, num: int, den: int):
                 "grams": pa.array([(np.concatenate(grams) if grams else np.zeros(0, np.uint64)).tobytes()]),
             })
             k += 1
+        give_back()
 
     return run
 
@@ -167,6 +168,7 @@ def _answers(rare: int):
             kind = np.where(total <= 1, 0, np.where(total <= rare, 1, 2)).astype(_U1)[inverse]
             cuts = np.cumsum([0, *sizes])
             yield pa.RecordBatch.from_pydict({"block": pa.array([b for b, _ in parts], pa.int64()), "bucket": pa.array([bucket] * len(parts), pa.int32()), "kinds": pa.array([kind[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
+        give_back()
 
     return run
 
@@ -281,6 +283,7 @@ def _sets(n: int):
         for batch in slices(batches, "text", BLOCK_BYTES):
             sets = ngram_sets(batch.column("text"), n)
             yield pa.RecordBatch.from_pydict({"wanted": batch.column("wanted"), "class": pa.array([set_id(s) for s in sets], pa.int64()), "grams": pa.array([s.tobytes() for s in sets], pa.binary())})
+        give_back()
 
     return run
 
@@ -401,7 +404,8 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, rare: int =
         weight = grouped.groupBy("comp", "grouped").agg(F.count("*").alias("w"))
         top = weight.groupBy("comp").agg(F.max_by("grouped", F.struct("w", "grouped")).alias("top"))
         grouped = keep(grouped.join(top, "comp"))
-        more = _cells(grouped, num, den).groupBy("comp", "part").applyInArrow(_links(num, den), "a long, b long")
+        # written first: ``components`` begins with Python, and a second worker a task would stay beside the first
+        more = keep(_cells(grouped, num, den).groupBy("comp", "part").applyInArrow(_links(num, den), "a long, b long"))
         linked = keep(components(tree.unionByName(more)))
     ids = one_of.join(linked, one_of["class"] == linked["id"], "left").select("class", F.coalesce("root", "class").alias("root"), "doc_id")
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import keep, partitions
+from tessera.llm.blocks import give_back, keep, partitions, slices
 
 CAPACITY = 2048
 END = 0
 #: Distinct words whose ids a worker remembers.
 CACHE_WORDS = 300_000
+#: Bytes of text that are tokenised between two batches of pieces (one longer text stays whole).
+BATCH_BYTES = 4 << 20
 
 _PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 _loaded: dict[tuple[str, str], Callable[[str], bytes]] = {}
@@ -96,7 +98,7 @@ def token_pieces(docs: DataFrame, paths: tuple[str, str] | None = None, capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, stop = encoder(*paths), np.asarray([end], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches, "text", BATCH_BYTES):
             out: dict[str, list] = {k: [] for k in ("row", "doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             for row, doc, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 data = memoryview(encode(text.as_py() or "") + stop)
@@ -109,6 +111,7 @@ def token_pieces(docs: DataFrame, paths: tuple[str, str] | None = None, capacity
                 del out["ids"]
             kinds = {"piece": pa.int32(), "ids": pa.binary()}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
+        give_back()
 
     return docs.select("row", "doc_id", "text").mapInArrow(run, _PIECES + (", ids binary" if with_ids else ""))
 

@@ -41,6 +41,8 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.blocks import give_back
+
 #: Labelled rows of each class that ``fit`` may read.
 MAX_TRAIN = 2000
 #: Words of a window.
@@ -270,6 +272,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 parts.append(m.scores(count(texts.iloc[a:b].tolist())))
                 a = b
             yield pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
+        give_back()
 
     return docs.withColumn("toxicity", score(F.col(text)))
 

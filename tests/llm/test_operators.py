@@ -622,6 +622,18 @@ def test_ngram_join_by_cells(spark, monkeypatch, cell):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_join(rows, 4, 85, 100)
 
 
+def test_a_task_of_the_join_needs_one_worker(spark, monkeypatch):
+    """What goes to ``components`` is a written table: Python after Python in one stage would start a second worker for each task."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    plans, components = [], ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda edges: plans.append(edges._jdf.queryExecution().toString()) or components(edges))
+    passage = noise(70, 30)
+    rows = [(i, passage + " " + noise(80 + i, 3), "a") for i in range(40)]
+    got = ngram_join.join(table(spark, rows), rare=2).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_join(rows, 4, 85, 100)
+    assert len(plans) == 3 and not any("InArrow" in p for p in plans)
+
+
 def test_components_by_rounds_and_at_once(spark):
     from tessera.llm import components as c
 
