@@ -3,7 +3,7 @@
 Two texts link when ``den`` x shared n-grams >= ``num`` x n-grams of either. All links count; what comes out is each
 document's set size and the smallest id that links reach.
 
-1. Texts with one set of n-grams are one class, however many copies there are; the rest works on classes.
+1. Texts with one set of n-grams are one class, however many copies there are; the rest works on classes, each in one block where copies are many.
 2. Order. N-grams that more than ``RARE`` blocks and classes hold among the first of a class (by hash) are hot and come last, all others
    by their hash. A class keeps its first |x| - ceil(num/den |x|) + 1 n-grams in that order, as any partner shares one of those.
    Blocks of texts ask hash buckets of n-grams for what they hold, in packed arrays, each n-gram once a block.
@@ -44,6 +44,8 @@ BLOCK = 512
 PIVOTS = 8
 #: Bytes of sets of either side of a product within a large component.
 CELL_BYTES = 12 << 20
+#: Blocks that hold a class, on average, from which on copies are taken out of all blocks but one.
+REPEATED = 1.25
 #: Bytes of text of one block.
 BLOCK_BYTES = 4 << 20
 
@@ -125,7 +127,24 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             has = at >= 0
             cls = pa.array(classes[np.where(has, at, 0)] if len(classes) else np.zeros(len(at), np.int64), mask=~has)
             size = np.where(has, sizes[np.where(has, at, 0)], 0) if len(sizes) else np.zeros(len(at), np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(row["doc_ids"], pa.int64()), "class": cls, "size": pa.array(size.astype(np.int64))})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(row["doc_ids"], pa.int64()), "class": cls, "size": pa.array(size.astype(np.int64)), "block": pa.array(np.full(len(at), row["block"]), pa.int64())})
+
+
+def _owned(num: int, den: int):
+    """A block with those of its classes only that it owns."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        own = np.concatenate([np.asarray(x, np.int64) for x in right.column("own").to_pylist()] or [np.zeros(0, np.int64)])
+        for row in left.to_pylist():
+            classes, sizes, grams = np.frombuffer(row["classes"], np.int64), np.frombuffer(row["sizes"], _I4), np.frombuffer(row["grams"], _U8)
+            mine = np.isin(classes, own)
+            looked = np.asarray([_looked_at(int(s), num, den) for s in sizes], np.int64)
+            out.append((row["block"], classes[mine].tobytes(), sizes[mine].tobytes(), grams[np.repeat(mine, looked)].tobytes()))
+        kinds = {"block": pa.int64(), "classes": pa.binary(), "sizes": pa.binary(), "grams": pa.binary()}
+        return pa.table({k: pa.array([x[i] for x in out], kind) for i, (k, kind) in enumerate(kinds.items())})
+
+    return run
 
 
 def _by_bucket(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -358,7 +377,15 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, rare: int =
     buckets = partitions(spark)
     docs = docs.select("doc_id", "text")
     blocks = keep(docs.mapInArrow(_blocks(n, num, den), _BLOCK_ROWS))
-    documents = keep(blocks.select("doc_ids", "doc_class", "classes", "sizes").mapInArrow(_documents, "doc_id long, class long, size long"))
+    documents = keep(blocks.select("block", "doc_ids", "doc_class", "classes", "sizes").mapInArrow(_documents, "doc_id long, class long, size long, block long"))
+    # of a class that several blocks hold only the first asks and posts: its copies would make its n-grams look frequent
+    held_in = documents.where("class IS NOT NULL").groupBy("class").agg(F.count_distinct("block").alias("n"), F.min("block").alias("block"))
+    times = held_in.agg(F.sum("n").alias("all"), F.count("*").alias("classes")).first()
+    if (times["all"] or 0) > REPEATED * times["classes"]:
+        own = held_in.groupBy("block").agg(F.collect_list("class").alias("own"))
+        every = blocks
+        blocks = keep(every.select("block", "classes", "sizes", "grams").groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_owned(num, den), "block long, classes binary, sizes binary, grams binary"))
+        forget(spark, every.tessera_path)
     answers = keep(blocks.select("block", "grams").mapInArrow(_asks(buckets), "bucket int, block long, data binary").repartitionById(buckets, "bucket").mapInArrow(_answers(rare), "block long, bucket int, kinds binary"))
     posts = keep(blocks.select("block", "classes", "sizes", "grams").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_posts(buckets, num, den), "gram long, class long, size long, bucket int, data binary"))
     forget(spark, blocks.tessera_path, answers.tessera_path)

@@ -622,6 +622,18 @@ def test_ngram_join_by_cells(spark, monkeypatch, cell):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_join(rows, 4, 85, 100)
 
 
+def test_copies_do_not_make_rare_ngrams_frequent(spark, monkeypatch):
+    """However many blocks hold copies of a text, its n-grams count once, so it need not post its whole set."""
+    texts = [noise(90 + i, 60) for i in range(4)]
+    rows = [(100 * c + i, t, "a") for c in range(20) for i, t in enumerate([*texts, edited(texts[0], 3, 1)])]
+    kept, keep = [], ngram_join.keep
+    monkeypatch.setattr(ngram_join, "keep", lambda df, *a, **k: kept.append(keep(df, *a, **k)) or kept[-1])
+    got = ngram_join.join(table(spark, rows).repartition(20)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_join(rows, 4, 85, 100)
+    whole = next(x for x in kept if x.columns == ["class", "grams"])
+    assert whole.count() == 0
+
+
 def test_a_task_of_the_join_needs_one_worker(spark, monkeypatch):
     """What goes to ``components`` is a written table: Python after Python in one stage would start a second worker for each task."""
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
