@@ -13,11 +13,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.model import CALLER_TYPES, NON_PATH, TRACE_PRIORITY, definite_of, impact_edge
-from tessera.operators.lineage import cut
+from tessera.operators.lineage import cut, discard, store
 
 
 def neighbours(edges: DataFrame, node: str, direction: str = "both", types: tuple[str, ...] | None = None) -> DataFrame:
@@ -101,6 +103,142 @@ def potential_impact(edges: DataFrame, seeds: DataFrame, depth: int = 8) -> Data
     return simple_paths(edges, seeds, depth, reverse=True).where("potential")
 
 
+#: Rows of a batch that path counts are unpacked to.
+_UNPACKED = 200_000
+_PACKED = "node string, confidence double, n long, seeds binary"
+
+
+def _coded(seed: np.ndarray, start: np.ndarray) -> pa.Array:
+    """Ascending numbers, cut into lists that begin at ``start``, to a binary a list: first number and differences, seven bits a byte."""
+    step = np.diff(seed, prepend=0)
+    step[start] = seed[start]
+    size = 1 + sum((step >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    end = np.cumsum(size)
+    raw = np.empty(int(end[-1]), np.uint8)
+    for k in range(int(size.max())):
+        some = np.flatnonzero(size > k)
+        raw[end[some] - size[some] + k] = (step[some] >> 7 * k & 127) | (size[some] > k + 1).astype(np.int64) << 7
+    cuts = np.append((end - size)[start], end[-1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(cuts), pa.py_buffer(raw)])
+
+
+def _decoded(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of lists that ``_coded`` made, and their numbers in a row."""
+    cuts = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1].astype(np.int64)
+    raw = np.frombuffer(lists.buffers()[2], np.uint8)[cuts[0] : cuts[-1]]
+    last = raw < 128
+    end = np.flatnonzero(last)
+    size = np.diff(end, prepend=-1)
+    step = np.zeros(len(end), np.int64)
+    for k in range(int(size.max())):
+        some = np.flatnonzero(size > k)
+        step[some] |= (raw[end[some] - size[some] + 1 + k] & 127).astype(np.int64) << 7 * k
+    n = np.add.reduceat(last.astype(np.int64), cuts[:-1] - cuts[0])
+    total, first = np.cumsum(step), np.cumsum(n) - n
+    return n, total - np.repeat(total[first] - step[first], n)
+
+
+def _merged(rows: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Packed rows, sorted by node, to the nodes and to entries in order of node and seed: place of the node, seed, best confidence, number of paths."""
+    node = rows.column("node").combine_chunks()
+    new = np.concatenate([[True], pc.not_equal(node[1:], node[:-1]).to_numpy(zero_copy_only=False)])
+    size, seed = _decoded(rows.column("seeds").combine_chunks())
+    key = np.repeat(np.cumsum(new) - 1, size) << 32 | seed
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    confidence = np.maximum.reduceat(np.repeat(rows.column("confidence").to_numpy(), size)[order], start)
+    n = np.add.reduceat(np.repeat(rows.column("n").to_numpy(), size)[order], start)
+    return node.filter(pa.array(new)), key[start] >> 32, key[start] & 0xFFFFFFFF, confidence, n
+
+
+def _packed(nodes: pa.Array, at: np.ndarray, seed: np.ndarray, confidence: np.ndarray, n: np.ndarray) -> pa.Table:
+    """Entries to a row for each node, confidence and number of paths, with its seeds."""
+    order = np.lexsort((n, confidence, at))
+    at, seed, confidence, n = at[order], seed[order], confidence[order], n[order]
+    new = np.concatenate([[True], (at[1:] != at[:-1]) | (confidence[1:] != confidence[:-1]) | (n[1:] != n[:-1])])
+    start = np.flatnonzero(new)
+    return pa.table({"node": nodes.take(pa.array(at[start])), "confidence": confidence[start], "n": n[start], "seeds": _coded(seed, start)})
+
+
+def _by_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Packed rows sorted by node, in tables that hold all rows of their nodes; what is carried from batch to batch is merged."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.table(batch)
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        last = pc.equal(rows.column("node"), rows.column("node")[-1])
+        done = rows.filter(pc.invert(last))
+        if done.num_rows:
+            yield done
+        rest = _packed(*_merged(rows.filter(last)))
+    if rest is not None:
+        yield rest
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _by_node(batches):
+        yield from _packed(*_merged(rows)).to_batches()
+
+
+def _unpack(names, distance: int, merge: bool):
+    """Packed rows to a row for each seed, node and distance; ``names`` are the seeds' ids by number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = pa.array(names.value, pa.string())
+        for rows in _by_node(batches) if merge else (pa.table(b) for b in batches if b.num_rows):
+            if merge:
+                nodes, at, seed, confidence, n = _merged(rows)
+            else:
+                size, seed = _decoded(rows.column("seeds").combine_chunks())
+                at, nodes = np.repeat(np.arange(rows.num_rows), size), rows.column("node").combine_chunks()
+                confidence, n = rows.column("confidence").to_numpy()[at], rows.column("n").to_numpy()[at]
+            for a in range(0, len(at), _UNPACKED):
+                part = slice(a, a + _UNPACKED)
+                found = {"seed": ids.take(pa.array(seed[part])), "node": nodes.take(pa.array(at[part])), "distance": np.full(len(at[part]), distance, np.int32)}
+                yield pa.RecordBatch.from_pydict(found | {"confidence": confidence[part], "n_paths": n[part]})
+
+    return run
+
+
+def path_counts(edges: DataFrame, seeds: DataFrame, depth: int = 8, reverse: bool = True) -> DataFrame:
+    """(seed, node, distance, confidence, n_paths): for each end and length of definite simple paths their best confidence and their number, which is what
+    ``simple_paths`` gives when grouped, without a row for any path.
+
+    Seeds travel as numbers in lists: a node has a row for each confidence and number of paths that some seeds share. All that meets at a node is merged in the task
+    that has the node, so nothing is ever shuffled by pairs of seed and node, and pairs are made where they are read. Rows that can go on are stored level by
+    level, ends never. Lists count walks; where the last level is reached before all walks end, some may run in cycles, and paths are listed instead. The
+    ids of the seeds are sent to the executors, once."""
+    spark = edges.sparkSession
+    plain = store(_oriented(edges.where(definite_of(edges)), reverse, [F.col("confidence").alias("_c")]).where("_from <> _to"))
+    left = plain.select(F.col("_from").alias("_to")).distinct().withColumn("_on", F.lit(True))
+    step = store(plain.join(left, "_to", "left").select("_from", "_to", "_c", F.col("_on").isNotNull().alias("_on")))
+    discard(spark, plain.stored)
+    times = {r["id"]: r["n"] for r in seeds.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).collect()}
+    ids = sorted(times)
+    frontier = spark.createDataFrame(pa.table({"node": pa.array(ids, pa.string()), "confidence": pa.array([1.0] * len(ids), pa.float64()), "n": pa.array([times[i] for i in ids], pa.int64()), "seeds": _coded(np.arange(len(ids)), np.arange(len(ids))) if ids else pa.array([], pa.binary())}))
+    names = spark.sparkContext.broadcast(ids)
+    schema = "seed string, node string, distance int, confidence double, n_paths long"
+
+    def met(on: bool) -> DataFrame:
+        by = step.where("_on" if on else "NOT _on")
+        grown = frontier.join(by, frontier["node"] == by["_from"]).select(F.col("_to").alias("node"), F.least("confidence", "_c").alias("confidence"), "n", "seeds")
+        return grown.repartition("node").sortWithinPartitions("node")
+
+    levels = []
+    for d in range(1, depth + 1):
+        levels.append(met(False).mapInArrow(_unpack(names, d, True), schema))
+        onward = store(met(True).mapInArrow(_pack, _PACKED))
+        if onward.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+        levels.append(onward.mapInArrow(_unpack(names, d, False), schema))
+        frontier = onward
+    paths = simple_paths(edges, seeds, depth, reverse, definite_of(edges))
+    return paths.groupBy("seed", "node", "distance").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n_paths"))
+
+
 def path_distances(edges: DataFrame, seeds: DataFrame, depth: int = 8, reverse: bool = True) -> DataFrame:
     """(seed, node, first): every node that a definite simple path of up to ``depth`` edges ends at, and the fewest edges of such a path. A
     shortest walk is a simple path, so this needs a visited set and no paths."""

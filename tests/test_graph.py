@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,6 +234,32 @@ def test_limited_paths_are_the_first_of_all(spark):
     assert first == want
 
 
+def test_lists_of_numbers_are_coded_and_read_back():
+    r = random.Random(1)
+    lists = [[0], [2**31 - 1], [5, 132, 133, 20_000, 3_000_000, 2**30], *(sorted(r.sample(range(70_000), r.randrange(1, 90))) for _ in range(40))]
+    start = [sum(map(len, lists[:i])) for i in range(len(lists))]
+    coded = graph._coded(np.asarray(sum(lists, [])), np.asarray(start))
+    for a, b in ((0, len(lists)), (2, 9), (1, 2)):
+        n, values = graph._decoded(coded.slice(a, b - a))
+        assert n.tolist() == list(map(len, lists[a:b])) and values.tolist() == sum(lists[a:b], [])
+
+
+@pytest.mark.parametrize("cyclic", [False, True])
+def test_path_counts_are_grouped_paths(spark, cyclic):
+    """Counted from lists of seeds, without a row for any path; where walks may run in cycles, from the paths."""
+    r = random.Random(5)
+    pairs = [(f"n{a:02}", f"n{b:02}", "CALLS", r.choice([0.95, 0.97, 1.0]), "ast") for a, b in ((r.randrange(16), r.randrange(16)) for _ in range(45)) if a < b or cyclic and a != b]
+    e = edges(spark, [*pairs, *pairs[:4], ("n01", "n00", "CONTAINS", 1.0, "ast"), ("n03", "n03", "CALLS", 1.0, "ast")]).repartition(3)
+    start = seeds(spark, "n15", "n14", "n09", "n09", "nowhere")
+    for reverse in (True, False):
+        depth = 3 if cyclic else 20
+        listed = graph.simple_paths(e, start, depth, reverse, graph.definite_of(e)).groupBy("seed", "node", "distance").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n_paths"))
+        got = graph.path_counts(e, start, depth, reverse)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, listed.select(got.columns).collect())) != []
+        assert ("InArrow" in got._jdf.queryExecution().toString()) != cyclic
+    assert graph.path_counts(e, seeds(spark, "nowhere"), 4).collect() == []
+
+
 def test_flows_keep_the_surest_paths_and_say_what_was_cut(spark):
     e = edges(spark, [("a", f"b{i}", "CALLS", 1.0 - i / 100, "ast") for i in range(9)] + [("b0", "c", "CALLS", 1.0, "ast"), ("c", "d", "CALLS", 1.0, "ast")])
     got = sorted(graph.flows(e, seeds(spark, "a"), ("CALLS",), depth=2, max_paths=4).collect(), key=lambda x: x["rank"])
