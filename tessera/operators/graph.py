@@ -203,42 +203,133 @@ def _unpack(names, distance: int, merge: bool):
     return run
 
 
+def _gathered(rows: DataFrame) -> DataFrame:
+    return rows.repartition("node").sortWithinPartitions("node")
+
+
+class _Levels:
+    """Definite walks from seeds, level by level, as packed rows: what goes on is stored, ends are made where they are read. ``whole`` says that all
+    walks ended, so that none runs in a cycle and each is a simple path. The ids of the seeds are sent to the executors, once."""
+
+    def __init__(self, edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool) -> None:
+        spark = edges.sparkSession
+        plain = store(_oriented(edges.where(definite_of(edges)), reverse, [F.col("confidence").alias("_c")]).where("_from <> _to"))
+        left = plain.select(F.col("_from").alias("_to")).distinct().withColumn("_on", F.lit(True))
+        step = store(plain.join(left, "_to", "left").select("_from", "_to", "_c", F.col("_on").isNotNull().alias("_on")))
+        discard(spark, plain.stored)
+        times = {r["id"]: r["n"] for r in seeds.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).collect()}
+        ids = sorted(times)
+        frontier = spark.createDataFrame(pa.table({"node": pa.array(ids, pa.string()), "confidence": pa.array([1.0] * len(ids), pa.float64()), "n": pa.array([times[i] for i in ids], pa.int64()), "seeds": _coded(np.arange(len(ids)), np.arange(len(ids))) if ids else pa.array([], pa.binary())}))
+        self.names, self.whole = spark.sparkContext.broadcast(ids), False
+        self.ends: list[DataFrame] = []  # of each level, several rows a node
+        self.onward: list[DataFrame] = []
+
+        def met(on: bool) -> DataFrame:
+            by = step.where("_on" if on else "NOT _on")
+            return frontier.join(by, frontier["node"] == by["_from"]).select(F.col("_to").alias("node"), F.least("confidence", "_c").alias("confidence"), "n", "seeds")
+
+        for _ in range(depth):
+            self.ends.append(met(False))
+            frontier_ = store(_gathered(met(True)).mapInArrow(_pack, _PACKED))
+            if frontier_.isEmpty():
+                self.whole = True
+                break
+            self.onward.append(frontier_)
+            frontier = frontier_
+
+
 def path_counts(edges: DataFrame, seeds: DataFrame, depth: int = 8, reverse: bool = True) -> DataFrame:
     """(seed, node, distance, confidence, n_paths): for each end and length of definite simple paths their best confidence and their number, which is what
     ``simple_paths`` gives when grouped, without a row for any path.
 
     Seeds travel as numbers in lists: a node has a row for each confidence and number of paths that some seeds share. All that meets at a node is merged in the task
     that has the node, so nothing is ever shuffled by pairs of seed and node, and pairs are made where they are read. Rows that can go on are stored level by
-    level, ends never. Lists count walks; where the last level is reached before all walks end, some may run in cycles, and paths are listed instead. The
-    ids of the seeds are sent to the executors, once."""
-    spark = edges.sparkSession
-    plain = store(_oriented(edges.where(definite_of(edges)), reverse, [F.col("confidence").alias("_c")]).where("_from <> _to"))
-    left = plain.select(F.col("_from").alias("_to")).distinct().withColumn("_on", F.lit(True))
-    step = store(plain.join(left, "_to", "left").select("_from", "_to", "_c", F.col("_on").isNotNull().alias("_on")))
-    discard(spark, plain.stored)
-    times = {r["id"]: r["n"] for r in seeds.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).collect()}
-    ids = sorted(times)
-    frontier = spark.createDataFrame(pa.table({"node": pa.array(ids, pa.string()), "confidence": pa.array([1.0] * len(ids), pa.float64()), "n": pa.array([times[i] for i in ids], pa.int64()), "seeds": _coded(np.arange(len(ids)), np.arange(len(ids))) if ids else pa.array([], pa.binary())}))
-    names = spark.sparkContext.broadcast(ids)
-    schema = "seed string, node string, distance int, confidence double, n_paths long"
-
-    def met(on: bool) -> DataFrame:
-        by = step.where("_on" if on else "NOT _on")
-        grown = frontier.join(by, frontier["node"] == by["_from"]).select(F.col("_to").alias("node"), F.least("confidence", "_c").alias("confidence"), "n", "seeds")
-        return grown.repartition("node").sortWithinPartitions("node")
-
-    levels = []
-    for d in range(1, depth + 1):
-        levels.append(met(False).mapInArrow(_unpack(names, d, True), schema))
-        onward = store(met(True).mapInArrow(_pack, _PACKED))
-        if onward.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
-        levels.append(onward.mapInArrow(_unpack(names, d, False), schema))
-        frontier = onward
+    level, ends never. Lists count walks; where the last level is reached before all walks end, some may run in cycles, and paths are listed instead."""
+    levels = _Levels(edges, seeds, depth, reverse)
+    if levels.whole:
+        schema = "seed string, node string, distance int, confidence double, n_paths long"
+        parts = [_gathered(x).mapInArrow(_unpack(levels.names, d, True), schema) for d, x in enumerate(levels.ends, 1)]
+        return reduce(DataFrame.unionByName, parts + [x.mapInArrow(_unpack(levels.names, d, False), schema) for d, x in enumerate(levels.onward, 1)])
     paths = simple_paths(edges, seeds, depth, reverse, definite_of(edges))
     return paths.groupBy("seed", "node", "distance").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n_paths"))
 
 
+def _per_seed(names):
+    """Rows sorted by node, at distance 0 what is known of it (kind, file, domain), at others lists of seeds, to a row for each seed that occurs: what it
+    meets in this task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros((3, len(names.value)), np.int64)
+        codes: tuple[dict[str, int], dict[str, int]] = {}, {}
+        pairs = [np.zeros(0, np.int64), np.zeros(0, np.int64)]  # seeds and codes of files, and of domains, each pair once
+
+        def add(rows: pa.Table) -> None:
+            node = rows.column("node").combine_chunks()
+            at = np.cumsum(np.concatenate([[True], pc.not_equal(node[1:], node[:-1]).to_numpy(zero_copy_only=False)])) - 1
+            distance = rows.column("distance").to_numpy()
+            about, lists = rows.filter(pa.array(distance == 0)), rows.filter(pa.array(distance > 0))
+            if not about.num_rows or not lists.num_rows:
+                return
+            size, seed = _decoded(lists.column("seeds").combine_chunks())
+            key = np.repeat(at[distance > 0], size) << 32 | seed
+            order = np.argsort(key, kind="stable")
+            start = np.flatnonzero(np.diff(key[order], prepend=-1))
+            flags = np.bitwise_or.reduceat(np.repeat(np.where(distance[distance > 0] == 1, 1, 2), size)[order], start)
+            where, met = key[order][start] >> 32, key[order][start] & 0xFFFFFFFF
+            of = at[distance == 0]
+            point = pc.fill_null(pc.equal(about.column("kind"), "endpoint"), False).to_numpy()
+            known, points = (np.bincount(x, minlength=at[-1] + 1)[where] > 0 for x in (of, of[point]))
+            for i, some in enumerate((known & (flags & 1 > 0), known & (flags & 2 > 0), points)):
+                count[i] += np.bincount(met[some], minlength=count.shape[1])
+            n = np.bincount(where, minlength=at[-1] + 1)
+            each = n[of]  # seeds of each row about a node
+            seed = met[np.repeat((np.cumsum(n) - n)[of] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+            for i, column in enumerate(("file", "domain")):
+                code = np.asarray([-1 if x is None else codes[i].setdefault(x, len(codes[i])) for x in about.column(column).to_pylist()], np.int64)
+                found = np.repeat(code, each)
+                pairs[i] = np.union1d(pairs[i], (seed << 32 | found)[found >= 0])
+
+        rest: pa.Table | None = None
+        for batch in batches:
+            if batch.num_rows:
+                rows = pa.table(batch) if rest is None else pa.concat_tables([rest, pa.table(batch)])
+                last = pc.equal(rows.column("node"), rows.column("node")[-1])
+                rest = rows.filter(last)
+                if rest.num_rows < rows.num_rows:
+                    add(rows.filter(pc.invert(last)))
+        if rest is not None:
+            add(rest)
+        some = np.flatnonzero(count.sum(axis=0))
+        ids = pa.array(names.value, pa.string())
+        for a in range(0, len(some), 2000):
+            part = some[a : a + 2000]
+            out = {"seed": ids.take(pa.array(part))} | {c: count[i, part] for i, c in enumerate(("n_direct", "n_transitive", "n_entrypoints"))}
+            for i, c in enumerate(("files", "domains")):
+                begin, end = np.searchsorted(pairs[i], part << 32), np.searchsorted(pairs[i], part + 1 << 32)
+                mine = pairs[i][begin[0] : end[-1]] & 0xFFFFFFFF  # seeds that do not occur have no pairs
+                out[c] = pa.ListArray.from_arrays(pa.array(np.append(begin, end[-1]).astype(np.int64) - begin[0], pa.int32()), pa.array(list(codes[i]), pa.string()).take(pa.array(mine)))
+            yield pa.RecordBatch.from_pydict(out)
+
+    return run
+
+
+def impact_description(edges: DataFrame, seeds: DataFrame, nodes: DataFrame, depth: int = 8) -> DataFrame:
+    """(seed, n_direct, n_transitive, n_files, n_domains, n_entrypoints) over the nodes (node, kind, file, domain) that definite reverse paths end at. A node counts as direct
+    if a path of one edge leads to it, and as transitive if a longer one does. Seeds meet nodes as the lists of ``path_counts``, and each task has a row for each seed."""
+    levels = _Levels(edges, seeds, depth, True)
+    if levels.whole:
+        none = [F.lit(None).cast("string").alias(c) for c in ("kind", "file", "domain")]
+        parts = [x.select("node", F.lit(d).alias("distance"), "seeds", *none) for level in (levels.ends, levels.onward) for d, x in enumerate(level, 1)]
+        about = nodes.select("node", F.lit(0).alias("distance"), F.lit(None).cast("binary").alias("seeds"), "kind", "file", "domain")
+        # what is known of a node comes with its lists, so these are shuffled once
+        met = reduce(DataFrame.unionByName, [about, *parts]).where("node IS NOT NULL").repartition("node").sortWithinPartitions("node")
+        per = met.mapInArrow(_per_seed(levels.names), "seed string, n_direct long, n_transitive long, n_entrypoints long, files array<string>, domains array<string>")
+        several = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
+        return per.groupBy("seed").agg(F.sum("n_direct").alias("n_direct"), F.sum("n_transitive").alias("n_transitive"), several("files").alias("n_files"), several("domains").alias("n_domains"), F.sum("n_entrypoints").alias("n_entrypoints"))
+    paths = simple_paths(edges, seeds, depth, True, definite_of(edges)).groupBy("seed", "node").agg(F.max((F.col("distance") == 1).cast("long")).alias("direct"), F.max((F.col("distance") > 1).cast("long")).alias("more"))
+    return paths.join(nodes, "node").groupBy("seed").agg(F.sum("direct").alias("n_direct"), F.sum("more").alias("n_transitive"), F.size(F.collect_set("file")).cast("long").alias("n_files"), F.size(F.collect_set("domain")).cast("long").alias("n_domains"), F.count_if(F.col("kind") == "endpoint").alias("n_entrypoints"))
+
+
 def path_distances(edges: DataFrame, seeds: DataFrame, depth: int = 8, reverse: bool = True) -> DataFrame:
     """(seed, node, first): every node that a definite simple path of up to ``depth`` edges ends at, and the fewest edges of such a path. A
     shortest walk is a simple path, so this needs a visited set and no paths."""

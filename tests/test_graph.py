@@ -260,6 +260,14 @@ def test_path_counts_are_grouped_paths(spark, cyclic):
     assert graph.path_counts(e, seeds(spark, "nowhere"), 4).collect() == []
 
 
+@pytest.mark.parametrize("back", [[], [("s", "a")]])
+def test_impact_description_counts_a_node_as_direct_and_transitive(spark, back):
+    e = edges(spark, [("a", "s"), ("b", "a"), ("b", "s"), ("c", "b"), ("c", "t"), *back])
+    n = spark.createDataFrame([("a", "module", "x", "d"), ("b", "endpoint", "x", None), ("c", "endpoint", None, "d"), ("s", "module", "y", "e"), ("t", None, None, None)], "node string, kind string, file string, domain string")
+    got = {x.seed: tuple(x)[1:] for x in graph.impact_description(e, seeds(spark, "s", "t", "c"), n, 5).collect()}
+    assert got == {"s": (2, 2, 1, 1, 2), "t": (1, 0, 0, 1, 1)}
+
+
 def test_flows_keep_the_surest_paths_and_say_what_was_cut(spark):
     e = edges(spark, [("a", f"b{i}", "CALLS", 1.0 - i / 100, "ast") for i in range(9)] + [("b0", "c", "CALLS", 1.0, "ast"), ("c", "d", "CALLS", 1.0, "ast")])
     got = sorted(graph.flows(e, seeds(spark, "a"), ("CALLS",), depth=2, max_paths=4).collect(), key=lambda x: x["rank"])
