@@ -353,13 +353,98 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False, t
     return visited
 
 
+#: Where a graph is no larger, each task that searches it holds it: its edges, its nodes, and edges times seeds.
+_HELD_EDGES, _HELD_NODES, _HELD_WORK = 1 << 23, 1 << 20, 1 << 40
+#: Edges that a search follows at once, nodes whose seeds it unpacks at once, pairs in a row.
+_FOLLOWED, _LISTED, _PAIRS = 1 << 18, 1 << 12, 1 << 17
+
+
+def _numbered(names):
+    """Edges (_from, _to) by the places of their ends in ``names``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = pd.Index(names.value.to_pylist(), dtype=object)
+        for rows in batches:
+            yield pa.RecordBatch.from_pydict({c: at.get_indexer(rows.column(c).to_pylist()).astype(np.int32) for c in ("_from", "_to")})
+
+    return run
+
+
+def _searched(held, depth: int, width: int):
+    """Numbers of blocks of ``width`` seeds to what these reach: rows of a distance, seeds, nodes, and pairs as node * width + seed by their places there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, source, target, seeds = held.value
+        for block in (x for rows in batches for x in rows.column(0).to_pylist()):
+            mine = seeds[block * width : (block + 1) * width]
+            ids, bit = names.take(pa.array(mine)).to_pylist(), np.arange(len(mine))
+            seen = np.zeros((len(names), width // 64), np.dtype("<u8"))
+            seen[mine, bit >> 6] = np.left_shift(np.uint64(1), (bit & 63).astype(np.uint64))
+            every, front = np.bitwise_or.reduce(seen, axis=0), seen
+            for distance in range(1, depth + 1):
+                live, full = front.any(axis=1), (seen == every).all(axis=1)
+                met = np.zeros_like(seen)
+                for a in range(0, len(source), _FOLLOWED):
+                    x, y = source[a : a + _FOLLOWED], target[a : a + _FOLLOWED]
+                    some = np.flatnonzero(live[x] & ~full[y])
+                    if len(some):
+                        x, y = x[some], y[some]
+                        start = np.flatnonzero(np.diff(y, prepend=-1))
+                        met[y[start]] |= np.bitwise_or.reduceat(front[x], start, axis=0)
+                met &= ~seen
+                if not met.any():
+                    break
+                seen, front = seen | met, met
+                for a in range(0, len(names), _LISTED):
+                    pair = np.flatnonzero(np.unpackbits(front[a : a + _LISTED].view(np.uint8), axis=1, bitorder="little"))
+                    for c in range(0, len(pair), _PAIRS):
+                        part = pair[c : c + _PAIRS]
+                        first, last = part[0] // width, part[-1] // width
+                        row = {"distance": pa.array([distance], pa.int32()), "seeds": [ids], "nodes": [names[a + first : a + last + 1].to_pylist()]}
+                        yield pa.RecordBatch.from_pydict(row | {"pairs": pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.array((part - first * width).astype(np.int32)))})
+
+    return run
+
+
+def _reach_held(step: DataFrame, seeds: DataFrame, depth: int) -> DataFrame | None:
+    """What the seeds reach at distance 1 and more, found in tasks that hold the graph; none if it is too large for that."""
+    spark = step.sparkSession
+    ends = step.select(F.col("_from").alias("id")).unionByName(step.select(F.col("_to").alias("id"))).distinct()
+    starts = seeds.join(step.select(F.col("_from").alias("id")).distinct(), "id", "left_semi")
+    n_edges = step.count()
+    if n_edges > _HELD_EDGES or ends.count() > _HELD_NODES or n_edges * starts.count() > _HELD_WORK:
+        return None
+    names = ends.toArrow().column("id").combine_chunks()
+    found = step.mapInArrow(_numbered(spark.sparkContext.broadcast(names)), "_from int, _to int").toArrow()
+    source, target = (found.column(c).to_numpy() for c in ("_from", "_to"))
+    order = np.argsort(target, kind="stable")
+    some = np.sort(pd.Index(names.to_pylist(), dtype=object).get_indexer(starts.toArrow().column("id").to_pylist()).astype(np.int32))
+    width = 64
+    while width < 1024 and width * 32 < len(some) and len(names) * width <= 1 << 27:
+        width *= 2
+    held, blocks = spark.sparkContext.broadcast((names, source[order], target[order], some)), -(-len(some) // width)
+    rows = spark.range(0, blocks, 1, max(1, blocks)).mapInArrow(_searched(held, depth, width), "distance int, seeds array<string>, nodes array<string>, pairs array<int>")
+    rows = rows.select("distance", "seeds", "nodes", F.explode("pairs").alias("_p"))
+    return rows.select(F.col("seeds")[F.col("_p").bitwiseAND(width - 1)].alias("seed"), F.col("nodes")[F.shiftright("_p", width.bit_length() - 1)].alias("node"), "distance")
+
+
 def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(seed, node, distance) as ``bfs`` has them, without confidence. 64 seeds travel as the bits of one number, so a level joins and stores a
-    row for each node that any of them newly reaches, not one for each seed; pairs are made where they are read."""
-    step = cut(_oriented(edges, False, []).where("_from <> _to").distinct())
+    """(seed, node, distance) as ``bfs`` has them, without confidence. A graph of bounded size goes to all tasks; each searches it from a block of seeds, a bit a
+    seed, and pairs are made where they are read, so nothing is shuffled or stored but the edges. In a larger one 64 seeds travel as the bits of one number, and a level joins
+    and stores a row for each node that any of them newly reaches; that is no less than a row a pair where few of the 64 share what they reach."""
+    step = store(_oriented(edges, False, []).where("_from <> _to").distinct())
+    seeds = store(seeds.select("id").distinct())
+    found = _reach_held(step, seeds, depth)
+    if found is not None:
+        discard(step.sparkSession, step.stored)
+        return seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("distance")).unionByName(found)
+    return _reach_joined(step, seeds, depth)
+
+
+def _reach_joined(step: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     group = F.pmod(F.xxhash64("seed"), F.lit(32)).cast("int")
     place = F.row_number().over(Window.partitionBy("_g").orderBy("seed")) - 1
-    numbered = seeds.select(F.col("id").alias("seed")).distinct().withColumn("_g", group).withColumn("_n", place)
+    numbered = seeds.select(F.col("id").alias("seed")).withColumn("_g", group).withColumn("_n", place)
     numbered = cut(numbered.select("seed", (F.floor(F.col("_n") / 64) * 32 + F.col("_g")).alias("_b"), F.expr("shiftleft(1L, CAST(_n % 64 AS INT))").alias("_bit")))
     frontier = numbered.select(F.col("seed").alias("node"), "_b", F.col("_bit").alias("_bits"))
     levels = [frontier.withColumn("distance", F.lit(0))]

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -369,3 +370,53 @@ def test_reach_is_that_of_a_plain_search(spark):
     for depth in (1, 5):
         got = sorted(map(tuple, graph.reach(e, some, depth).collect()))
         assert got == sorted((x.seed, x.node, x.distance) for x in graph.bfs(e, some, depth).collect())
+
+
+def test_reach_of_held_and_of_joined_graphs_agree(spark, monkeypatch):
+    """Seeds that share nothing they reach: 70 rings of 20 nodes, and seeds that are in none."""
+    pairs = [(f"r{k}.{i}", f"r{k}.{(i + 1) % 20}") for k in range(70) for i in range(20)] * 2 + [(f"r{k}.0", f"r{k}.0") for k in range(70)]
+    some = spark.createDataFrame([(f"r{k}.{i}",) for k in range(70) for i in range(19)] + [("r0.0",), ("alone",), (None,)], "id string")
+    with_none = edges(spark, [*pairs, (None, "r0.0"), ("r0.0", None)])
+    want = {(f"r{k}.{i}", f"r{k}.{(i + d) % 20}", d) for k in range(70) for i in range(19) for d in range(5)} | {("alone", "alone", 0), (None, None, 0)}
+    joined = []
+    monkeypatch.setattr(graph, "_reach_joined", lambda *a, f=graph._reach_joined: joined.append(1) or f(*a))
+    for sizes in ((2800, 1400, 1 << 30), (2800, 1399, 1 << 30), (1399, 1400, 1 << 30), (2800, 1400, 1400)):
+        for name, size in zip(("_HELD_EDGES", "_HELD_NODES", "_HELD_WORK"), sizes, strict=True):
+            monkeypatch.setattr(graph, name, size)
+        got = [tuple(r) for r in graph.reach(with_none, some, 4).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert len(joined) == 3
+
+
+def test_reach_stores_the_edges_and_no_pairs(spark, monkeypatch):
+    """150 nodes, all of which reach all: 22,500 pairs from 300 edges."""
+    stored = []
+    monkeypatch.setattr(graph, "store", lambda df, f=graph.store: stored.append(f(df)) or stored[-1])
+    monkeypatch.setattr(graph, "cut", lambda df: pytest.fail("a level was stored"))
+    monkeypatch.setattr(graph, "discard", lambda *a: None)
+    pairs = [(f"n{i}", f"n{(i + s) % 150}") for i in range(150) for s in (1, 12)]
+    e = edges(spark, pairs)
+    assert graph.reach(e, e.select(F.col("source").alias("id")), 30).count() == 22_500
+    assert sum(x.count() for x in stored) == 450
+
+
+def test_reach_in_several_chunks(spark, monkeypatch):
+    """Chunks that cut a node's edges, and rows that cut a node's seeds; the work runs here, as workers have chunk sizes of their own."""
+    r = random.Random(3)
+    pairs = sorted({(r.randrange(40), r.randrange(40)) for _ in range(90)}, key=lambda p: (p[1], p[0]))
+    for name, size in (("_FOLLOWED", 3), ("_LISTED", 7), ("_PAIRS", 5)):
+        monkeypatch.setattr(graph, name, size)
+
+    class Held:
+        value = (pa.array([f"n{i}" for i in range(40)]), np.array([a for a, _ in pairs], np.int32), np.array([b for _, b in pairs], np.int32), np.arange(40, dtype=np.int32))
+
+    rows = [x for b in graph._searched(Held, 3, 64)(iter([pa.RecordBatch.from_pydict({"id": [0]})])) for x in b.to_pylist()]
+    got = sorted((x["seeds"][p % 64], x["nodes"][p // 64], x["distance"]) for x in rows for p in x["pairs"])
+    want = []
+    for seed in range(40):
+        seen, front = {seed}, {seed}
+        for d in (1, 2, 3):
+            front = {b for a, b in pairs if a in front} - seen
+            seen |= front
+            want += [(f"n{seed}", f"n{b}", d) for b in front]
+    assert got == sorted(want) and len(rows) > 40
